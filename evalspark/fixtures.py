@@ -111,6 +111,73 @@ from events""", ()),
 select s.id as step_id, s.id as seq, case when s.assignment_id % 3 = 0 then 0 else 2 end as status,
  case when s.assignment_id % 3 = 0 then '' else '2024-03-01' end as eval_date
 from eval_step s where s.status = 1""", ("eval_step",)),
+    "login_requests": ("""
+select event_id as req_id, concat('P', lpad(cast(user_id * 11 as varchar(10)), 6, '0')) as person_code
+from events""", ()),
+    "attendance_log": ("""
+select event_id as seq, user_id * 7 as user_id, concat('{"time_attendance":[',
+  case when event_id % 5 = 0 then '' else concat('{"name":"late","value":"', cast(event_id % 7 as varchar(10)),
+  '"},{"name":"absent","value":"', cast(event_id % 3 as varchar(10)), '"}') end,
+  '],"score_max":100,"score_obtained":', cast(100 - event_id % 30 as varchar(10)),
+  ',"penalty_total":', cast(event_id % 30 as varchar(10)), '}') as doc
+from events where event_type in ('view', 'error')""", ()),
+    "kpi_bulk_log": ("""
+select event_id as seq, user_id, (event_id % 3) * 12 as form_id,
+ concat('{"items":[', case when event_id % 9 = 0 then '' else concat(
+   '{"idx":', cast(1 + event_id % 4 as varchar(10)), ',"code":"', case when event_id % 2 = 0 then '' else 'B' end,
+   '","title":"Bulk ', cast(event_id as varchar(10)), '","max_score":5.0,"weight":', cast(10 + event_id % 50 as varchar(10)),
+   ',"expected_score":3.0,"score":', cast(event_id % 5 as varchar(10)), '.5,"note":"","measure":"count","criteria":"","unit":"pt"}') end,
+ '],"due_date":"', case when event_id % 6 = 0 then '2024-03-15' else '' end, '"}') as doc
+from events where event_type = 'click'""", ()),
+    "comp_bulk_log": ("""
+select p_partkey as seq, p_partkey as form_id, concat('{"items":[', case when p_partkey % 20 = 0 then '' else
+  concat('{"idx":5,"title":"Extra ', cast(p_partkey as varchar(10)), '","max_score":5.0,"weight":',
+  case when p_partkey % 3 = 0 then '0.1' else '10' end,
+  ',"full_total":100.0,"expected_score":3.0},{"idx":6,"title":"Extra B","max_score":4.0,"weight":0.2,"full_total":100.0,"expected_score":2.0}') end,
+  ']}') as doc
+from part where p_partkey % 10 = 0""", ()),
+    "step_requests": ("""
+select a.id as seq, a.form_id, a.user_id, concat('{"evaluators":[', case when a.id % 27 = 3 then '' else
+  concat(cast((a.user_id + 1) % 1000 as varchar(10)), ',', cast((a.user_id * 7 + 3) % 2000 as varchar(10))) end, ']}') as doc
+from eval_assignment a where a.id % 6 = 3""", ("eval_assignment",)),
+    "kpi_changes": ("""
+select k.id as seq, k.id as kpi_id, a.form_id, case when k.id % 5 = 0 then a.user_id + 1 else a.user_id end as user_id,
+ k.idx + 10 as idx, case when k.id % 2 = 0 then '' else 'U' end as code, 'Updated' as title, cast(5 as double) as max_score,
+ 50 as weight, cast(3 as double) as expected_score, cast(k.id % 6 as double) as score, '' as note, 'm2' as measure,
+ '' as criteria, '' as unit
+from eval_kpi_user k join eval_assignment a on a.id = k.assignment_id where k.id % 7 = 0""", ("eval_kpi_user", "eval_assignment")),
+    "kpi_deletes": ("""
+select k.id as seq, k.id as kpi_id, a.form_id, case when k.id % 4 = 0 then a.user_id + 1 else a.user_id end as user_id
+from eval_kpi_user k join eval_assignment a on a.id = k.assignment_id where k.id % 11 = 0""", ("eval_kpi_user", "eval_assignment")),
+    "user_patches": ("""
+select c_custkey as seq, c_custkey as user_id, concat('{',
+  case when c_custkey % 3 = 0 then concat('"name":"', c_name, ' II",') else '' end,
+  case when c_custkey % 4 = 0 then '"role":"",' else '' end,
+  case when c_custkey % 5 = 0 then '"department":"HR",' else '' end,
+  case when c_custkey % 6 = 0 then '"start_date":"2015-06-01",' else '' end,
+  case when c_custkey % 7 = 0 then '"company_ids":[]'
+       when c_custkey % 8 = 0 then concat('"company_ids":["', cast(c_nationkey as varchar(10)), '","3","99"]')
+       else '"position":"staff"' end,
+  '}') as doc
+from customer where c_custkey % 2 = 0""", ()),
+    "user_creates": ("""
+select s_suppkey as seq, concat('{"name":"New ', s_name, '","email":"',
+  case when s_suppkey % 10 = 0 then 'dup@example.com' else concat('new', cast(s_suppkey as varchar(10)), '@example.com') end,
+  '","role":"user","password":"x","personcode":"N', cast(s_suppkey as varchar(10)), '","position":"","department":"Ops",',
+  '"urlimage":"","start_date":"2023-01-0', cast(1 + s_suppkey % 9 as varchar(10)), '","confirm_date":"",',
+  '"company_ids":["', cast(s_nationkey as varchar(10)), '","', cast(s_nationkey as varchar(10)), '","77"]}') as doc
+from supplier""", ()),
+    "user_deletes": ("""
+select c_custkey as user_id from customer where c_custkey % 13 = 0""", ()),
+    "form_requests": ("""
+select s_suppkey as seq, case when s_suppkey % 7 = 0 then concat('F', cast(s_suppkey as varchar(10)))
+   else concat('NF', cast(s_suppkey as varchar(10))) end as code, s_name as title_th,
+ case when s_suppkey % 2 = 0 then '' else 'Form EN' end as title_en,
+ cast((s_suppkey % 3) * 20 as int) as kpi_weight, 40 as comp_weight, 20 as ta_weight,
+ case when s_suppkey % 4 = 0 then 0 else 100 end as total_weight, 1 as calc_method, 1 as score_scheme,
+ case when s_suppkey % 5 = 0 then '' else '2024-04-01' end as eval_start, '' as eval_end,
+ case when s_suppkey % 3 = 0 then '' else 'remark' end as remark
+from supplier""", ()),
 }
 
 
