@@ -52,8 +52,12 @@ def today_utc(as_of_ts: str) -> Column:
 
 
 def local_date(ts, tz: str = DUE_DATE_TZ) -> Column:
-    """calendar date of a UTC instant in ``tz`` (default due date)."""
-    return F.to_date(F.from_utc_timestamp(_c(ts).cast("timestamp"), tz))
+    """calendar date in ``tz`` of a UTC wall-clock instant (default due date).
+
+    The instant is taken as a UTC wall clock (``timestamp_ntz``), so the
+    result does not depend on the session time zone.
+    """
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(ts).cast("timestamp_ntz")))
 
 
 def int_or_zero(c) -> Column:

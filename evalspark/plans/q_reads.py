@@ -253,7 +253,7 @@ def q_status_normalized(spark, sf_dir):
                                     " coalesce(nullif(due_date, ''), '-') as due_or_dash,"
                                     " trim(due_date) = '' as due_blank,"
                                     " strftime(try_cast(nullif(trim(due_date), '') as date), '%Y-%m-%d') as due_parsed,"
-                                    " strftime(cast(timezone('Asia/Bangkok', ts::timestamptz) as date), '%Y-%m-%d')"
+                                    " strftime(cast(ts + interval 7 hour as date), '%Y-%m-%d')"
                                     "   as bangkok_date,"
                                     " coalesce(case when regexp_full_match(right(due_date, 2), '[+-]?[0-9]+')"
                                     "   then try_cast(right(due_date, 2) as int) end, 0) as due_day"

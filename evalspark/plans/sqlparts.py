@@ -82,3 +82,49 @@ summary AS (
   from scored s left join best b on b.assignment_id = s.assignment_id),"""
 
 SUMMARY_CTE = SCORED_CTE + GRADE_CTE
+
+
+# Asia/Bangkok is UTC+7 all year (no daylight saving), so the oracle can add
+# the offset; the Spark side converts with the named time zone.
+BKK_DATE = "cast({ts} + interval 7 hour as date)"
+
+
+def ensure_cte(req: str, as_of_ts: str, out: str = "a1") -> str:
+    """CTEs applying EnsureAssignment requests ``req(seq, ts, form_id, user_id, due_date)``
+    to ``eval_assignment``; defines ``{out}(id, form_id, user_id, status, due_date)``."""
+    bkk = BKK_DATE.format(ts="n.c_ts")
+    return f"""
+{out}_req AS (
+  select seq, coalesce(ts, timestamp '{as_of_ts}') as ts, form_id, user_id,
+    coalesce(trim(due_date) = '', true) as blank, try_cast(nullif(trim(due_date), '') as date) as due
+  from {req}),
+{out}_key AS (
+  select form_id, user_id,
+    max_by(due, seq) filter (where due is not null) as last_due,
+    min(seq) filter (where blank or due is not null) as c_seq
+  from {out}_req group by form_id, user_id),
+{out}_new AS (
+  select k.form_id, k.user_id, k.last_due, k.c_seq, r.ts as c_ts, r.due as c_due
+  from {out}_key k join {out}_req r on r.seq = k.c_seq
+  where not exists (select 1 from eval_assignment a where a.form_id = k.form_id and a.user_id = k.user_id)),
+{out} AS (
+  select a.id, a.form_id, a.user_id, a.status, coalesce(k.last_due, a.due_date) as due_date
+  from eval_assignment a left join {out}_key k on k.form_id = a.form_id and k.user_id = a.user_id
+  union all
+  select (select coalesce(max(id), 0) from eval_assignment) + row_number() over (order by n.c_seq) as id,
+    n.form_id, n.user_id, 0 as status, coalesce(n.last_due, n.c_due, {bkk}) as due_date
+  from {out}_new n),"""
+
+
+KPI_JSON = ('[{"idx":"INTEGER","code":"VARCHAR","title":"VARCHAR","max_score":"DOUBLE","weight":"INTEGER",'
+            '"expected_score":"DOUBLE","score":"DOUBLE","note":"VARCHAR","measure":"VARCHAR","criteria":"VARCHAR",'
+            '"unit":"VARCHAR"}]')
+
+KPI_ITEM_COLS = """coalesce(it.idx, 0) as idx, coalesce(it.code, '') as code, coalesce(it.title, '') as title,
+  coalesce(it.max_score, 0.0) as max_score, coalesce(it.weight, 0) as weight,
+  coalesce(it.expected_score, 0.0) as expected_score, coalesce(it.score, 0.0) as score,
+  coalesce(it.note, '') as note, coalesce(it.measure, '') as measure, coalesce(it.criteria, '') as criteria,
+  coalesce(it.unit, '') as unit"""
+
+KPI_INVALID = """(not (weight between 0 and 100) or length(code) > 50 or length(title) > 300 or length(note) > 1000
+  or length(measure) > 500 or length(criteria) > 1000 or length(unit) > 50)"""
