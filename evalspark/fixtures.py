@@ -178,6 +178,10 @@ select s_suppkey as seq, case when s_suppkey % 7 = 0 then concat('F', cast(s_sup
  case when s_suppkey % 5 = 0 then '' else '2024-04-01' end as eval_start, '' as eval_end,
  case when s_suppkey % 3 = 0 then '' else 'remark' end as remark
 from supplier""", ()),
+    "step_replay_log": ("""
+select s.id as step_id, s.id as seq, case when s.assignment_id % 5 = 0 then 0 else 2 end as status,
+ case when s.id % 4 = 0 then '' else '2024-03-02' end as eval_date
+from eval_step s where s.status <> 2""", ("eval_step",)),
 }
 
 

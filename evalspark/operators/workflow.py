@@ -248,7 +248,7 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame) -> Dat
     can_create = is_blank("due_date") | try_date("due_date").isNotNull()
     first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
     ev = ev.join(first_ok, ["form_id", "user_id"], "left")
-    creatable = F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c"))
+    creatable = F.coalesce(F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
     return ev.select("seq", "ts", "user_id", "form_id", "due_date", "req_status",
                      normalize_status("req_status").alias("status"), "stored_status",
                      creatable.alias("creatable"),
@@ -262,7 +262,7 @@ def resolve_save_log(events: DataFrame) -> DataFrame:
     e = events.join(lock, ["user_id", "form_id"], "left")
     pre_locked = F.coalesce(F.col("stored_status") == LOCKED, F.lit(False))
     acc = F.col("valid") & ~pre_locked & (F.col("lock_seq").isNull() | (F.col("seq") <= F.col("lock_seq")))
-    return e.drop("lock_seq").withColumn("accepted", acc)
+    return e.withColumn("accepted", acc).drop("lock_seq")
 
 
 # ------------------------------------------------------- W6 state after log
@@ -375,3 +375,29 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
                        ["form_id", "user_id"]).select(
         "seq", "assignment_id", "status", "kpi_pct", "comp_pct", "ta_pct", "total_pct", "grade")
 
+
+
+def state_by_key(out: dict[str, DataFrame], log: DataFrame) -> DataFrame:
+    """W6 summary per (form_id, user_id) of ``log``: assignment, status, due, child counts, TA, q1, steps."""
+    keys = log.select("form_id", "user_id")
+    a = out["eval_assignment"].join(keys, ["form_id", "user_id"], "left_semi").select(
+        "form_id", "user_id", F.col("id").alias("assignment_id"), "status", "due_date")
+    k = out["eval_kpi_user"].groupBy("assignment_id").agg(
+        F.count(F.lit(1)).alias("kpis"), F.sum("weight").cast("long").alias("kpi_weight"))
+    c = out["eval_competency_score"].groupBy("assignment_id").agg(F.count(F.lit(1)).alias("comp_scores"))
+    d = out["eval_dev_plan"].groupBy("assignment_id").agg(F.count(F.lit(1)).alias("plans"))
+    ta = out["eval_ta_score"].select("assignment_id", F.col("full_score").cast("double").alias("ta_full"),
+                                     F.col("score").cast("double").alias("ta_score"))
+    ad = out["eval_additional"].select("assignment_id", "q1")
+    st = out["eval_step"].groupBy("assignment_id").agg(
+        F.count_if(F.col("status") == 1).alias("active_steps"), F.count_if(F.col("status") == 2).alias("done_steps"))
+    j = a
+    for part in (k, c, d, ta, ad, st):
+        j = j.join(part, "assignment_id", "left")
+    z = F.lit(0).cast("long")
+    return j.select("form_id", "user_id", "assignment_id", "status", F.date_format("due_date", "yyyy-MM-dd")
+                    .alias("due_date"), F.coalesce("kpis", z).alias("kpis"),
+                    F.coalesce("kpi_weight", z).alias("kpi_weight"), F.coalesce("comp_scores", z).alias("comp_scores"),
+                    F.coalesce("plans", z).alias("plans"), "ta_full", "ta_score", "q1",
+                    F.coalesce("active_steps", z).alias("active_steps"),
+                    F.coalesce("done_steps", z).alias("done_steps"))

@@ -128,3 +128,54 @@ KPI_ITEM_COLS = """coalesce(it.idx, 0) as idx, coalesce(it.code, '') as code, co
 
 KPI_INVALID = """(not (weight between 0 and 100) or length(code) > 50 or length(title) > 300 or length(note) > 1000
   or length(measure) > 500 or length(criteria) > 1000 or length(unit) > 50)"""
+
+SAVE_JSON = ('{"status":"INTEGER","due_date":"VARCHAR","kpis":' + KPI_JSON + ','
+             '"competency_scores":[{"comp_id":"BIGINT","score":"DOUBLE","note":"VARCHAR"}],'
+             '"time_attendance":{"full_score":"DOUBLE","score":"DOUBLE"},'
+             '"development_plan":[{"idx":"INTEGER","content":"VARCHAR","priority":"VARCHAR","timing":"VARCHAR",'
+             '"remarks":"VARCHAR"}],'
+             '"additional":{"q1":"VARCHAR","q2":"VARCHAR","q3":"VARCHAR","q4":"VARCHAR","q5":"VARCHAR"}}')
+
+# save_log -> sv_docs(seq, d), sv_kpis, sv_cs, sv_dp, sv_ad, res(seq, ..., valid, accepted)
+SAVE_EVENTS_CTE = """
+sv_docs AS (select seq, from_json(doc, '""" + SAVE_JSON + """') as d from save_log),
+sv_kpis AS (select seq, pos - 1 as pos, """ + KPI_ITEM_COLS + """
+            from (select seq, pos, d.kpis[pos] as it
+                  from (select seq, d, generate_subscripts(d.kpis, 1) as pos from sv_docs) x) y),
+sv_cs AS (select seq, pos - 1 as pos, it.comp_id as comp_id, coalesce(it.score, 0.0) as score,
+                 coalesce(it.note, '') as note
+          from (select seq, pos, d.competency_scores[pos] as it
+                from (select seq, d, generate_subscripts(d.competency_scores, 1) as pos from sv_docs) x) y),
+sv_dp AS (select seq, coalesce(it.timing, '') as timing, coalesce(it.content, '') as content,
+                 coalesce(it.priority, '') as priority, coalesce(it.remarks, '') as remarks
+          from (select seq, unnest(d.development_plan) as it from sv_docs) x),
+sv_ad AS (select seq, coalesce(d.additional.q1, '') as q1, coalesce(d.additional.q2, '') as q2,
+                 coalesce(d.additional.q3, '') as q3, coalesce(d.additional.q4, '') as q4,
+                 coalesce(d.additional.q5, '') as q5,
+                 coalesce(d.time_attendance.full_score, 0.0) as ta_full, coalesce(d.time_attendance.score, 0.0) as ta_score
+          from sv_docs),
+sv_bad AS (
+  select seq from sv_kpis where """ + KPI_INVALID + """
+  union select seq from sv_cs group by seq, comp_id having count(*) > 1
+  union select seq from sv_cs where comp_id is null or comp_id not in (select id from eval_competency)
+  union select seq from sv_cs where length(note) > 1000
+  union select seq from sv_dp where (trim(timing) <> '' and try_cast(nullif(trim(timing), '') as date) is null)
+    or length(content) > 1000 or length(priority) > 20 or length(remarks) > 500
+  union select seq from sv_ad where length(q1) > 2000 or length(q2) > 2000 or length(q3) > 2000
+    or length(q4) > 2000 or length(q5) > 2000),
+sv_ev AS (select s.seq, s.ts, s.user_id, s.form_id, s.due_date, coalesce(d.d.status, 0) as req_status,
+                 a.status as stored_status
+          from save_log s join sv_docs d on d.seq = s.seq
+          left join eval_assignment a on a.form_id = s.form_id and a.user_id = s.user_id),
+sv_fc AS (select form_id, user_id, min(seq) as c from sv_ev
+          where coalesce(trim(due_date) = '', true) or try_cast(nullif(trim(due_date), '') as date) is not null
+          group by form_id, user_id),
+sv_ev2 AS (select e.*, cast(case when req_status between 0 and 2 then req_status else 0 end as int) as status,
+                  coalesce(e.stored_status is not null or e.seq >= f.c, false) as creatable
+           from sv_ev e left join sv_fc f on f.form_id = e.form_id and f.user_id = e.user_id),
+sv_ev3 AS (select *, creatable and seq not in (select seq from sv_bad) as valid from sv_ev2),
+sv_lock AS (select user_id, form_id, min(seq) as lock_seq from sv_ev3 where valid and status = 2
+            group by user_id, form_id),
+res AS (select e.*, e.valid and not coalesce(e.stored_status = 2, false)
+               and (l.lock_seq is null or e.seq <= l.lock_seq) as accepted
+        from sv_ev3 e left join sv_lock l on l.user_id = e.user_id and l.form_id = e.form_id),"""
