@@ -224,3 +224,27 @@ def fixture_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, Da
         df.createOrReplaceTempView(n)
         out[n] = df
     return out
+
+
+# Columns each fixture view provides (checked against Spark in the tests);
+# lets oracle SQL be written for exactly the columns the views carry.
+FIXTURE_COLUMNS: dict[str, tuple[str, ...]] = {
+    "users": ("id", "person_code", "name", "email", "role", "department", "start_date", "confirm_date",
+              "years_of_work"),
+    "companies": ("id", "code", "name", "image"),
+    "user_companies": ("user_id", "company_id"),
+    "user_time_attendance": ("user_id", "score_max", "score_obtained", "penalty_total"),
+    "user_time_attendance_items": ("user_id", "name", "value"),
+    "eval_form": ("id", "code", "title_th", "title_en", "kpi_weight", "comp_weight", "ta_weight", "total_weight",
+                  "calc_method", "score_scheme", "eval_start", "eval_end"),
+    "eval_assignment": ("id", "form_id", "user_id", "status", "due_date"),
+    "eval_kpi_user": ("id", "assignment_id", "idx", "title", "max_score", "weight", "expected_score", "score",
+                      "code"),
+    "eval_competency": ("id", "form_id", "idx", "title", "max_score", "weight", "full_total", "expected_score"),
+    "eval_competency_score": ("id", "assignment_id", "comp_id", "score", "note"),
+    "eval_ta_score": ("assignment_id", "full_score", "score"),
+    "eval_dev_plan": ("id", "assignment_id", "idx", "content", "priority", "timing"),
+    "eval_additional": ("assignment_id", "q1", "q2", "q3", "q4", "q5"),
+    "eval_grade_band": ("id", "form_id", "grade", "min_pct", "max_pct"),
+    "eval_step": ("id", "assignment_id", "idx", "evaluator_id", "status"),
+}

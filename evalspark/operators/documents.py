@@ -117,10 +117,12 @@ def form_documents(tables: dict[str, DataFrame], summary: DataFrame) -> DataFram
         "summary")
 
 
-def to_document_json(df: DataFrame, omit_blank: tuple[str, ...] = ()) -> DataFrame:
-    """One JSON text per row; ``omit_blank`` top-level fields are dropped when ''.
+def to_document_json(df: DataFrame, keys: tuple[str, ...] = (), omit_blank: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` plus one JSON text (``json``) of the other columns per row.
 
-    ``to_json`` drops NULL fields, so blank -> NULL mirrors ``omitempty``.
+    ``to_json`` drops NULL fields, so ``omit_blank`` fields are turned from
+    '' into NULL first, which mirrors ``omitempty``.
     """
-    cols = [F.nullif(F.col(c), F.lit("")).alias(c) if c in omit_blank else F.col(c) for c in df.columns]
-    return df.select(F.to_json(F.struct(*cols)).alias("json"))
+    body = [F.nullif(F.col(c), F.lit("")).alias(c) if c in omit_blank else F.col(c)
+            for c in df.columns if c not in keys]
+    return df.select(*keys, F.to_json(F.struct(*body)).alias("json"))
