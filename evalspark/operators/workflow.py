@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import blank_to_null, is_blank, normalize_status, today_utc, try_date
+from ..session import cut_lineage
 from ..sources import documents as docs
 from . import changes
 from .common import sized_broadcast
@@ -276,16 +277,19 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str)
     additional are upserted from it.  If that save is a submit the step chain
     advances once (W3).
     """
-    ev = resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"]))
+    # the resolved events feed several id assignments: materialise them once
+    ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"])))
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
     a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts)
     acc = ev.where(F.col("accepted"))
     last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
-    last = last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
+    last = cut_lineage(last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
+                                 ["form_id", "user_id"]))
     a2 = a1.join(last.select("form_id", "user_id", F.col("status").alias("__s")), ["form_id", "user_id"], "left") \
         .select("id", "form_id", "user_id", F.coalesce("__s", "status").cast("int").alias("status"), "due_date")
-    sh = docs.shred_save_documents(log.join(last.select("seq"), "seq", "left_semi"), ["seq"])
+    sh = docs.shred_save_documents(
+        cut_lineage(log.select("seq", "doc").join(last.select("seq"), "seq", "left_semi")), ["seq"])
     by_seq = last.select("seq", "assignment_id")
     parents = last.select("assignment_id")
     out = dict(tables)
