@@ -1,11 +1,13 @@
 """Grade-band lookup and first active step.
 
 G1 is a range join (``total BETWEEN min_pct AND max_pct``).  Instead of a
-nested-loop join, each band is exploded into the whole-number buckets
+nested-loop join, each band is listed under every whole-number bucket
 ``floor(min_pct) .. floor(max_pct)`` it covers (at most ~2,000 for a
-DECIMAL(5,2) band) and joined on ``floor(total)``: an equi-join, so it runs as
-a hash join whatever the number of bands.  Own-form bands join on
-(form_id, bucket), default bands (form_id NULL) on bucket alone.
+DECIMAL(5,2) band).  The candidate lists are grouped per (form_id, bucket)
+for own-form bands and per bucket for default bands, already ordered best
+first, so each scored row does at most one equi-join lookup per set - no
+fan-out, no aggregation and no second pass over the scored rows - and takes
+the first candidate whose [min, max] holds its total.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ def _band_buckets(bands: DataFrame) -> DataFrame:
     return b.withColumn("bucket", F.explode(F.sequence(F.floor("b_min"), F.floor("b_max"))))
 
 
+def _candidate_lists(bb: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Bands per key, best first: highest min_pct, then lowest band id."""
+    cand = F.struct((-F.col("b_min")).alias("neg_min"), "band_id", "b_min", "b_max", "b_grade")
+    return bb.groupBy(*keys).agg(F.sort_array(F.collect_list(cand)).alias(name))
+
+
 def assign_grade(scored: DataFrame, bands: DataFrame, total_col: str = "total_pct",
                  form_col: str = "form_id", key: str = "assignment_id") -> DataFrame:
     """Add ``grade``, ``grade_min``, ``grade_max`` to ``scored``.
@@ -34,28 +42,26 @@ def assign_grade(scored: DataFrame, bands: DataFrame, total_col: str = "total_pc
     [min_pct, max_pct] holds the (rounded) total.  Best = own-form first, then
     highest min_pct, then lowest band id (our tie-break).  An own-form band set
     with no hit falls back to the default set; no candidate -> 'N/A', 0, 0.
+    Both candidate tables are broadcast after a size check; otherwise they
+    are shuffle-joined (unique keys, so still one row per scored row).
     """
     bb = _band_buckets(bands)
-    own_b = sized_broadcast(bb.where(F.col("b_form").isNotNull()))
-    def_b = sized_broadcast(bb.where(F.col("b_form").isNull()).drop("b_form"))
-
-    probe = scored.select(F.col(key).alias("__k"), F.col(form_col).cast("long").alias("__f"),
-                          F.col(total_col).alias("__t"), F.floor(total_col).alias("bucket"))
-    hit = F.col("__t").between(F.col("b_min"), F.col("b_max"))
-    own = (probe.join(own_b, (F.col("__f") == F.col("b_form")) & (probe["bucket"] == own_b["bucket"]))
-           .where(hit).select("__k", F.lit(0).alias("rank"), "b_min", "band_id", "b_grade", "b_max"))
-    dflt = (probe.join(def_b, "bucket").where(hit)
-            .select("__k", F.lit(1).alias("rank"), "b_min", "band_id", "b_grade", "b_max"))
-    best = (own.unionByName(dflt)
-            .groupBy("__k")
-            .agg(F.min(F.struct("rank", (-F.col("b_min")).alias("neg_min"), "band_id",
-                                "b_grade", "b_min", "b_max")).alias("best")))
-    out = scored.join(best, scored[key] == best["__k"], "left")
-    return out.select(
-        *[scored[c] for c in scored.columns],
-        F.coalesce(F.col("best.b_grade"), F.lit(NO_GRADE)).alias("grade"),
-        F.coalesce(F.col("best.b_min"), F.lit(0.0)).alias("grade_min"),
-        F.coalesce(F.col("best.b_max"), F.lit(0.0)).alias("grade_max"),
+    own = _candidate_lists(bb.where(F.col("b_form").isNotNull()), ["b_form", "bucket"], "__own")
+    dflt = _candidate_lists(bb.where(F.col("b_form").isNull()), ["bucket"], "__def") \
+        .withColumnRenamed("bucket", "__dbucket")
+    own = sized_broadcast(own.withColumnRenamed("bucket", "__obucket"))
+    dflt = sized_broadcast(dflt)
+    total = F.col(total_col)
+    bucket = F.floor(total)
+    j = (scored.join(own, (F.col(form_col).cast("long") == F.col("b_form")) & (bucket == F.col("__obucket")), "left")
+         .join(dflt, bucket == F.col("__dbucket"), "left"))
+    hit = lambda arr: F.get(F.filter(arr, lambda b: total.between(b["b_min"], b["b_max"])), 0)
+    best = F.coalesce(hit(F.col("__own")), hit(F.col("__def")))
+    return j.select(
+        *[F.col(c) for c in scored.columns],
+        F.coalesce(best["b_grade"], F.lit(NO_GRADE)).alias("grade"),
+        F.coalesce(best["b_min"], F.lit(0.0)).alias("grade_min"),
+        F.coalesce(best["b_max"], F.lit(0.0)).alias("grade_max"),
     )
 
 
