@@ -208,8 +208,18 @@ def with_clause(*names: str) -> str:
 
 
 def register_raw(spark: SparkSession, sf_dir: str) -> None:
+    """Register the raw tables as temp views.
+
+    Each test file is a single Parquet row group, i.e. one input split; a
+    table with fewer splits than the default parallelism is spread
+    round-robin so the stages before the first shuffle use every core.
+    """
+    par = spark.sparkContext.defaultParallelism
     for t in RAW_TABLES:
-        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(t)
+        df = spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet"))
+        if df.rdd.getNumPartitions() < par and t not in ("region", "nation"):
+            df = df.repartition(par)
+        df.createOrReplaceTempView(t)
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_date, null_to, years_of_work
 from ..sources.tables import conform
-from .relational import competencies_with_scores, kpi_listing, user_companies_flat
+from .relational import competencies_with_scores, user_companies_flat
 
 
 def _sorted_list(*fields: Column) -> Column:
@@ -76,7 +76,10 @@ def form_documents(tables: dict[str, DataFrame], summary: DataFrame) -> DataFram
     by assignment_id before the joins.
     """
     a = conform(tables["eval_assignment"], "eval_assignment")
-    kl = kpi_listing(tables["eval_kpi_user"], tables["eval_assignment"])
+    k = conform(tables["eval_kpi_user"], "eval_kpi_user")
+    kl = k.select("id", "assignment_id", "idx", null_to("code", "").alias("code"), "title",
+                  *[F.col(c).cast("double").alias(c) for c in ("max_score", "expected_score", "score")], "weight",
+                  *[null_to(c, "").alias(c) for c in ("note", "measure", "criteria", "unit")])
     kpis = kl.groupBy("assignment_id").agg(_sorted_list(
         "idx", "id", "assignment_id", "code", "title", "max_score", "weight", "expected_score", "score",
         "note", "measure", "criteria", "unit").alias("kpis"))

@@ -223,37 +223,48 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame) -> Dat
     KPI weight outside 0..100, a non-blank development-plan date that does not
     parse, or text over its length.  ``creatable`` is false when a new
     assignment cannot be made because the due date does not parse.
+
+    The document is parsed once (and the flagged rows materialised); the
+    per-list rules are higher-order functions over the parsed arrays
+    (``exists``), so only the comp_id existence check needs an explode and a
+    join.
     """
-    sh = docs.shred_save_documents(log, ["seq"])
-    k = sh["kpis"]
-    bad_kpi = k.where(~changes.kpi_item_valid(F.col("code"), F.col("title"), F.col("weight"), F.col("note"),
-                                              F.col("measure"), F.col("criteria"), F.col("unit"))).select("seq")
-    cs = sh["competency_scores"]
-    dup_comp = cs.groupBy("seq", "comp_id").count().where(F.col("count") > 1).select("seq")
-    comp_ids = sized_broadcast(comps.select(F.col("id").alias("comp_id")))
-    unknown_comp = cs.join(comp_ids, "comp_id", "left_anti").select("seq")
-    long_note = cs.where(~changes.within_lengths("eval_competency_score", {"note": F.col("note")})).select("seq")
-    dp = sh["development_plan"]
-    bad_dp = dp.where((~is_blank("timing") & try_date("timing").isNull())
-                      | ~changes.within_lengths("eval_dev_plan", {"content": F.col("content"),
-                                                                  "priority": F.col("priority"),
-                                                                  "remarks": F.col("remarks")})).select("seq")
-    ad = sh["additional"]
-    bad_ad = ad.where(~changes.within_lengths("eval_additional", {q: F.col(q) for q in docs.QUESTIONS})).select("seq")
-    bad = bad_kpi.union(dup_comp).union(unknown_comp).union(long_note).union(bad_dp).union(bad_ad).distinct()
-    ev = log.select("seq", "ts", "user_id", "form_id", "due_date").join(
-        sh["head"].select("seq", F.col("status").alias("req_status")), "seq")
-    ev = ev.join(bad.withColumn("__bad", F.lit(True)), "seq", "left")
+    p = docs.parse(log.select("seq", "ts", "user_id", "form_id", "due_date", "doc"), docs.SAVE_DOC).drop("doc")
+    z = lambda c, d: F.coalesce(c, F.lit(d))  # noqa: E731  Go zero value of an absent field
+    kpis = F.coalesce(F.col("d.kpis"), F.array())
+    bad_kpi = F.exists(kpis, lambda k: ~changes.kpi_item_valid(
+        z(k["code"], ""), z(k["title"], ""), z(k["weight"], 0), z(k["note"], ""), z(k["measure"], ""),
+        z(k["criteria"], ""), z(k["unit"], "")))
+    cs = F.coalesce(F.col("d.competency_scores"), F.array())
+    comp_ids = F.transform(cs, lambda c: c["comp_id"])
+    dup_comp = F.size(F.array_distinct(comp_ids)) < F.size(comp_ids)
+    long_note = F.exists(cs, lambda c: ~changes.within_lengths("eval_competency_score", {"note": z(c["note"], "")}))
+    dp = F.coalesce(F.col("d.development_plan"), F.array())
+    bad_dp = F.exists(dp, lambda x: (~is_blank(z(x["timing"], "")) & try_date(z(x["timing"], "")).isNull())
+                      | ~changes.within_lengths("eval_dev_plan", {"content": z(x["content"], ""),
+                                                                  "priority": z(x["priority"], ""),
+                                                                  "remarks": z(x["remarks"], "")}))
+    bad_ad = ~changes.within_lengths("eval_additional", {q: z(F.col(f"d.additional.{q}"), "") for q in docs.QUESTIONS})
+    local_bad = bad_kpi | dup_comp | long_note | bad_dp | bad_ad
+    # parse once: the flagged events feed three aggregates and joins below
+    ev = cut_lineage(p.select("seq", "ts", "user_id", "form_id", "due_date",
+                              z(F.col("d.status"), 0).alias("req_status"),
+                              local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids")))
+    known = sized_broadcast(comps.select(F.col("id").alias("comp_id")))
+    unknown = (ev.select("seq", F.explode("__comp_ids").alias("comp_id"))
+               .join(known, "comp_id", "left_anti").select("seq").distinct()
+               .withColumn("__unknown", F.lit(True)))
+    ev = ev.drop("__comp_ids").join(unknown, "seq", "left")
     a = assignments.select("form_id", "user_id", F.col("status").alias("stored_status"))
     ev = ev.join(a, ["form_id", "user_id"], "left")
     can_create = is_blank("due_date") | try_date("due_date").isNotNull()
     first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
     ev = ev.join(first_ok, ["form_id", "user_id"], "left")
     creatable = F.coalesce(F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
+    valid = creatable & ~F.col("__local_bad") & F.col("__unknown").isNull()
     return ev.select("seq", "ts", "user_id", "form_id", "due_date", "req_status",
                      normalize_status("req_status").alias("status"), "stored_status",
-                     creatable.alias("creatable"),
-                     (creatable & F.col("__bad").isNull()).alias("valid"))
+                     creatable.alias("creatable"), valid.alias("valid"))
 
 
 def resolve_save_log(events: DataFrame) -> DataFrame:
