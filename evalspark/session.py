@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,11 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoint directory for written tables."""
-    base = os.path.dirname(ensure_checkpoint_dir(spark).rstrip("/"))
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base if os.path.isdir(base) else None)
