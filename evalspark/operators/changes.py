@@ -275,7 +275,8 @@ def create_users(users: DataFrame, companies: DataFrame, requests: DataFrame) ->
     links = (created.select(F.col("id").alias("user_id"), F.explode_outer("company_ids").alias("cid"))
              .select("user_id", F.col("cid").try_cast("long").alias("company_id"))
              .join(sized_broadcast(companies.select(F.col("id").alias("company_id"))), "company_id", "left_semi")
-             .dropDuplicates(["user_id", "company_id"]))
+             .dropDuplicates(["user_id", "company_id"])
+             .select("user_id", "company_id"))
     return new_users, links
 
 

@@ -138,3 +138,65 @@ def test_dense_ids_across_partitions(spark):
     out = changes.assign_ids(df, ["k"], 100)
     got = rows(out, "k", "id")
     assert got == [(k, 101 + k) for k in range(1000)]
+
+
+def test_update_owned_kpis_rules(spark):
+    kpis = spark.createDataFrame(
+        [(1, 10, 1, "t1", 5.0, 10, 3.0, 2.0, "c", None, None, None, None, None)],
+        "id long, assignment_id long, idx int, title string, max_score double, weight int, expected_score double, "
+        "score double, code string, note string, measure string, criteria string, unit string, updated_at timestamp")
+    a = spark.createDataFrame([(10, 7, 3)], "id long, form_id long, user_id long")
+    ch = spark.createDataFrame(
+        [(1, 1, 7, 4, 2, "", "new", 5.0, 50, 3.0, 4.0, "", "m", "", ""),       # wrong owner: skipped
+         (2, 1, 7, 3, 3, "x", "bad", 5.0, 150, 3.0, 4.0, "", "m", "", ""),     # weight 150: skipped
+         (3, 1, 7, 3, 4, "", "ok", 5.0, 60, 3.0, 1.0, "", "m", "", "")],       # applied, '' -> NULL
+        "seq long, kpi_id long, form_id long, user_id long, idx int, code string, title string, max_score double, "
+        "weight int, expected_score double, score double, note string, measure string, criteria string, unit string")
+    from evalspark.sources.tables import conform
+    new, report = changes.update_owned_kpis(conform(kpis, "eval_kpi_user"), a, ch, "2025-02-28 00:00:00")
+    assert rows(new, "id", "idx", "code", "title", "weight", "measure") == [(1, 4, None, "ok", 60, "m")]
+    assert rows(report, "seq", "updated") == [(1, False), (2, False), (3, True)]
+
+
+def test_build_steps_rules(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    a = spark.createDataFrame([(100, 5, 1)], "id long, form_id long, user_id long")
+    steps = spark.createDataFrame([(40, 100, 1, 1, 1)], "id long, assignment_id long, idx int, evaluator_id long, status int")
+    req = spark.createDataFrame(
+        [(1, 5, 1, '{"evaluators":[2,3]}'), (2, 5, 1, '{"evaluators":[]}'), (3, 5, 1, '{"evaluators":[9]}'),
+         (4, 5, 1, '{"evaluators":[1]}')],
+        "seq long, form_id long, user_id long, doc string")
+    got = rows(workflow.build_steps(req, a, users, steps), "id", "idx", "evaluator_id", "evaluator_name", "status")
+    # self first and active; empty list and unknown evaluator create nothing; self not de-duplicated
+    assert got == [(41, 1, 1, "a", 1), (42, 2, 2, "b", 0), (43, 3, 3, "c", 0), (44, 1, 1, "a", 1), (45, 2, 1, "a", 0)]
+
+
+def test_create_users_rules(spark):
+    users = spark.createDataFrame([(1, "P1", "x@e")], "id long, person_code string, email string")
+    comps = spark.createDataFrame([(1,), (2,)], "id long")
+    req = spark.createDataFrame(
+        [(1, "n1", "x@e", "P9", ["1"]),            # email taken
+         (2, "n2", "y@e", "P2", ["1", "1", "7"]),  # dup + unknown company skipped
+         (3, "n3", "y@e", "P3", ["2"]),            # same email as an earlier request
+         (4, "n4", "z@e", "P4", None)],
+        "seq long, name string, email string, personcode string, company_ids array<string>")
+    for f in ("role", "position", "department", "urlimage", "start_date", "confirm_date"):
+        req = req.withColumn(f, F.lit(""))
+    nu, links = changes.create_users(users, comps, req)
+    assert rows(nu, "id", "seq", "email") == [(2, 2, "y@e"), (3, 4, "z@e")]
+    assert rows(links) == [(2, 1)]
+
+
+def test_prepare_forms_rules(spark):
+    from evalspark.operators import requests
+    forms = spark.createDataFrame([(1, "F1")], "id long, code string")
+    req = spark.createDataFrame(
+        [(1, "F1", "t", "", 0, "", ""),               # code taken
+         (2, "N2", "t", "en", 0, "2024-01-01", "x"),   # total 0 -> 100
+         (3, "N3", "t", "", 50, "bad", ""),            # bad date
+         (4, "N2", "t", "", 100, "", "")],             # code repeated in the log
+        "seq long, code string, title_th string, title_en string, total_weight int, eval_start string, remark string")
+    for c in ("kpi_weight", "comp_weight", "ta_weight", "calc_method", "score_scheme"):
+        req = req.withColumn(c, F.lit(1))
+    got = rows(requests.prepare_forms(forms, req), "id", "code", "title_en", "total_weight", "eval_start", "remark")
+    assert got == [(2, "N2", "en", 100, D(2024, 1, 1), "x")]
