@@ -84,7 +84,7 @@ def append_children(base: DataFrame, rows: DataFrame, parent_key: str, order: li
     cols = [c for c in base.columns]
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
                        for c in cols])
-    touched = rows.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True))
+    touched = sized_broadcast(rows.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
     allrows = base.unionByName(new)
     j = allrows.join(touched, allrows[parent_key] == touched["__p"], "left")
     return j.select(*[F.when(F.col("__t"), F.lit(as_of_ts).cast(base.schema[stamp_col].dataType))
@@ -98,7 +98,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
     ``parents`` and ``rows`` are separate inputs so a parent whose new list is
     empty still loses its old rows.
     """
-    keep = base.join(parents.select(parent_key).distinct(), parent_key, "left_anti")
+    keep = base.join(sized_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
     return keep.unionByName(rows.select(*base.columns))
 
 
@@ -106,7 +106,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_col: str = "seq") -> DataFrame:
     """M3: one row per key (MERGE): the latest change replaces or inserts."""
     last = latest_per_key(changes, keys, order_col).drop(order_col)
-    keep = base.join(last.select(*keys), keys, "left_anti")
+    keep = base.join(sized_broadcast(last.select(*keys)), keys, "left_anti")
     return keep.unionByName(last.select(*base.columns))
 
 

@@ -4,26 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only after its row count is checked against this bound
-# (configurable with ``evalspark.broadcast.maxRows``).  Beyond it the join is
-# left to a shuffle join, where AQE can still convert it from real sizes and
-# split skewed keys.
+# A side is broadcast only after its size is checked: at most
+# ``evalspark.broadcast.maxRows`` rows (default 1,000,000) and an estimated
+# ``evalspark.broadcast.maxBytes`` (default 64 MB, from the schema's widths).
+# Beyond either bound the join is left to a shuffle join, where AQE can still
+# convert it from real sizes and split skewed keys.
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
+
+
+def _conf_int(df: DataFrame, key: str, default: int) -> int:
+    v = df.sparkSession.conf.get(key, None)
+    return int(v) if v else default
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("evalspark.broadcast.maxRows", None)
-    return int(v) if v else DEFAULT_BROADCAST_MAX_ROWS
+    return _conf_int(df, "evalspark.broadcast.maxRows", DEFAULT_BROADCAST_MAX_ROWS)
+
+
+def row_width(dt: T.DataType) -> int:
+    """Rough bytes per value, for the broadcast size check (arrays counted as 8 elements)."""
+    if isinstance(dt, T.StructType):
+        return sum(row_width(f.dataType) for f in dt.fields) + 8
+    if isinstance(dt, T.ArrayType):
+        return 8 * row_width(dt.elementType) + 16
+    if isinstance(dt, T.MapType):
+        return 8 * (row_width(dt.keyType) + row_width(dt.valueType)) + 16
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 32
+    if isinstance(dt, T.DecimalType):
+        return 16
+    return 8
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged.
+    """``broadcast(df)`` if its checked size is within the bounds, else ``df`` unchanged.
 
-    Meant for dimension-like inputs (forms, competencies, grade bands,
-    companies): the count scans only that small table.
+    Meant for dimension-like inputs (forms, competencies, band candidates,
+    companies, user names) and for change sets joined to a large base table:
+    the count scans only that input (and stops after the bound).
     """
+    width = max(row_width(df.schema), 1)
     limit = max_rows if max_rows is not None else broadcast_limit(df)
+    limit = min(limit, _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES) // width)
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 

@@ -93,37 +93,41 @@ STEP_STATE = T.StructType([
 def _step_change_inputs(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = steps if "eval_date" in steps.columns else steps.withColumn("eval_date", F.lit(None).cast("date"))
     s = s.select(*[f.name for f in STEP_STATE])
-    # the UPDATE joins users on evaluator_id: a step whose evaluator is gone is "not found"
-    live = s.join(sized_broadcast(users.select(F.col("id").alias("evaluator_id"))), "evaluator_id", "left_semi")
     c = change_log.select("seq", "step_id", F.col("status").cast("int").alias("new_status"),
                           is_blank("eval_date").alias("blank"), try_date("eval_date").alias("new_date"))
     # a non-blank date that does not parse fails the UPDATE: no change
-    c = c.where(F.col("blank") | F.col("new_date").isNotNull())
-    c = c.join(live.select(F.col("id").alias("step_id"), "assignment_id"), "step_id")
+    c = c.where(F.col("blank") | F.col("new_date").isNotNull()).drop("blank")
+    # the UPDATE joins users on evaluator_id: a step whose evaluator is gone is "not found"
+    live = s.select(F.col("id").alias("step_id"), "assignment_id", "evaluator_id").join(
+        sized_broadcast(users.select(F.col("id").alias("evaluator_id"))), "evaluator_id", "left_semi")
+    c = c.join(live.drop("evaluator_id"), "step_id")
     return s, c
 
 
 def update_steps(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> DataFrame:
-    """Apply step changes (seq, step_id, status, eval_date) - set-based path.
+    """Apply step changes (seq, step_id, status, eval_date).
 
     Each change sets status (any int) and eval_date (blank -> NULL).  When
     the new status is 2 and no step of the assignment is active afterwards,
     the steps with the next idx that are still waiting become active.
-    Assignments that receive one change are resolved with joins and
-    aggregates; assignments with several changes need the changes in order
-    and go through :func:`replay_step_changes`.
+    Assignments that receive one change - the common case - are resolved with
+    joins and aggregates; assignments with several changes need them in order
+    and go through the streamed fold (:func:`replay_step_changes`).
+    The change set is materialised once (it is read by both paths); the step
+    table is tagged in one pass with a size-checked broadcast of the
+    several-change assignments.
     """
     s, c = _step_change_inputs(steps, change_log, users)
-    per_a = c.groupBy("assignment_id").agg(F.count(F.lit(1)).alias("__n"))
-    multi = per_a.where(F.col("__n") > 1).select("assignment_id")
-    single_c = c.join(multi, "assignment_id", "left_anti")
-    s_single = s.join(multi, "assignment_id", "left_anti")
-    s_multi = s.join(multi, "assignment_id", "left_semi")
-    c_multi = c.join(multi, "assignment_id", "left_semi")
-
-    ch = single_c.select(F.col("step_id").alias("id"), "new_status", "new_date",
-                         F.lit(True).alias("__hit"))
-    j = s_single.join(ch, "id", "left")
+    n = c.groupBy("assignment_id").agg(F.count(F.lit(1)).alias("__n"))
+    c = cut_lineage(c.join(n, "assignment_id"))
+    multi = c.where(F.col("__n") > 1).select("assignment_id").distinct().withColumn("__multi", F.lit(True))
+    tagged = s.join(sized_broadcast(multi), "assignment_id", "left")
+    s_single = tagged.where(F.col("__multi").isNull()).drop("__multi")
+    s_multi = tagged.where(F.col("__multi")).drop("__multi")
+
+    ch = c.where(F.col("__n") == 1).select(F.col("step_id").alias("id"), "new_status", "new_date",
+                                           F.lit(True).alias("__hit"))
+    j = s_single.join(sized_broadcast(ch), "id", "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     st1 = F.when(hit, F.col("new_status")).otherwise(F.col("status"))
     dt1 = F.when(hit, F.col("new_date")).otherwise(F.col("eval_date"))
@@ -137,7 +141,7 @@ def update_steps(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> D
     single_out = k.select("id", "assignment_id", "idx", "evaluator_id",
                           F.when(opens, F.lit(1)).otherwise(F.col("status")).cast("int").alias("status"),
                           "eval_date")
-    return single_out.unionByName(replay_step_changes(s_multi, c_multi))
+    return single_out.unionByName(replay_step_changes(s_multi, c.where(F.col("__n") > 1).drop("__n")))
 
 
 def _fold_steps(batches):
