@@ -329,3 +329,8 @@ def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
         if t in tables:
             out[t] = tables[t].join(gone_a, "assignment_id", "left_anti")
     return out, deleting.select(F.col("uid").alias("user_id"))
+
+
+# SURVEY section 2 names for the KPI-specific operators
+update_owned = update_owned_kpis
+delete_owned = delete_owned_kpis

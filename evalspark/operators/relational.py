@@ -105,3 +105,7 @@ def form_listing(forms: DataFrame) -> DataFrame:
 def blank_fields_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
     """F1 applied to several text columns."""
     return df.select(*[blank_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# SURVEY section 2 name
+kpis_by_form = kpi_listing
