@@ -111,15 +111,18 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_col: str
 
 
 # ---------------------------------------------------------- M4 get-or-create
-def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: str) -> DataFrame:
+def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: str,
+                       forms: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """M4: apply EnsureAssignment requests (seq, form_id, user_id, due_date[, ts]) in order.
 
     Existing pair: the last non-blank due that parses wins (a bad date's
     update fails and keeps the old value).  New pair: created by its first
     request whose due is blank or parses (a bad date fails the insert), with
     status 0 and due = that date or, when blank, the request day in
-    Asia/Bangkok; later parsable dues overwrite it.  New ids are dense after
-    the current maximum, in order of the creating request.
+    Asia/Bangkok; later parsable dues overwrite it.  With ``forms`` /
+    ``users`` given, a pair naming a missing form or user is never created
+    (the insert breaks a foreign key).  New ids are dense after the current
+    maximum, in order of the creating request.
     """
     ts = F.col("ts") if "ts" in requests.columns else F.lit(as_of_ts)
     r = requests.select("seq", "form_id", "user_id", ts.alias("ts"),
@@ -133,6 +136,7 @@ def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: st
                          ["form_id", "user_id"], "left")
     existing_upd = known.where(F.col("exists")).select("form_id", "user_id", "last_due")
     created = known.where(F.col("exists").isNull() & F.col("creator").isNotNull())
+    created = with_parents(created, forms, users)
     created = assign_ids(created.select("form_id", "user_id", "last_due", F.col("creator.seq").alias("c_seq"),
                                         F.col("creator.ts").alias("c_ts"), F.col("creator.due").alias("c_due")),
                          ["c_seq"], max_id(assignments))
@@ -144,6 +148,15 @@ def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: st
     return upd.unionByName(new_rows)
 
 
+def with_parents(pairs: DataFrame, forms: DataFrame | None, users: DataFrame | None) -> DataFrame:
+    """Keep (form_id, user_id) pairs whose form and user exist (the assignment FKs)."""
+    if forms is not None:
+        pairs = pairs.join(sized_broadcast(forms.select(F.col("id").alias("form_id"))), "form_id", "left_semi")
+    if users is not None:
+        pairs = pairs.join(sized_broadcast(users.select(F.col("id").alias("user_id"))), "user_id", "left_semi")
+    return pairs
+
+
 # --------------------------------------------------------- M5 / M6 / A9 owned
 def _owned(children: DataFrame, assignments: DataFrame, changes: DataFrame, child_key: str) -> DataFrame:
     """Changes (seq, <child_key>, form_id, user_id, ...) whose child belongs to (form_id, user_id)."""

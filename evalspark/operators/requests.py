@@ -50,7 +50,8 @@ def append_kpi_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts:
     but its assignment stays.  ``code`` '' is kept on append.
     """
     nonempty, rows, bad = _kpi_requests(log)
-    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts)
+    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts,
+                                    tables.get("eval_form"), tables.get("users"))
     ok = rows.join(bad, "seq", "left_anti").join(nonempty.select("seq", "form_id", "user_id"), "seq")
     ok = ok.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
     base = conform(tables["eval_kpi_user"], "eval_kpi_user")
@@ -69,7 +70,8 @@ def replace_kpi_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts:
     the surviving rows in (seq, position) order.
     """
     nonempty, rows, bad = _kpi_requests(log)
-    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts)
+    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts,
+                                    tables.get("eval_form"), tables.get("users"))
     good = nonempty.join(bad, "seq", "left_anti").join(
         a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
     last = good.groupBy("assignment_id").agg(F.max("seq").alias("seq"))

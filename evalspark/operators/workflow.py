@@ -220,13 +220,15 @@ def replay_all_step_changes(steps: DataFrame, change_log: DataFrame, users: Data
 
 
 # ------------------------------------------------------------ W5 save lock
-def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame) -> DataFrame:
+def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
+                forms: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """Per save request: parsed head, ``valid`` (constraint checks) and ``creatable``.
 
     Invalid = a row the tables would refuse: duplicate or unknown comp_id,
     KPI weight outside 0..100, a non-blank development-plan date that does not
     parse, or text over its length.  ``creatable`` is false when a new
-    assignment cannot be made because the due date does not parse.
+    assignment cannot be made: the due date does not parse, or (with
+    ``forms`` / ``users``) the form or user does not exist.
 
     The document is parsed once (and the flagged rows materialised); the
     per-list rules are higher-order functions over the parsed arrays
@@ -263,6 +265,7 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame) -> Dat
     ev = ev.join(a, ["form_id", "user_id"], "left")
     can_create = is_blank("due_date") | try_date("due_date").isNotNull()
     first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
+    first_ok = changes.with_parents(first_ok, forms, users)
     ev = ev.join(first_ok, ["form_id", "user_id"], "left")
     creatable = F.coalesce(F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
     valid = creatable & ~F.col("__local_bad") & F.col("__unknown").isNull()
@@ -293,9 +296,11 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str)
     advances once (W3).
     """
     # the resolved events feed several id assignments: materialise them once
-    ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"])))
+    ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
+                                                  tables.get("eval_form"), tables.get("users"))))
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
-    a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts)
+    a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
+                                    tables.get("eval_form"), tables.get("users"))
     acc = ev.where(F.col("accepted"))
     last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
@@ -368,7 +373,8 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
     its own document (plus form weights and bands): the scoring functions run
     keyed by ``seq`` instead of assignment, with no sequential state.
     """
-    ev = resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"]))
+    ev = resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
+                                      tables.get("eval_form"), tables.get("users")))
     acc = ev.where(F.col("accepted")).select("seq", "form_id", "user_id", "req_status")
     sh = docs.shred_save_documents(log.join(acc.select("seq"), "seq", "left_semi"), ["seq"])
     k = kpi_percent(sh["kpis"].withColumnRenamed("seq", "assignment_id"))
@@ -389,7 +395,8 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
     # the assignment id a save answers with (after EnsureAssignment)
     a1 = changes.ensure_assignments(
         tables["eval_assignment"],
-        ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts"), as_of_ts)
+        ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts"), as_of_ts,
+        tables.get("eval_form"), tables.get("users"))
     return graded.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
                        ["form_id", "user_id"]).select(
         "seq", "assignment_id", "status", "kpi_pct", "comp_pct", "ta_pct", "total_pct", "grade")

@@ -23,30 +23,33 @@ keys AS (select form_id, user_id, min(seq) as c_seq from req
          where coalesce(trim(due_date) = '', true) or try_cast(nullif(trim(due_date), '') as date) is not null
          group by form_id, user_id),
 newk AS (select * from keys k where not exists
-         (select 1 from eval_assignment a where a.form_id = k.form_id and a.user_id = k.user_id)),"""
+         (select 1 from eval_assignment a where a.form_id = k.form_id and a.user_id = k.user_id)
+         and k.form_id in (select id from eval_form) and k.user_id in (select id from users)),"""
 
 
-@query("dense_ids", oracle(("save_log", "eval_assignment"), _NEW_KEYS,
+@query("dense_ids", oracle(("save_log", "eval_assignment", "eval_form", "users"), _NEW_KEYS,
                            "select form_id, user_id, (select max(id) from eval_assignment)"
                            " + row_number() over (order by c_seq) as id from newk"))
 def q_dense_ids(spark, sf_dir):
     """Dense new ids for save-log keys that have no assignment, in order of first request."""
-    t = fixture_tables(spark, sf_dir, ["save_log", "eval_assignment"])
+    t = fixture_tables(spark, sf_dir, ["save_log", "eval_assignment", "eval_form", "users"])
     s = t["save_log"]
     ok = sc.is_blank("due_date") | sc.try_date("due_date").isNotNull()
     keys = s.where(ok).groupBy("form_id", "user_id").agg(F.min("seq").alias("c_seq"))
-    new = keys.join(t["eval_assignment"], ["form_id", "user_id"], "left_anti")
+    new = changes.with_parents(keys.join(t["eval_assignment"], ["form_id", "user_id"], "left_anti"),
+                               t["eval_form"], t["users"])
     return changes.assign_ids(new, ["c_seq"], changes.max_id(t["eval_assignment"])).select(
         "form_id", "user_id", "id")
 
 
-@query("ensure_assignments", oracle(("save_log", "eval_assignment"), ensure_cte("save_log", AS_OF_TS),
+@query("ensure_assignments", oracle(("save_log", "eval_assignment", "eval_form", "users"),
+                                    ensure_cte("save_log", AS_OF_TS),
                                     "select id, form_id, user_id, status,"
                                     " strftime(due_date, '%Y-%m-%d') as due_date from a1"))
 def q_ensure_assignments(spark, sf_dir):
     """M4: assignment table after every save-log request's get-or-create and due update."""
-    t = fixture_tables(spark, sf_dir, ["save_log", "eval_assignment"])
-    a = changes.ensure_assignments(t["eval_assignment"], t["save_log"], AS_OF_TS)
+    t = fixture_tables(spark, sf_dir, ["save_log", "eval_assignment", "eval_form", "users"])
+    a = changes.ensure_assignments(t["eval_assignment"], t["save_log"], AS_OF_TS, t["eval_form"], t["users"])
     return a.select("id", "form_id", "user_id", "status", sc.iso_date("due_date").alias("due_date"))
 
 
@@ -87,12 +90,12 @@ def _kpi_out(df):
                      F.col("updated_at").isNotNull().alias("stamped"))
 
 
-@query("append_kpis", oracle(("eval_assignment", "eval_kpi_user", "kpi_bulk_log"), _APPEND_SQL,
+@query("append_kpis", oracle(("eval_assignment", "eval_kpi_user", "kpi_bulk_log", "eval_form", "users"), _APPEND_SQL,
                              f"select {_KPI_OUT}, assignment_id in (select assignment_id from newrows) as stamped"
                              " from allrows"))
 def q_append_kpis(spark, sf_dir):
     """M1: KPI table after the bulk-append requests (ensure assignment, append, stamp parent)."""
-    t = fixture_tables(spark, sf_dir, ["eval_assignment", "eval_kpi_user", "kpi_bulk_log"])
+    t = fixture_tables(spark, sf_dir, ["eval_assignment", "eval_kpi_user", "kpi_bulk_log", "eval_form", "users"])
     out = requests.append_kpi_requests(t, t["kpi_bulk_log"], AS_OF_TS)
     return _kpi_out(out["eval_kpi_user"])
 
@@ -107,11 +110,12 @@ allrows AS (""" + _KPI_BASE + """, false as stamped from eval_kpi_user
             union all select """ + _KPI_NEW.format(code="nullif(code, '')") + """, true as stamped from keep),"""
 
 
-@query("replace_kpis", oracle(("eval_assignment", "eval_kpi_user", "kpi_bulk_log"), _REPLACE_SQL,
+@query("replace_kpis", oracle(("eval_assignment", "eval_kpi_user", "kpi_bulk_log", "eval_form", "users"),
+                              _REPLACE_SQL,
                               f"select {_KPI_OUT}, stamped from allrows"))
 def q_replace_kpis(spark, sf_dir):
     """M2: KPI table after the replace-all requests (last valid list per assignment wins)."""
-    t = fixture_tables(spark, sf_dir, ["eval_assignment", "eval_kpi_user", "kpi_bulk_log"])
+    t = fixture_tables(spark, sf_dir, ["eval_assignment", "eval_kpi_user", "kpi_bulk_log", "eval_form", "users"])
     out = requests.replace_kpi_requests(t, t["kpi_bulk_log"], AS_OF_TS)
     return _kpi_out(out["eval_kpi_user"])
 

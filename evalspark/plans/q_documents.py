@@ -10,7 +10,7 @@ from ..sources import documents as docs
 from .registry import query
 from .sqlparts import KPI_INVALID, KPI_ITEM_COLS, KPI_JSON, SAVE_EVENTS_CTE, SUMMARY_CTE, SUMMARY_VIEWS, oracle
 
-_SAVE_VIEWS = ("save_log", "eval_assignment", "eval_competency")
+_SAVE_VIEWS = ("save_log", "eval_assignment", "eval_competency", "eval_form", "users")
 
 
 @query("shred_kpis", oracle(_SAVE_VIEWS, SAVE_EVENTS_CTE,

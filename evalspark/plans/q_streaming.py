@@ -26,11 +26,12 @@ def stage_log_files(log, log_dir: str, chunks: int) -> None:
 
 def q_stream_save_state(spark, sf_dir):
     """State after the save log applied micro-batch by micro-batch (must equal save_log_state)."""
-    t = fixture_tables(spark, sf_dir, ["save_log"] + list(STATE_TABLES))
+    t = fixture_tables(spark, sf_dir, ["save_log", "eval_form", "users"] + list(STATE_TABLES))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stage_log_files(t["save_log"], f"{base}/log", STREAM_CHUNKS)
     final = stream_save_log(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", AS_OF_TS,
-                            initial={n: t[n] for n in STATE_TABLES})
+                            initial={n: t[n] for n in STATE_TABLES},
+                            dims={n: t[n] for n in ("eval_form", "users")})
     return state_by_key(final, t["save_log"])
 
 

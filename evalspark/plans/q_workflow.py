@@ -101,7 +101,7 @@ def q_replay_step_changes(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- W5/W6
-_SAVE_VIEWS = ("save_log", "eval_assignment", "eval_competency")
+_SAVE_VIEWS = ("save_log", "eval_assignment", "eval_competency", "eval_form", "users")
 
 
 @query("save_log_accepted", oracle(_SAVE_VIEWS, SAVE_EVENTS_CTE,
@@ -109,29 +109,31 @@ _SAVE_VIEWS = ("save_log", "eval_assignment", "eval_competency")
 def q_save_log_accepted(spark, sf_dir):
     """Validity and acceptance (lock) of every save request."""
     t = fixture_tables(spark, sf_dir, list(_SAVE_VIEWS))
-    ev = workflow.resolve_save_log(workflow.save_events(t["save_log"], t["eval_assignment"], t["eval_competency"]))
+    ev = workflow.resolve_save_log(workflow.save_events(t["save_log"], t["eval_assignment"], t["eval_competency"],
+                                                        t["eval_form"], t["users"]))
     return ev.select("seq", "user_id", "form_id", "status", "valid", "accepted")
 
 
-@query("save_log_due", oracle(("save_log", "eval_assignment"), ensure_cte("save_log", AS_OF_TS),
+@query("save_log_due", oracle(("save_log", "eval_assignment", "eval_form", "users"), ensure_cte("save_log", AS_OF_TS),
                               "select a.form_id, a.user_id, strftime(a.due_date, '%Y-%m-%d') as due_date from a1 a"
                               " where exists (select 1 from save_log s where s.form_id = a.form_id"
                               " and s.user_id = a.user_id)"))
 def q_save_log_due(spark, sf_dir):
     """Due date of every key in the save log (last parsable due of any request wins)."""
     t = fixture_tables(spark, sf_dir, list(_SAVE_VIEWS) + ["eval_step"])
-    ev = workflow.resolve_save_log(workflow.save_events(t["save_log"], t["eval_assignment"], t["eval_competency"]))
+    ev = workflow.resolve_save_log(workflow.save_events(t["save_log"], t["eval_assignment"], t["eval_competency"],
+                                                        t["eval_form"], t["users"]))
     from ..operators.changes import ensure_assignments
     a1 = ensure_assignments(t["eval_assignment"],
                             ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts"),
-                            AS_OF_TS)
+                            AS_OF_TS, t["eval_form"], t["users"])
     keys = t["save_log"].select("form_id", "user_id")
     return a1.join(keys, ["form_id", "user_id"], "left_semi").select(
         "form_id", "user_id", sc.iso_date("due_date").alias("due_date"))
 
 
 _STATE_VIEWS = ("save_log", "eval_assignment", "eval_competency", "eval_kpi_user", "eval_competency_score",
-                "eval_ta_score", "eval_dev_plan", "eval_additional", "eval_step")
+                "eval_ta_score", "eval_dev_plan", "eval_additional", "eval_step", "eval_form", "users")
 _STATE_SQL = SAVE_EVENTS_CTE + ensure_cte("save_log", AS_OF_TS) + """
 keys AS (select distinct form_id, user_id from save_log),
 lastacc AS (select r.user_id, r.form_id, r.seq, r.status from res r
@@ -215,11 +217,11 @@ scored AS (select seq as assignment_id, form_id, user_id, req_status, round(k, 6
              round((k * kpi_weight + c * comp_weight + t * ta_weight) / 100.0, 6) as total_pct from raw_r),""" + GRADE_CTE
 
 
-@query("save_results", oracle(_SAVE_VIEWS + ("eval_form", "eval_grade_band"), _RESULT_SQL,
+@query("save_results", oracle(_SAVE_VIEWS + ("eval_grade_band",), _RESULT_SQL,
                               "select s.assignment_id as seq, a.id as assignment_id, s.req_status as status,"
                               " s.kpi_pct, s.comp_pct, s.ta_pct, s.total_pct, s.grade"
                               " from summary s join a1 a on a.form_id = s.form_id and a.user_id = s.user_id"))
 def q_save_results(spark, sf_dir):
     """Response of each accepted save (assignment id, requested status, its summary)."""
-    t = fixture_tables(spark, sf_dir, list(_SAVE_VIEWS) + ["eval_form", "eval_grade_band"])
+    t = fixture_tables(spark, sf_dir, list(_SAVE_VIEWS) + ["eval_grade_band"])
     return workflow.save_results(t, t["save_log"], AS_OF_TS)

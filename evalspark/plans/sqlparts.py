@@ -91,7 +91,8 @@ BKK_DATE = "cast({ts} + interval 7 hour as date)"
 
 def ensure_cte(req: str, as_of_ts: str, out: str = "a1") -> str:
     """CTEs applying EnsureAssignment requests ``req(seq, ts, form_id, user_id, due_date)``
-    to ``eval_assignment``; defines ``{out}(id, form_id, user_id, status, due_date)``."""
+    to ``eval_assignment``; defines ``{out}(id, form_id, user_id, status, due_date)``.
+    Needs the ``eval_form`` and ``users`` views (new pairs must name existing ones)."""
     bkk = BKK_DATE.format(ts="n.c_ts")
     return f"""
 {out}_req AS (
@@ -106,7 +107,8 @@ def ensure_cte(req: str, as_of_ts: str, out: str = "a1") -> str:
 {out}_new AS (
   select k.form_id, k.user_id, k.last_due, k.c_seq, r.ts as c_ts, r.due as c_due
   from {out}_key k join {out}_req r on r.seq = k.c_seq
-  where not exists (select 1 from eval_assignment a where a.form_id = k.form_id and a.user_id = k.user_id)),
+  where not exists (select 1 from eval_assignment a where a.form_id = k.form_id and a.user_id = k.user_id)
+    and k.form_id in (select id from eval_form) and k.user_id in (select id from users)),
 {out} AS (
   select a.id, a.form_id, a.user_id, a.status, coalesce(k.last_due, a.due_date) as due_date
   from eval_assignment a left join {out}_key k on k.form_id = a.form_id and k.user_id = a.user_id
@@ -168,7 +170,8 @@ sv_ev AS (select s.seq, s.ts, s.user_id, s.form_id, s.due_date, coalesce(d.d.sta
           from save_log s join sv_docs d on d.seq = s.seq
           left join eval_assignment a on a.form_id = s.form_id and a.user_id = s.user_id),
 sv_fc AS (select form_id, user_id, min(seq) as c from sv_ev
-          where coalesce(trim(due_date) = '', true) or try_cast(nullif(trim(due_date), '') as date) is not null
+          where (coalesce(trim(due_date) = '', true) or try_cast(nullif(trim(due_date), '') as date) is not null)
+            and form_id in (select id from eval_form) and user_id in (select id from users)
           group by form_id, user_id),
 sv_ev2 AS (select e.*, cast(case when req_status between 0 and 2 then req_status else 0 end as int) as status,
                   coalesce(e.stored_status is not null or e.seq >= f.c, false) as creatable

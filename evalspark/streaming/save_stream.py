@@ -56,11 +56,14 @@ def read_state(spark: SparkSession, state_dir: str, upto: int | None = None) ->
 
 def stream_save_log(spark: SparkSession, log_dir: str, state_dir: str, checkpoint: str, as_of_ts: str,
                     initial: dict[str, DataFrame] | None = None, max_files_per_trigger: int = 1,
-                    schema: T.StructType = SAVE_LOG_SCHEMA) -> dict[str, DataFrame]:
+                    schema: T.StructType = SAVE_LOG_SCHEMA,
+                    dims: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Run the save-log stream until all files in ``log_dir`` are processed; return the final state.
 
     ``initial`` tables are written as version 0 when given (first start);
     on a restart pass None and the checkpoint resumes where it stopped.
+    ``dims`` are read-only tables the saves are checked against (``eval_form``,
+    ``users``); they are not versioned.
     """
     if initial is not None:
         write_state(initial, state_dir, 0)
@@ -70,7 +73,7 @@ def stream_save_log(spark: SparkSession, log_dir: str, state_dir: str, checkpoin
             return
         s = batch.sparkSession
         state = read_state(s, state_dir, batch_id)
-        out = apply_save_log(state, batch, as_of_ts)
+        out = apply_save_log({**(dims or {}), **state}, batch, as_of_ts)
         write_state(out, state_dir, batch_id + 1)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)

@@ -200,3 +200,13 @@ def test_prepare_forms_rules(spark):
         req = req.withColumn(c, F.lit(1))
     got = rows(requests.prepare_forms(forms, req), "id", "code", "title_en", "total_weight", "eval_start", "remark")
     assert got == [(2, "N2", "en", 100, D(2024, 1, 1), "x")]
+
+
+def test_new_assignment_needs_existing_form_and_user(spark):
+    a = spark.createDataFrame([], "id long, form_id long, user_id long, status int, due_date date")
+    forms = spark.createDataFrame([(1,)], "id long")
+    users = spark.createDataFrame([(5,)], "id long")
+    req = spark.createDataFrame([(1, 1, 5, ""), (2, 2, 5, ""), (3, 1, 6, "")],
+                                "seq long, form_id long, user_id long, due_date string")
+    got = rows(changes.ensure_assignments(a, req, "2025-02-28 00:00:00", forms, users), "id", "form_id", "user_id")
+    assert got == [(1, 1, 5)]
