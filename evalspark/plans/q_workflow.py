@@ -88,12 +88,46 @@ def q_update_steps(spark, sf_dir):
                     sc.iso_date("eval_date").alias("eval_date"))
 
 
-@query("replay_step_changes")
-def q_replay_step_changes(spark, sf_dir):
-    """W4 with several ordered changes per assignment: the streamed per-assignment fold.
+# The oracle folds each assignment's changes in order with a recursive CTE over
+# a list-of-structs state (one recursion step per change).
+_REPLAY_SQL = """
+rs_steps AS (select id, assignment_id, idx, evaluator_id, status, cast(null as date) as eval_date from eval_step),
+rs_ch AS (select c.seq, c.step_id, s.assignment_id, s.idx as tidx, c.status as new_status,
+                 try_cast(nullif(trim(c.eval_date), '') as date) as new_date
+          from step_replay_log c join rs_steps s on s.id = c.step_id
+          where s.evaluator_id in (select id from users)
+            and (trim(c.eval_date) = '' or try_cast(nullif(trim(c.eval_date), '') as date) is not null)),
+rs_chn AS (select *, row_number() over (partition by assignment_id order by seq) as k from rs_ch),
+rs_init AS (select assignment_id, list(struct_pack(id := id, idx := idx, evaluator_id := evaluator_id,
+                   status := status, eval_date := eval_date)) as st
+            from rs_steps where assignment_id in (select assignment_id from rs_ch) group by assignment_id),
+rs_rec AS (
+  select assignment_id, 0 as k, st from rs_init
+  union all
+  select r.assignment_id, r.k + 1,
+    list_transform(u.u, lambda y: case when c.new_status = 2 and len(list_filter(u.u, lambda z: z.status = 1)) = 0
+                                   and y.idx = c.tidx + 1 and y.status = 0
+                              then struct_pack(id := y.id, idx := y.idx, evaluator_id := y.evaluator_id,
+                                               status := 1, eval_date := y.eval_date)
+                              else y end)
+  from rs_rec r join rs_chn c on c.assignment_id = r.assignment_id and c.k = r.k + 1,
+  lateral (select list_transform(r.st, lambda x: case when x.id = c.step_id
+             then struct_pack(id := x.id, idx := x.idx, evaluator_id := x.evaluator_id,
+                              status := c.new_status, eval_date := c.new_date)
+             else x end) as u) u),
+rs_last AS (select r.assignment_id, r.st from rs_rec r
+            where r.k = (select max(k) from rs_chn c where c.assignment_id = r.assignment_id)),
+rs_out AS (select assignment_id, unnest(st, recursive := true) from rs_last),"""
+
 
-    Rows-only check here; tests compare it with a sequential model.
-    """
+@query("replay_step_changes", "WITH RECURSIVE " + oracle(
+    ("eval_step", "users", "step_replay_log"), _REPLAY_SQL,
+    "select id, assignment_id, idx, evaluator_id, cast(status as int) as status,"
+    " strftime(eval_date, '%Y-%m-%d') as eval_date from rs_out"
+    " union all select id, assignment_id, idx, evaluator_id, status, cast(null as varchar) from rs_steps"
+    " where assignment_id not in (select assignment_id from rs_ch)")[5:])
+def q_replay_step_changes(spark, sf_dir):
+    """W4 with several ordered changes per assignment: the streamed per-assignment fold."""
     t = fixture_tables(spark, sf_dir, ["eval_step", "users", "step_replay_log"])
     s = workflow.update_steps(t["eval_step"], t["step_replay_log"], t["users"])
     return s.select("id", "assignment_id", "idx", "evaluator_id", "status",
@@ -163,7 +197,7 @@ stp AS (select assignment_id, count(*) filter (where status = 1) as active, coun
         from adv group by assignment_id),"""
 
 
-@query("save_log_state", oracle(_STATE_VIEWS, _STATE_SQL,
+STATE_ORACLE = oracle(_STATE_VIEWS, _STATE_SQL,
                                 "select st.form_id, st.user_id, st.assignment_id, cast(st.status as int) as status,"
                                 " strftime(st.due_date, '%Y-%m-%d') as due_date,"
                                 " case when last_seq is not null then coalesce(dk.n, 0) else coalesce(tk.n, 0) end"
@@ -187,7 +221,10 @@ stp AS (select assignment_id, count(*) filter (where status = 1) as active, coun
                                 " left join td on td.assignment_id = st.assignment_id"
                                 " left join eval_ta_score ta on ta.assignment_id = st.assignment_id"
                                 " left join eval_additional x on x.assignment_id = st.assignment_id"
-                                " left join stp on stp.assignment_id = st.assignment_id"))
+                                " left join stp on stp.assignment_id = st.assignment_id")
+
+
+@query("save_log_state", STATE_ORACLE)
 def q_save_log_state(spark, sf_dir):
     """Per (user, form) in the save log, the tables' state after the whole log."""
     t = fixture_tables(spark, sf_dir, list(_STATE_VIEWS))
