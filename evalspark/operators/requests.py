@@ -192,3 +192,21 @@ def patch_user_requests(tables: dict[str, DataFrame], log: DataFrame) -> tuple[D
     return changes.patch_users(conform(tables["users"], "users"), tables["user_companies"],
                                tables["companies"], r)
 
+
+
+def step_chain_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) -> dict[str, DataFrame]:
+    """W2 handler: requests (seq, form_id, user_id, doc{evaluators}).
+
+    The assignment is ensured first for every request (before the body is
+    checked, as in the reference), then valid chains are appended as steps.
+    Returns the new ``eval_assignment`` and ``eval_step`` plus ``new_steps``.
+    """
+    from .workflow import build_steps
+    req = log.select("seq", "form_id", "user_id", F.lit("").alias("due_date"))
+    a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
+                                    tables.get("eval_form"), tables.get("users"))
+    new = build_steps(log, a1, tables["users"], tables["eval_step"])
+    steps = tables["eval_step"]
+    shaped = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                          for f in steps.schema.fields])
+    return {"eval_assignment": a1, "eval_step": steps.unionByName(shaped), "new_steps": new}

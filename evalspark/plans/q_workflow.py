@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF_DATE, AS_OF_TS, fixture_tables
 from ..functions import scalars as sc
-from ..operators import workflow
+from ..operators import requests, workflow
 from .registry import query
 from .sqlparts import GRADE_CTE, SAVE_EVENTS_CTE, ensure_cte, oracle
 
@@ -23,14 +23,18 @@ sr_rows AS (select c.*, a.id as assignment_id, u.name as evaluator_name from sr_
             left join users u on u.id = c.evaluator_id where c.seq not in (select seq from sr_bad)),"""
 
 
-@query("build_steps", oracle(("step_requests", "eval_assignment", "users", "eval_step"), _BUILD_SQL,
+@query("build_steps", oracle(("step_requests", "eval_assignment", "users", "eval_step", "eval_form"),
+                             ensure_cte("step_requests_due", AS_OF_TS) + _BUILD_SQL.replace(
+                                 "join eval_assignment a on", "join a1 a on"),
                              "select (select max(id) from eval_step) + row_number() over (order by seq, pos) as id,"
                              " assignment_id, cast(pos + 1 as int) as idx, evaluator_id, evaluator_name,"
-                             " case when pos = 0 then 1 else 0 end as status from sr_rows"))
+                             " case when pos = 0 then 1 else 0 end as status from sr_rows").replace(
+    "a1_req AS (", "step_requests_due AS (select seq, form_id, user_id, '' as due_date, cast(null as timestamp)"
+    " as ts from step_requests),\na1_req AS ("))
 def q_build_steps(spark, sf_dir):
-    """W2 + J8: step chains (self, then evaluators) created from step requests."""
-    t = fixture_tables(spark, sf_dir, ["step_requests", "eval_assignment", "users", "eval_step"])
-    return workflow.build_steps(t["step_requests"], t["eval_assignment"], t["users"], t["eval_step"])
+    """W2 + J8 + M4: step requests ensure their assignment, then valid chains become steps."""
+    t = fixture_tables(spark, sf_dir, ["step_requests", "eval_assignment", "users", "eval_step", "eval_form"])
+    return requests.step_chain_requests(t, t["step_requests"], AS_OF_TS)["new_steps"]
 
 
 # ---------------------------------------------------------------------- W3
