@@ -112,7 +112,8 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_col: str
 
 # ---------------------------------------------------------- M4 get-or-create
 def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: str,
-                       forms: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+                       forms: DataFrame | None = None, users: DataFrame | None = None,
+                       id_floor: int = 0) -> DataFrame:
     """M4: apply EnsureAssignment requests (seq, form_id, user_id, due_date[, ts]) in order.
 
     Existing pair: the last non-blank due that parses wins (a bad date's
@@ -122,7 +123,8 @@ def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: st
     Asia/Bangkok; later parsable dues overwrite it.  With ``forms`` /
     ``users`` given, a pair naming a missing form or user is never created
     (the insert breaks a foreign key).  New ids are dense after the current
-    maximum, in order of the creating request.
+    maximum (or ``id_floor`` when only part of the table is given), in order
+    of the creating request.
     """
     ts = F.col("ts") if "ts" in requests.columns else F.lit(as_of_ts)
     r = requests.select("seq", "form_id", "user_id", ts.alias("ts"),
@@ -139,7 +141,7 @@ def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: st
     created = with_parents(created, forms, users)
     created = assign_ids(created.select("form_id", "user_id", "last_due", F.col("creator.seq").alias("c_seq"),
                                         F.col("creator.ts").alias("c_ts"), F.col("creator.due").alias("c_due")),
-                         ["c_seq"], max_id(assignments))
+                         ["c_seq"], max(max_id(assignments), id_floor))
     new_rows = created.select(
         "id", "form_id", "user_id", F.lit(0).alias("status"),
         F.coalesce("last_due", "c_due", local_date(F.col("c_ts"))).alias("due_date"))

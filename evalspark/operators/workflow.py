@@ -285,7 +285,8 @@ def resolve_save_log(events: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- W6 state after log
-def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) -> dict[str, DataFrame]:
+def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
+                   id_floor: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """All tables after applying the save log.
 
     Assignments: EnsureAssignment runs for every request (before the lock
@@ -293,14 +294,17 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str)
     status of the last accepted save.  KPIs, competency scores and the
     development plan are replaced by the last accepted save's lists; TA and
     additional are upserted from it.  If that save is a submit the step chain
-    advances once (W3).
+    advances once (W3).  ``id_floor`` gives per-table id maxima when the
+    tables passed are only the part of the state the log touches.
     """
+    floor = id_floor or {}
     # the resolved events feed several id assignments: materialise them once
     ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
                                                   tables.get("eval_form"), tables.get("users"))))
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
     a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
-                                    tables.get("eval_form"), tables.get("users"))
+                                    tables.get("eval_form"), tables.get("users"),
+                                    floor.get("eval_assignment", 0))
     acc = ev.where(F.col("accepted"))
     last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
@@ -324,7 +328,7 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str)
         blank_to_null("measure").alias("measure"), blank_to_null("criteria").alias("criteria"),
         blank_to_null("unit").alias("unit"))
     base_k = tables["eval_kpi_user"]
-    new_k = changes.assign_ids(new_k, ["seq", "pos"], changes.max_id(base_k))
+    new_k = changes.assign_ids(new_k, ["seq", "pos"], max(changes.max_id(base_k), floor.get("eval_kpi_user", 0)))
     out["eval_kpi_user"] = changes.replace_children(
         base_k, parents, _shape(new_k, base_k), "assignment_id")
 
@@ -332,14 +336,15 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str)
         "seq", "pos", "assignment_id", "comp_id", F.col("score").cast("decimal(6,2)").alias("score"),
         blank_to_null("note").alias("note"))
     base_cs = tables["eval_competency_score"]
-    csr = changes.assign_ids(csr, ["seq", "pos"], changes.max_id(base_cs))
+    csr = changes.assign_ids(csr, ["seq", "pos"],
+                             max(changes.max_id(base_cs), floor.get("eval_competency_score", 0)))
     out["eval_competency_score"] = changes.replace_children(base_cs, parents, _shape(csr, base_cs), "assignment_id")
 
     dpr = sh["development_plan"].join(by_seq, "seq").select(
         "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), "content", "priority",
         try_date("timing").alias("timing"), blank_to_null("remarks").alias("remarks"))
     base_dp = tables["eval_dev_plan"]
-    dpr = changes.assign_ids(dpr, ["seq", "pos"], changes.max_id(base_dp))
+    dpr = changes.assign_ids(dpr, ["seq", "pos"], max(changes.max_id(base_dp), floor.get("eval_dev_plan", 0)))
     out["eval_dev_plan"] = changes.replace_children(base_dp, parents, _shape(dpr, base_dp), "assignment_id")
 
     ta = sh["time_attendance"].join(by_seq, "seq").select(

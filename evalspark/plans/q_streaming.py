@@ -12,6 +12,7 @@ from ..session import ensure_checkpoint_dir
 from ..streaming.save_stream import SAVE_LOG_SCHEMA, STATE_TABLES, stream_save_log
 
 STREAM_CHUNKS = 3
+STREAM_BUCKETS = 8  # state buckets; a deployment sizes this to the key count
 
 
 def stage_log_files(log, log_dir: str, chunks: int) -> None:
@@ -25,13 +26,17 @@ def stage_log_files(log, log_dir: str, chunks: int) -> None:
 
 
 def q_stream_save_state(spark, sf_dir):
-    """State after the save log applied micro-batch by micro-batch (must equal save_log_state)."""
-    t = fixture_tables(spark, sf_dir, ["save_log", "eval_form", "users"] + list(STATE_TABLES))
+    """State after the save log applied micro-batch by micro-batch (must equal save_log_state).
+
+    Each micro-batch reads and rewrites only the state buckets its keys touch.
+    """
+    t = fixture_tables(spark, sf_dir, ["save_log", "eval_form", "users", "eval_competency"] + list(STATE_TABLES))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stage_log_files(t["save_log"], f"{base}/log", STREAM_CHUNKS)
     final = stream_save_log(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", AS_OF_TS,
                             initial={n: t[n] for n in STATE_TABLES},
-                            dims={n: t[n] for n in ("eval_form", "users")})
+                            dims={n: t[n] for n in ("eval_competency", "eval_form", "users")},
+                            buckets=STREAM_BUCKETS)
     return state_by_key(final, t["save_log"])
 
 
