@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blank_to_null, clamp_page, iso_date, null_to
+from ..functions.scalars import clamp_page, iso_date, null_to
 from ..schemas import TABLES
 from ..sources.tables import conform
 from .common import sized_broadcast
@@ -102,10 +102,5 @@ def form_listing(forms: DataFrame) -> DataFrame:
                     *[iso_date(d).alias(d) for d in dates], "remark")
 
 
-def blank_fields_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    """F1 applied to several text columns."""
-    return df.select(*[blank_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
 # SURVEY section 2 name
 kpis_by_form = kpi_listing

@@ -210,3 +210,13 @@ def test_new_assignment_needs_existing_form_and_user(spark):
                                 "seq long, form_id long, user_id long, due_date string")
     got = rows(changes.ensure_assignments(a, req, "2025-02-28 00:00:00", forms, users), "id", "form_id", "user_id")
     assert got == [(1, 1, 5)]
+
+
+def test_load_and_save_table_round_trip(spark, sf_dir, tmp_path):
+    from evalspark.fixtures import fixture_tables
+    from evalspark.sources.tables import conform, load_table, save_table
+    f = conform(fixture_tables(spark, sf_dir, ["eval_form"])["eval_form"], "eval_form")
+    save_table(f, str(tmp_path / "eval_form"))
+    back = load_table(spark, "eval_form", str(tmp_path / "eval_form"))
+    assert [(x.name, x.dataType) for x in back.schema] == [(x.name, x.dataType) for x in f.schema]
+    assert sorted(back.collect()) == sorted(f.collect())
