@@ -84,7 +84,8 @@ def append_children(base: DataFrame, rows: DataFrame, parent_key: str, order: li
     cols = [c for c in base.columns]
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
                        for c in cols])
-    touched = sized_broadcast(rows.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
+    # from the id-assigned rows (checkpointed), not from ``rows``: no second run of their lineage
+    touched = sized_broadcast(new.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
     allrows = base.unionByName(new)
     j = allrows.join(touched, allrows[parent_key] == touched["__p"], "left")
     return j.select(*[F.when(F.col("__t"), F.lit(as_of_ts).cast(base.schema[stamp_col].dataType))
