@@ -15,14 +15,21 @@ STREAM_CHUNKS = 3
 STREAM_BUCKETS = 8  # state buckets; a deployment sizes this to the key count
 
 
-def stage_log_files(log, log_dir: str, chunks: int) -> None:
-    """Write the log as ``chunks`` files in seq order, one append each (file order = seq order)."""
-    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
-    step = (hi - lo) // chunks + 1
-    for i in range(chunks):
+def stage_log_files(log, log_dir: str, chunks: int, max_rows_per_file: int = 100_000) -> int:
+    """Write the log as seq-ordered files, one append per file, so file order = seq order.
+
+    Each file is written by one task, so the number of files grows with the
+    log (at most ``max_rows_per_file`` rows each) - no task holds a fixed share
+    of the log.  Returns the number of files (= micro-batches).
+    """
+    lo, hi, n = log.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    files = max(chunks, -(-n // max_rows_per_file))
+    step = (hi - lo) // files + 1
+    for i in range(files):
         part = log.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
         part.select(*[F.col(f.name).cast(f.dataType) for f in SAVE_LOG_SCHEMA]).coalesce(1) \
             .sortWithinPartitions("seq").write.mode("append").parquet(log_dir)
+    return files
 
 
 def q_stream_save_state(spark, sf_dir):
