@@ -67,38 +67,52 @@ def attendance_sizes(docs: DataFrame) -> DataFrame:
                                      lambda x: F.concat(x["name"], F.lit("="), x["value"]))).alias("item_text"))
 
 
+def _ordered_list(sort_keys: list[str], fields: list, out_fields: list[str]) -> Column:
+    """Children sorted by ``sort_keys`` (then the rest), reshaped to ``out_fields`` in that order."""
+    packed = F.sort_array(F.collect_list(F.struct(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(sort_keys)],
+                                                  *fields)))
+    return F.transform(packed, lambda x: F.struct(*[x[f].alias(f) for f in out_fields]))
+
+
+KPI_FIELDS = ["id", "assignment_id", "idx", "code", "title", "max_score", "weight", "expected_score", "score",
+              "note", "measure", "criteria", "unit"]
+COMP_FIELDS = ["comp_id", "idx", "title", "max_score", "weight", "full_total", "expected_score", "score", "note"]
+PLAN_FIELDS = ["idx", "content", "priority", "timing", "remarks"]
+SUMMARY_FIELDS = ["form_id", "kpi_weight", "kpi_pct", "comp_weight", "comp_pct", "ta_weight", "ta_pct", "total_pct",
+                  "grade", "grade_min", "grade_max"]
+
+
 def form_documents(tables: dict[str, DataFrame], summary: DataFrame) -> DataFrame:
-    """The full form document of every assignment.
+    """The full form document of every assignment, in the reference's shape.
 
     kpis[] (idx, id order), competencies[] of the form with scores (J4),
     time_attendance (0/0 when missing), development_plan[] (idx, id order),
     additional (NULL -> ''), summary (A5).  Every child table is aggregated
-    by assignment_id before the joins.
+    by assignment_id before the joins.  List items are sorted by their order
+    keys and then reshaped to the reference's field order.
     """
     a = conform(tables["eval_assignment"], "eval_assignment")
     k = conform(tables["eval_kpi_user"], "eval_kpi_user")
     kl = k.select("id", "assignment_id", "idx", null_to("code", "").alias("code"), "title",
                   *[F.col(c).cast("double").alias(c) for c in ("max_score", "expected_score", "score")], "weight",
                   *[null_to(c, "").alias(c) for c in ("note", "measure", "criteria", "unit")])
-    kpis = kl.groupBy("assignment_id").agg(_sorted_list(
-        "idx", "id", "assignment_id", "code", "title", "max_score", "weight", "expected_score", "score",
-        "note", "measure", "criteria", "unit").alias("kpis"))
+    kpis = kl.groupBy("assignment_id").agg(
+        _ordered_list(["idx", "id"], [F.col(c) for c in KPI_FIELDS], KPI_FIELDS).alias("kpis"))
     cws = competencies_with_scores(tables["eval_assignment"], tables["eval_competency"],
                                    tables["eval_competency_score"])
-    comps = cws.groupBy("assignment_id").agg(_sorted_list(
-        "idx", "comp_id", "title", "max_score", "weight", "full_total", "expected_score", "score",
-        "note").alias("competencies"))
+    comps = cws.groupBy("assignment_id").agg(
+        _ordered_list(["idx", "comp_id"], [F.col(c) for c in COMP_FIELDS], COMP_FIELDS).alias("competencies"))
     ta = tables["eval_ta_score"].select(
         "assignment_id", F.struct(F.col("full_score").cast("double").alias("full_score"),
                                   F.col("score").cast("double").alias("score")).alias("ta"))
-    dp = conform(tables["eval_dev_plan"], "eval_dev_plan")
-    plans = dp.groupBy("assignment_id").agg(_sorted_list(
-        "idx", "id", "content", "priority", iso_date("timing").alias("timing"),
-        null_to("remarks", "").alias("remarks")).alias("development_plan"))
+    dp = conform(tables["eval_dev_plan"], "eval_dev_plan").select(
+        "assignment_id", "id", "idx", "content", "priority", null_to(iso_date("timing"), "").alias("timing"),
+        null_to("remarks", "").alias("remarks"))
+    plans = dp.groupBy("assignment_id").agg(
+        _ordered_list(["idx", "id"], [F.col(c) for c in PLAN_FIELDS], PLAN_FIELDS).alias("development_plan"))
     ad = conform(tables["eval_additional"], "eval_additional").select(
         "assignment_id", F.struct(*[null_to(q, "").alias(q) for q in ("q1", "q2", "q3", "q4", "q5")]).alias("ad"))
-    s = summary.select("assignment_id", F.struct(*[c for c in summary.columns
-                                                   if c not in ("assignment_id", "user_id")]).alias("summary"))
+    s = summary.select("assignment_id", F.struct(*SUMMARY_FIELDS).alias("summary"))
     empty_ta = F.struct(F.lit(0.0).alias("full_score"), F.lit(0.0).alias("score"))
     empty_ad = F.struct(*[F.lit("").alias(q) for q in ("q1", "q2", "q3", "q4", "q5")])
     doc = (a.select(F.col("id").alias("assignment_id"), "form_id", "user_id", "status",
@@ -120,6 +134,21 @@ def form_documents(tables: dict[str, DataFrame], summary: DataFrame) -> DataFram
         "summary")
 
 
+def form_document_json(docs: DataFrame) -> DataFrame:
+    """S8 over D2: (assignment_id, json) with the reference's JSON fields.
+
+    ``due_date`` and each KPI's ``unit`` are dropped when blank (``omitempty``
+    in the reference); form_id / user_id stay outside the JSON as keys.
+    """
+    kpis = F.transform("kpis", lambda x: F.struct(
+        *[F.nullif(x[f], F.lit("")).alias(f) if f == "unit" else x[f].alias(f) for f in KPI_FIELDS]))
+    body = docs.select("assignment_id", "form_id", "user_id", "status", "due_date", kpis.alias("kpis"),
+                       "competencies", "time_attendance", "development_plan", "additional", "summary")
+    out = to_document_json(body.withColumn("__aid", F.col("assignment_id")),
+                           keys=("__aid", "form_id", "user_id"), omit_blank=("due_date",))
+    return out.select(F.col("__aid").alias("assignment_id"), "form_id", "user_id", "json")
+
+
 def to_document_json(df: DataFrame, keys: tuple[str, ...] = (), omit_blank: tuple[str, ...] = ()) -> DataFrame:
     """``keys`` plus one JSON text (``json``) of the other columns per row.
 

@@ -46,8 +46,8 @@ def q_shred_dev_plan(spark, sf_dir):
     """
     t = fixture_tables(spark, sf_dir, list(_DOC_VIEWS))
     summary = scoring.evaluation_summary(t)
-    d = documents.form_documents(t, summary).select("assignment_id", "development_plan")
-    j = documents.to_document_json(d, keys=("assignment_id",)).withColumnRenamed("json", "doc")
+    d = documents.form_documents(t, summary)
+    j = documents.form_document_json(d).select("assignment_id", F.col("json").alias("doc"))
     return docs.shred_save_documents(j, ["assignment_id"])["development_plan"]
 
 
@@ -136,4 +136,4 @@ def q_form_document_json(spark, sf_dir):
     """D2 + S8: every assignment's form document as one JSON text (rows-only check)."""
     t = fixture_tables(spark, sf_dir, list(_DOC_VIEWS))
     d = documents.form_documents(t, scoring.evaluation_summary(t))
-    return documents.to_document_json(d, keys=("assignment_id",), omit_blank=("due_date",))
+    return documents.form_document_json(d)
