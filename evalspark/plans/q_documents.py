@@ -131,9 +131,54 @@ def q_form_document_sizes(spark, sf_dir):
         F.col("summary.grade").alias("grade"))
 
 
-@query("form_document_json")
+# The oracle writes the same JSON text by concatenation: same field order, blank
+# due_date / unit left out, numbers as shortest decimal text (as Spark writes them
+# for these magnitudes).
+_JSON_SQL = SUMMARY_CTE + """
+dk AS (select assignment_id, string_agg('{"id":' || id || ',"assignment_id":' || assignment_id || ',"idx":' || idx
+          || ',"code":' || to_json(coalesce(code, '')) || ',"title":' || to_json(title)
+          || ',"max_score":' || cast(cast(max_score as double) as varchar) || ',"weight":' || weight
+          || ',"expected_score":' || cast(cast(expected_score as double) as varchar)
+          || ',"score":' || cast(cast(score as double) as varchar)
+          || ',"note":"","measure":"","criteria":""}', ',' order by idx, id) as items
+       from eval_kpi_user group by assignment_id),
+dc AS (select a.id as assignment_id, string_agg('{"comp_id":' || c.id || ',"idx":' || c.idx || ',"title":' || to_json(c.title)
+          || ',"max_score":' || cast(cast(c.max_score as double) as varchar)
+          || ',"weight":' || cast(cast(c.weight as double) as varchar)
+          || ',"full_total":' || cast(cast(c.full_total as double) as varchar)
+          || ',"expected_score":' || cast(cast(c.expected_score as double) as varchar)
+          || ',"score":' || cast(coalesce(cast(cs.score as double), 0.0) as varchar)
+          || ',"note":' || to_json(coalesce(cs.note, '')) || '}', ',' order by c.idx, c.id) as items
+       from eval_assignment a join eval_competency c on c.form_id = a.form_id
+       left join eval_competency_score cs on cs.comp_id = c.id and cs.assignment_id = a.id group by a.id),
+dd AS (select assignment_id, string_agg('{"idx":' || idx || ',"content":' || to_json(content)
+          || ',"priority":' || to_json(priority) || ',"timing":' || to_json(coalesce(strftime(timing, '%Y-%m-%d'), ''))
+          || ',"remarks":""}', ',' order by idx, id) as items
+       from eval_dev_plan group by assignment_id),"""
+_JSON_SELECT = """select a.id as assignment_id, a.form_id, a.user_id,
+  '{"assignment_id":' || a.id || ',"status":' || a.status
+  || case when a.due_date is null then '' else ',"due_date":"' || strftime(a.due_date, '%Y-%m-%d') || '"' end
+  || ',"kpis":[' || coalesce(dk.items, '') || '],"competencies":[' || coalesce(dc.items, '')
+  || '],"time_attendance":{"full_score":' || cast(coalesce(cast(ta.full_score as double), 0.0) as varchar)
+  || ',"score":' || cast(coalesce(cast(ta.score as double), 0.0) as varchar)
+  || '},"development_plan":[' || coalesce(dd.items, '') || '],"additional":{"q1":' || to_json(coalesce(x.q1, ''))
+  || ',"q2":' || to_json(coalesce(x.q2, '')) || ',"q3":' || to_json(coalesce(x.q3, ''))
+  || ',"q4":' || to_json(coalesce(x.q4, '')) || ',"q5":' || to_json(coalesce(x.q5, '')) || '}'
+  || case when s.assignment_id is null then '' else ',"summary":{"form_id":' || s.form_id
+     || ',"kpi_weight":' || s.kpi_weight || ',"kpi_pct":' || cast(s.kpi_pct as varchar)
+     || ',"comp_weight":' || s.comp_weight || ',"comp_pct":' || cast(s.comp_pct as varchar)
+     || ',"ta_weight":' || s.ta_weight || ',"ta_pct":' || cast(s.ta_pct as varchar)
+     || ',"total_pct":' || cast(s.total_pct as varchar) || ',"grade":' || to_json(s.grade)
+     || ',"grade_min":' || cast(s.grade_min as varchar) || ',"grade_max":' || cast(s.grade_max as varchar) || '}' end
+  || '}' as json
+from eval_assignment a left join dk on dk.assignment_id = a.id left join dc on dc.assignment_id = a.id
+left join eval_ta_score ta on ta.assignment_id = a.id left join dd on dd.assignment_id = a.id
+left join eval_additional x on x.assignment_id = a.id left join summary s on s.assignment_id = a.id"""
+
+
+@query("form_document_json", oracle(_DOC_VIEWS, _JSON_SQL, _JSON_SELECT))
 def q_form_document_json(spark, sf_dir):
-    """D2 + S8: every assignment's form document as one JSON text (rows-only check)."""
+    """D2 + S8: every assignment's form document as one JSON text."""
     t = fixture_tables(spark, sf_dir, list(_DOC_VIEWS))
     d = documents.form_documents(t, scoring.evaluation_summary(t))
     return documents.form_document_json(d)
