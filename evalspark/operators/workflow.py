@@ -301,10 +301,10 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     # the resolved events feed several id assignments: materialise them once
     ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
                                                   tables.get("eval_form"), tables.get("users"))))
+    # creatable requests already passed the form/user existence check in save_events
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
     a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
-                                    tables.get("eval_form"), tables.get("users"),
-                                    floor.get("eval_assignment", 0))
+                                    id_floor=floor.get("eval_assignment", 0))
     acc = ev.where(F.col("accepted"))
     last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
@@ -400,8 +400,7 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
     # the assignment id a save answers with (after EnsureAssignment)
     a1 = changes.ensure_assignments(
         tables["eval_assignment"],
-        ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts"), as_of_ts,
-        tables.get("eval_form"), tables.get("users"))
+        ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts"), as_of_ts)
     return graded.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
                        ["form_id", "user_id"]).select(
         "seq", "assignment_id", "status", "kpi_pct", "comp_pct", "ta_pct", "total_pct", "grade")
