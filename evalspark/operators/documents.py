@@ -28,7 +28,11 @@ def user_profiles(users: DataFrame, user_companies: DataFrame, companies: DataFr
     date; without it the stored value is returned, as on the other paths.
     """
     u = conform(users, "users")
-    links = (user_companies_flat(user_companies, companies)
+    # only the links of the users being profiled: for a page this is a
+    # broadcast semi-join of a few ids, so the aggregation below never runs
+    # over every user's links
+    uc = user_companies.join(u.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    links = (user_companies_flat(uc, companies)
              .groupBy("user_id")
              .agg(_sorted_list(F.col("company_id").alias("id"), "code", "name", "image").alias("company")))
     yw = (years_of_work("confirm_date", "start_date", F.lit(as_of)) if as_of
