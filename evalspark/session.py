@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,35 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
+    """Settings sized so shuffle and scan partitions fit executor memory for ``input_bytes`` of input.
+
+    Shuffle partitions start at about input / ``partition_bytes`` (bounded to
+    [200, ``max_partitions``]); AQE then coalesces small ones to the advisory
+    size and splits a partition over four times that size when it is skewed.
+    """
+    parts = min(max(200, math.ceil(input_bytes / partition_bytes)), max_partitions)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 2),
+    }
+
+
 def get_spark(master: str | None = None, app: str = "evalspark",
-              shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra: dict | None = None,
+              input_bytes: int | None = None) -> SparkSession:
+    """Session with :data:`DEFAULT_CONF`; ``input_bytes`` adds :func:`scale_conf` sizing."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if input_bytes:
+        for k, v in scale_conf(input_bytes).items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

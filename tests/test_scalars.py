@@ -52,3 +52,10 @@ def test_sized_broadcast_respects_bounds(spark):
     finally:
         spark.conf.unset("evalspark.broadcast.maxRows")
     assert row_width(spark.range(1).schema) == 16
+
+
+def test_scale_conf_bounds():
+    from evalspark.session import scale_conf
+    big = scale_conf(100 * 10 ** 12)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(10 ** 9)["spark.sql.shuffle.partitions"] == "200"
