@@ -136,8 +136,9 @@ def append_competency_requests(tables: dict[str, DataFrame], log: DataFrame, as_
 def prepare_forms(forms: DataFrame, requests: DataFrame) -> DataFrame:
     """P8 (CreateForm): form creation requests -> new eval_form rows.
 
-    total_weight 0 -> 100 (handler default), '' -> NULL for optional text and
-    dates; a request fails on a taken code (stored or earlier in the log),
+    total_weight 0 -> 100 (handler default), '' -> NULL for the dates and
+    remark (title_en is stored as sent); a request fails on a taken code
+    (stored or earlier in the log),
     a date that does not parse, or over-long text.  Ids dense in seq order.
     """
     r = requests
@@ -154,7 +155,7 @@ def prepare_forms(forms: DataFrame, requests: DataFrame) -> DataFrame:
     r = r.join(first, ["code", "seq"], "left_semi")
     created = changes.assign_ids(r, ["seq"], changes.max_id(forms))
     return created.select(
-        "id", "seq", "code", "title_th", blank_to_null("title_en").alias("title_en"),
+        "id", "seq", "code", "title_th", "title_en",
         "kpi_weight", "comp_weight", "ta_weight",
         F.when(F.col("total_weight") == 0, F.lit(100)).otherwise(F.col("total_weight")).alias("total_weight"),
         "calc_method", "score_scheme", *[try_date(c).alias(c) for c in date_cols],

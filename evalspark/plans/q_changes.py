@@ -421,14 +421,14 @@ fc AS (select (select max(id) from eval_form) + row_number() over (order by seq)
 
 
 @query("prepare_forms", oracle(("eval_form", "form_requests"), _FORM_REQ_SQL,
-                               "select id, seq, code, title_th, nullif(title_en, '') as title_en, kpi_weight,"
+                               "select id, seq, code, title_th, title_en, kpi_weight,"
                                " comp_weight, ta_weight, case when total_weight = 0 then 100 else total_weight end"
                                " as total_weight, calc_method, score_scheme,"
                                " strftime(try_cast(nullif(trim(eval_start), '') as date), '%Y-%m-%d') as eval_start,"
                                " strftime(try_cast(nullif(trim(eval_end), '') as date), '%Y-%m-%d') as eval_end,"
                                " nullif(remark, '') as remark from fc"))
 def q_prepare_forms(spark, sf_dir):
-    """P8 + W1 + P6: forms created from requests (defaults, blank -> NULL, taken codes refused)."""
+    """P8 + W1 + P6: forms created from requests (defaults, blank dates/remark -> NULL, taken codes refused)."""
     t = fixture_tables(spark, sf_dir, ["eval_form", "form_requests"])
     f = requests.prepare_forms(t["eval_form"], t["form_requests"])
     return f.select("id", "seq", "code", "title_th", "title_en", "kpi_weight", "comp_weight", "ta_weight",

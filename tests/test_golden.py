@@ -200,6 +200,11 @@ def test_prepare_forms_rules(spark):
         req = req.withColumn(c, F.lit(1))
     got = rows(requests.prepare_forms(forms, req), "id", "code", "title_en", "total_weight", "eval_start", "remark")
     assert got == [(2, "N2", "en", 100, D(2024, 1, 1), "x")]
+    blank = spark.createDataFrame([(5, "N5", "t", "", 100, "", "")], req.columns[:7]).select(req.columns[:7])
+    for c in ("kpi_weight", "comp_weight", "ta_weight", "calc_method", "score_scheme"):
+        blank = blank.withColumn(c, F.lit(1))
+    got = rows(requests.prepare_forms(forms, blank), "title_en", "remark", "eval_start")
+    assert got == [("", None, None)]  # title_en kept as sent; remark and dates blank -> NULL
 
 
 def test_new_assignment_needs_existing_form_and_user(spark):
