@@ -245,6 +245,16 @@ def q_update_kpis(spark, sf_dir):
     return _kpi_out(new)
 
 
+@query("update_report", oracle(("kpi_changes", "eval_kpi_user", "eval_assignment"), _UPD_SQL,
+                               "select c.seq, c.kpi_id, c.seq in (select seq from auth) as updated from kpi_changes c"))
+def q_update_report(spark, sf_dir):
+    """Per owned-update request, whether it changed a row (owned and within the table rules)."""
+    t = fixture_tables(spark, sf_dir, ["kpi_changes", "eval_kpi_user", "eval_assignment"])
+    _, report = changes.update_owned_kpis(conform(t["eval_kpi_user"], "eval_kpi_user"), t["eval_assignment"],
+                                          t["kpi_changes"], AS_OF_TS)
+    return report
+
+
 _DEL_SQL = """
 dauth AS (select d.* from kpi_deletes d join eval_kpi_user k on k.id = d.kpi_id
           join eval_assignment a on a.id = k.assignment_id where a.form_id = d.form_id and a.user_id = d.user_id),
