@@ -46,7 +46,7 @@ def build_steps(requests: DataFrame, assignments: DataFrame, users: DataFrame, s
                      F.posexplode(F.concat(F.array(F.col("user_id").cast("long")), F.col("d.evaluators")))
                      .alias("pos", "evaluator_id"))
     u = users.select(F.col("id").alias("evaluator_id"), F.col("name").alias("evaluator_name"))
-    known = chain.join(u, "evaluator_id", "left")
+    known = chain.join(sized_broadcast(u), "evaluator_id", "left")
     bad = known.where(F.col("evaluator_name").isNull() & F.col("evaluator_id").isNotNull()).select("seq")
     bad = bad.union(known.where(F.col("evaluator_id").isNull()).select("seq")).distinct()
     ok = known.join(bad, "seq", "left_anti")
