@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from evalspark.functions import scalars as sc
 from evalspark.operators.common import row_width, sized_broadcast
