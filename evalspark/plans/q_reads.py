@@ -251,7 +251,7 @@ def q_status_normalized(spark, sf_dir):
                                     "select seq,"
                                     " nullif(due_date, '') as due_text,"
                                     " coalesce(nullif(due_date, ''), '-') as due_or_dash,"
-                                    " trim(due_date) = '' as due_blank,"
+                                    " coalesce(trim(due_date) = '', true) as due_blank,"
                                     " strftime(try_cast(nullif(trim(due_date), '') as date), '%Y-%m-%d') as due_parsed,"
                                     " strftime(cast(ts + interval 7 hour as date), '%Y-%m-%d')"
                                     "   as bangkok_date,"
@@ -265,7 +265,7 @@ def q_scalar_conversions(spark, sf_dir):
         "seq",
         sc.blank_to_null("due_date").alias("due_text"),
         sc.null_to(sc.blank_to_null("due_date"), "-").alias("due_or_dash"),
-        (F.trim("due_date") == "").alias("due_blank"),
+        sc.is_blank("due_date").alias("due_blank"),
         sc.iso_date(sc.try_date("due_date")).alias("due_parsed"),
         sc.iso_date(sc.local_date(F.col("ts"))).alias("bangkok_date"),
         sc.int_or_zero(F.right("due_date", F.lit(2))).alias("due_day"),
