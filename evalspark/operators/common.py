@@ -39,16 +39,31 @@ def row_width(dt: T.DataType) -> int:
     return 8
 
 
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job), or None where unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # e.g. Spark Connect
+        return None
+
+
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` if its checked size is within the bounds, else ``df`` unchanged.
 
     Meant for dimension-like inputs (forms, competencies, band candidates,
-    companies, user names) and for change sets joined to a large base table:
-    the count scans only that input (and stops after the bound).
+    companies, user names) and for change sets joined to a large base table.
+    When Catalyst already estimates far more than the byte bound, the input
+    is left as is without running a job: a wrong estimate can only cost a
+    broadcast, never cause an oversized one.  Otherwise the rows are counted
+    up to the bound; the count scans only that input.
     """
     width = max(row_width(df.schema), 1)
+    max_bytes = _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES)
+    est = _estimated_bytes(df)
+    if est is not None and est > 8 * max_bytes:
+        return df
     limit = max_rows if max_rows is not None else broadcast_limit(df)
-    limit = min(limit, _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES) // width)
+    limit = min(limit, max_bytes // width)
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 

@@ -58,3 +58,12 @@ def test_scale_conf_bounds():
     big = scale_conf(100 * 10 ** 12)
     assert big["spark.sql.shuffle.partitions"] == "100000"
     assert scale_conf(10 ** 9)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_sized_broadcast_skips_count_for_huge_estimates(spark):
+    from evalspark.operators.common import _estimated_bytes
+    huge = spark.range(10 ** 13)  # Catalyst estimates 80 TB: returned as is, no count job
+    assert _estimated_bytes(huge) >= 8 * 10 ** 13
+    jobs_before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert sized_broadcast(huge) is huge
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs_before
