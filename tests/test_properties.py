@@ -111,3 +111,14 @@ def test_cascade_leaves_no_orphans(spark):
     o = integrity.orphans(out)
     assert o.agg(F.sum("orphans")).first()[0] == integrity.orphans({k: t[k] for k in _CASCADE_TABLES}) \
         .agg(F.sum("orphans")).first()[0]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(0, 400), st.integers(1, 9), st.integers(0, 10 ** 6), st.randoms())
+def test_dense_ids_any_partitioning(spark, n, parts, start, rnd):
+    keys = list(range(n))
+    rnd.shuffle(keys)
+    df = spark.createDataFrame([(k, k % 3) for k in keys], "k long, g long").repartition(parts)
+    got = sorted(tuple(r) for r in changes.assign_ids(df, ["g", "k"], start).select("g", "k", "id").collect())
+    want = [(g, k, start + i + 1) for i, (g, k) in enumerate(sorted((k % 3, k) for k in range(n)))]
+    assert got == want
