@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import packing, warc
+from evalspark.llm import chat, packing, pii, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -21,6 +21,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark, sf_dir):
+    """Personal data in every document."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark, sf_dir):
+    """Every conversation, and one that is made of control strings, formatted and read back."""
+    own = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(
+        "SELECT -1L AS conv_id, t AS turn, r AS role, :own AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)",
+        args={"own": own}))
+    return chat.digest(chat.format_turns(chat.table_turns(rows)))
+
+
 def op9_pack(spark, sf_dir):
     """Every document packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -33,9 +47,22 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op9_pack": op9_pack, "op10_warc": op10_warc}
+QUERIES = {"op2_pii": op2_pii, "op4_chat": op4_chat, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
+    "op4_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(regexp_replace(text,
+             '<(\\*)(\|im_start\|>|\|im_end\|>|\|startoftext\|>|\|endoftext\|>|/?s>|</?SYS>>)', '<\1#\2', 'g'),
+             '\[(\\*)(/?INST\])', '[\1#\2', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + n + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
