@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, packing, pii, warc
+from evalspark.llm import chat, packing, pii, sp_stream, token_counts, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -35,6 +35,18 @@ def op4_chat(spark, sf_dir):
     return chat.digest(chat.format_turns(chat.table_turns(rows)))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    """Every document's piece ids, decoded again: ids, and the hash of the text that they give back."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    back = sp_stream.decode(sp_stream.encode(table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark, sf_dir):
+    """The number of tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_pack(spark, sf_dir):
     """Every document packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -47,7 +59,8 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_pii": op2_pii, "op4_chat": op4_chat, "op9_pack": op9_pack, "op10_warc": op10_warc}
+QUERIES = {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_sentencepiece": op6_sentencepiece,
+           "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
     "op4_chat": r"""
