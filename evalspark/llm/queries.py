@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, packing, pii, sp_stream, token_counts, warc
+from evalspark.llm import chat, packing, pii, sp_stream, token_counts, toxicity, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -21,6 +21,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    """The toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "score").select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op2_pii(spark, sf_dir):
     """Personal data in every document."""
     return pii.digest(table(spark, sf_dir, "documents"))
@@ -59,7 +68,7 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_pii": op2_pii, "op4_chat": op4_chat, "op6_sentencepiece": op6_sentencepiece,
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_chat": op4_chat, "op6_sentencepiece": op6_sentencepiece,
            "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
