@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import Merges
 from evalspark.llm.common import worker_cache
+from evalspark.llm.wordtok import Memory
 
 BLANK = "▁"
 
@@ -36,7 +37,7 @@ BLANK = "▁"
 class Encoder:
     """Encoder and decoder of one SentencePiece model with byte fallback."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -53,7 +54,7 @@ class Encoder:
         self.merges = Merges({i: tuple(p) for i, p in plain.items()}, lambda a, b: rank.get(a + b))
         self.longest = max(map(len, plain.values()))
         self.fragments = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
-        self.remembered, self.known = remembered, {}
+        self.known = Memory(self._fragment, remembered)
         self.raw = [p.replace(BLANK, " ").encode() if i in plain else bytes([int(p[3:-1], 16)]) if sp.is_byte(i) else b""
                     for i, p in pieces.items()]
 
@@ -61,25 +62,12 @@ class Encoder:
         s = Stream(self)
         return np.array(s.push(text) + s.finish(), dtype="<i4").tobytes()
 
-    def _one(self, text: str) -> bytes:
-        got = self.known.get(text)
-        if got is None:
-            got = self._fragment(text)
-            if len(text) <= 64:
-                if len(self.known) >= self.remembered:
-                    self.known = {}
-                self.known[text] = got
-        return got
-
     def encode(self, text: str) -> bytes:
         """Ids as packed little-endian int32."""
         if not text:
             return b""
         parts = self.fragments.findall(BLANK + text.replace(" ", BLANK))
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except KeyError:
-            return b"".join([self._one(p) for p in parts])
+        return b"".join(self.known.all(parts))
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined to characters, the blank that encoding put first taken off."""

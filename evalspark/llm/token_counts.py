@@ -19,9 +19,6 @@ each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import json
-import re
-import unicodedata
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,36 +27,20 @@ from pyspark.sql import functions as F
 
 from evalspark.llm.bpe import Merges
 from evalspark.llm.common import worker_cache
+from evalspark.llm.wordtok import Memory, Splitter
 
 LIMIT = 2048
 CHUNK_CHARS = 1 << 18
 WORD_END = "</w>"
 FINAL = 256  # symbols 256-511: the same bytes at a word's end
-BLANKS = "\t-\r \x85\xa0  -     　"
-
-
-def byte_chars() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    chars, extra = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in chars:
-            chars[b] = chr(256 + extra)
-            extra += 1
-    return [chars[b] for b in range(256)]
 
 
 class Transducer:
     """Counts the tokens of words; ``word`` runs one, ``count`` a blank-free fragment of a text, remembered."""
 
-    def __init__(self, path: str, words: int = 300_000, states: int = 1_000_000):
-        import regex
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        spec = json.loads(self.library.to_str())
-        model = spec["model"]
-        chars = byte_chars()
-        self.byte_of = byte_of = {c: i for i, c in enumerate(chars)}
+    def __init__(self, path: str, remembered: int = 400_000, states: int = 1_000_000):
+        self.split = Splitter(path)
+        model, chars, byte_of = self.split.spec["model"], self.split.chars, self.split.byte_of
 
         def symbols(token):
             body, end = (token[:-len(WORD_END)], WORD_END) if token.endswith(WORD_END) else (token, "")
@@ -68,12 +49,11 @@ class Transducer:
         ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.merges = Merges({i: symbols(t) for t, i in known.items()}, lambda a, b: ranks.get((a, b)))
         self.symbol = chars + [c + WORD_END for c in chars]
-        self.special = re.compile("|".join(re.escape(a["content"]) for a in spec["added_tokens"]) or r"(?!)")
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(split.replace(r"\s", BLANKS))
-        self.words, self.limit = words, states
+        self.limit = states
         self._reset()
-        self.known = {"": 0}
+        self.words = Memory(self.word, remembered)
+        self.fragments = Memory(self._fragment, remembered)
+        self.count = self.fragments.get
 
     def _reset(self):
         start = ((0, -1, 0),)
@@ -115,42 +95,16 @@ class Transducer:
         b = FINAL + data[-1]
         return total + (get(state * 512 + b) or self._step(state, b))[1]
 
-    def _words(self, text: str) -> list[bytes]:
-        """Normalized and split; characters beyond the Latin blocks by the library, whose Unicode version may differ."""
-        if max(text) <= "\u024f":
-            return [w.encode() for w in self.split.findall(unicodedata.normalize("NFC", text).lower())]
-        plain = self.library.normalizer.normalize_str(text)
-        return [bytes(self.byte_of[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
-
     def _fragment(self, text: str) -> int:
-        total, at = 0, 0
-        for m in [*self.special.finditer(text), None]:
-            part = text[at:m.start() if m else len(text)]
-            if part:
-                total += sum(map(self.word, self._words(part)))
-            if m:
-                total, at = total + 1, m.end()
-        return total
-
-    def count(self, fragment: str) -> int:
-        got = self.known.get(fragment)
-        if got is None:
-            got = self._fragment(fragment)
-            if len(fragment) <= 64:
-                if len(self.known) >= self.words:
-                    self.known = {"": 0}
-                self.known[fragment] = got
-        return got
+        self.words.turn()
+        return sum([1 if isinstance(p, int) else self.words.get(p) for p in self.split.pieces(text)])
 
     def chunk_map(self, text: str):
         """(text before the first break, tokens within, text after the last break), or (text,) if there is no break."""
         parts = text.replace("\n", " ").split(" ")
         if len(parts) == 1:
             return (text,)
-        try:
-            within = sum(map(self.known.__getitem__, parts[1:-1]))
-        except KeyError:
-            within = sum(map(self.count, parts[1:-1]))
+        within = sum(self.fragments.all(parts[1:-1]))
         return (parts[0], within, parts[-1])
 
     def compose(self, a, b):
