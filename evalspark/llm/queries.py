@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, packing, pii, sp_stream, token_counts, toxicity, warc
+from evalspark.llm import chat, fingerprint, packing, pii, sp_stream, token_counts, toxicity, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -51,6 +51,11 @@ def op6_sentencepiece(spark, sf_dir):
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_fingerprint(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     """The number of tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -69,7 +74,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_chat": op4_chat, "op6_sentencepiece": op6_sentencepiece,
-           "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
+           "op7_fingerprint": op7_fingerprint, "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
     "op4_chat": r"""
