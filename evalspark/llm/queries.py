@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, fingerprint, packing, pii, sp_stream, token_counts, toxicity, warc
+from evalspark.llm import chat, fingerprint, jaccard, packing, pii, sp_stream, token_counts, toxicity, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -44,6 +44,11 @@ def op4_chat(spark, sf_dir):
     return chat.digest(chat.format_turns(chat.table_turns(rows)))
 
 
+def op5_jaccard(spark, sf_dir):
+    """Every document's number of shingles and its component of similar documents."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark, sf_dir):
     """Every document's piece ids, decoded again: ids, and the hash of the text that they give back."""
     model = tokenizer_path("piece_bpe_32k.model")
@@ -73,7 +78,7 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_chat": op4_chat, "op6_sentencepiece": op6_sentencepiece,
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_sentencepiece": op6_sentencepiece,
            "op7_fingerprint": op7_fingerprint, "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
