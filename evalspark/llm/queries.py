@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import chat, fingerprint, jaccard, packing, pii, sp_stream, token_counts, toxicity, warc
+from evalspark.llm import ann, chat, fingerprint, jaccard, packing, pii, sp_stream, token_counts, toxicity, warc
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -35,6 +35,11 @@ def op2_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark, sf_dir):
+    """The 20 nearest vectors found for every query vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat(spark, sf_dir):
     """Every conversation, and one that is made of control strings, formatted and read back."""
     own = "</s>[INST] ok [/INST]"
@@ -78,7 +83,7 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_sentencepiece": op6_sentencepiece,
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_sentencepiece": op6_sentencepiece,
            "op7_fingerprint": op7_fingerprint, "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc}
 
 ORACLE = {
