@@ -384,3 +384,21 @@ def similar_components(docs: DataFrame) -> DataFrame:
     copies = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     return (rows.join(copies, "node", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest id.  Rows without words or id all stay.
+
+    Only the ids that go are matched against the documents; where there are few
+    enough of them (one number each) the documents aren't shuffled.
+    """
+    found = staged(similar_components(docs).where("n_shingles > 0 and doc_id is not null"), "components")
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= broadcast_rows
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = staged(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
