@@ -158,15 +158,19 @@ select c_custkey as seq, c_custkey as user_id, concat('{',
   case when c_custkey % 7 = 0 then '"company_ids":[]'
        when c_custkey % 8 = 0 then concat('"company_ids":["', cast(c_nationkey as varchar(10)), '","3","99"]')
        else '"position":"staff"' end,
-  '}') as doc
+  case when c_custkey % 44 = 4 then ',"confirm_date":"2015-02-30"}' when c_custkey % 46 = 6 then '' else '}' end) as doc
 from customer where c_custkey % 2 = 0""", ()),
     "user_creates": ("""
 select s_suppkey as seq, concat('{"name":"New ', s_name, '","email":"',
   case when s_suppkey % 10 = 0 then 'dup@example.com' else concat('new', cast(s_suppkey as varchar(10)), '@example.com') end,
-  '","role":"user","password":"x","personcode":"N', cast(s_suppkey as varchar(10)), '","position":"","department":"Ops",',
-  '"urlimage":"","start_date":"2023-01-0', cast(1 + s_suppkey % 9 as varchar(10)), '","confirm_date":"",',
-  '"company_ids":["', cast(s_nationkey as varchar(10)), '","', cast(s_nationkey as varchar(10)), '","77"]}') as doc
+  '","role":"user","password":"x","personcode":"N', cast(s_suppkey - case when s_suppkey % 10 = 1 then 1 else 0 end as varchar(10)), '","position":"","department":"Ops",',
+  '"urlimage":"","start_date":"2023-', case when s_suppkey % 15 = 7 then '13' else '01' end, '-0', cast(1 + s_suppkey % 9 as varchar(10)), '","confirm_date":"",',
+  '"company_ids":["', cast(s_nationkey as varchar(10)), '","', cast(s_nationkey as varchar(10)), '","77"]', case when s_suppkey % 17 = 3 then '' else '}' end) as doc
 from supplier""", ()),
+    "save_bodies": ("""
+select seq, case seq % 6 when 1 then '{broken' when 2 then replace(doc, '"weight":40', '"weight":"abc"')
+  when 3 then replace(doc, '"title":"K1"', '"title":5') when 4 then null when 5 then '[1]' else doc end as doc
+from save_log""", ("save_log",)),
     "user_deletes": ("""
 select c_custkey as user_id from customer where c_custkey % 13 = 0""", ()),
     "form_requests": ("""

@@ -17,6 +17,11 @@ STATUS_MIN, STATUS_MAX = 0, 2
 PCT_DIGITS = 6
 
 
+# The characters that Unicode calls White_Space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -31,9 +36,14 @@ def null_to(c, default) -> Column:
     return F.coalesce(_c(c), F.lit(default))
 
 
+def trim_space(c) -> Column:
+    """``strings.TrimSpace``: Unicode white space off both ends."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
+
+
 def is_blank(c) -> Column:
     """``strings.TrimSpace(s) == ""`` (NULL counts as blank)."""
-    return F.coalesce(F.trim(_c(c)) == "", F.lit(True))
+    return F.coalesce(trim_space(c) == "", F.lit(True))
 
 
 def iso_date(c) -> Column:
@@ -43,7 +53,7 @@ def iso_date(c) -> Column:
 
 def try_date(c) -> Column:
     """``TRY_CONVERT(date, NULLIF(x, ''))`` - NULL on blank or bad text."""
-    return F.try_to_date(blank_to_null(F.trim(_c(c).cast("string"))), "yyyy-MM-dd")
+    return F.try_to_date(blank_to_null(trim_space(_c(c).cast("string"))), "yyyy-MM-dd")
 
 
 def today_utc(as_of_ts: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank_to_null, is_blank, local_date, try_date
 from ..schemas import TABLES
 from ..session import cut_lineage
-from .common import latest_per_key, sized_broadcast
+from .common import counted_broadcast, latest_per_key, sized_broadcast
 
 _PID_SHIFT = 33  # monotonically_increasing_id() = partition index << 33 | row index
 
@@ -62,12 +62,20 @@ def within_lengths(table: str, cols: dict[str, Column]) -> Column:
     return ok
 
 
+def fits(value: Column, precision: int, scale: int) -> Column:
+    """Whether a number (or NULL) fits DECIMAL(precision, scale) once rounded."""
+    return F.coalesce(value.cast("double").try_cast(f"decimal({precision},{scale})").isNotNull(), F.lit(False)) | value.isNull()
+
+
 def kpi_item_valid(code: Column, title: Column, weight: Column, note: Column, measure: Column,
-                   criteria: Column, unit: Column) -> Column:
-    """A KPI row the table accepts: CHECK weight 0..100 and text lengths."""
-    return weight.between(0, 100) & within_lengths(
+                   criteria: Column, unit: Column, *scores: Column) -> Column:
+    """A KPI row the table accepts: CHECK weight 0..100, text lengths and ``scores`` in range."""
+    ok = weight.between(0, 100) & within_lengths(
         "eval_kpi_user", {"code": code, "title": title, "note": note, "measure": measure,
                           "criteria": criteria, "unit": unit})
+    for s in scores:
+        ok = ok & fits(s, 6, 2)
+    return ok
 
 
 # ----------------------------------------------------------------- M1 append
@@ -85,7 +93,7 @@ def append_children(base: DataFrame, rows: DataFrame, parent_key: str, order: li
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
                        for c in cols])
     # from the id-assigned rows (checkpointed), not from ``rows``: no second run of their lineage
-    touched = sized_broadcast(new.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
+    touched = counted_broadcast(new.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
     allrows = base.unionByName(new)
     j = allrows.join(touched, allrows[parent_key] == touched["__p"], "left")
     return j.select(*[F.when(F.col("__t"), F.lit(as_of_ts).cast(base.schema[stamp_col].dataType))
@@ -99,7 +107,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
     ``parents`` and ``rows`` are separate inputs so a parent whose new list is
     empty still loses its old rows.
     """
-    keep = base.join(sized_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
+    keep = base.join(counted_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
     return keep.unionByName(rows.select(*base.columns))
 
 
@@ -163,7 +171,10 @@ def with_parents(pairs: DataFrame, forms: DataFrame | None, users: DataFrame | N
 # --------------------------------------------------------- M5 / M6 / A9 owned
 def _owned(children: DataFrame, assignments: DataFrame, changes: DataFrame, child_key: str) -> DataFrame:
     """Changes (seq, <child_key>, form_id, user_id, ...) whose child belongs to (form_id, user_id)."""
-    owner = children.select(F.col("id").alias(child_key), "assignment_id").join(
+    wanted = sized_broadcast(changes.select(F.col(child_key).alias("id")).distinct())
+    # only the named children reach the assignment join; the child table is not shuffled by assignment
+    owner = children.select("id", "assignment_id").join(wanted, "id", "left_semi").select(
+        F.col("id").alias(child_key), "assignment_id").join(
         assignments.select(F.col("id").alias("assignment_id"), F.col("form_id").alias("__f"),
                            F.col("user_id").alias("__u")), "assignment_id")
     j = changes.join(owner, child_key)
@@ -180,7 +191,8 @@ def update_owned_kpis(kpis: DataFrame, assignments: DataFrame, changes: DataFram
     valid one wins.
     """
     valid = kpi_item_valid(F.col("code"), F.col("title"), F.col("weight"), F.col("note"),
-                           F.col("measure"), F.col("criteria"), F.col("unit"))
+                           F.col("measure"), F.col("criteria"), F.col("unit"),
+                           F.col("max_score"), F.col("expected_score"), F.col("score"))
     auth = _owned(kpis, assignments, changes, "kpi_id").where(valid)
     fields = ["idx", "code", "title", "max_score", "weight", "expected_score", "score", "note",
               "measure", "criteria", "unit"]
@@ -189,7 +201,7 @@ def update_owned_kpis(kpis: DataFrame, assignments: DataFrame, changes: DataFram
     blanks = {"code", "note", "measure", "criteria", "unit"}
     newv = last.select(
         F.col("kpi_id").alias("id"), F.lit(True).alias("__upd"),
-        *[(blank_to_null(f) if f in blanks else F.col(f)).cast(t.col(f).dtype).alias("__n_" + f) for f in fields])
+        *[(blank_to_null(f) if f in blanks else F.col(f)).try_cast(t.col(f).dtype).alias("__n_" + f) for f in fields])
     j = kpis.join(newv, "id", "left")
     out = j.select(*[F.when(F.col("__upd"), F.col("__n_" + c)).otherwise(F.col(c)).alias(c) if c in fields
                      else (F.when(F.col("__upd"), F.lit(as_of_ts).cast("timestamp")).otherwise(F.col(c)).alias(c)
@@ -223,6 +235,14 @@ PATCH_MAP = {  # document field -> users column (fixed by the reference's JSON t
     "confirm_date": "confirm_date"}
 
 
+def dates_parse(*names: str) -> Column:
+    """Every given text is blank or a date."""
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & (is_blank(n) | try_date(n).isNotNull())
+    return ok
+
+
 def patch_users(users: DataFrame, user_companies: DataFrame, companies: DataFrame,
                 patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M7: presence-aware patches (seq, user_id, fields..., company_ids) applied in order.
@@ -231,12 +251,14 @@ def patch_users(users: DataFrame, user_companies: DataFrame, companies: DataFram
     keeps the stored value.  Dates: '' -> NULL, text -> date.  The company
     list of a user is replaced only by a patch that supplies ``company_ids``
     (an empty list clears it); unknown or repeated ids are skipped.  Patches
-    for unknown users or with over-long text fail and change nothing.
+    for unknown users, with over-long text or with a date that does not parse
+    fail and change nothing.
     """
     u = users
     p = patches.join(u.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     p = p.where(within_lengths("users", {PATCH_MAP[f]: F.col(f) for f in PATCH_MAP
                                          if f not in ("start_date", "confirm_date")}))
+    p = p.where(dates_parse("start_date", "confirm_date"))
     aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias("__p_" + f) for f in PATCH_MAP]
     aggs.append(F.max_by(F.col("company_ids"), F.when(F.col("company_ids").isNotNull(), F.col("seq")))
                 .alias("__p_company_ids"))
@@ -263,11 +285,34 @@ def patch_users(users: DataFrame, user_companies: DataFrame, companies: DataFram
 
 
 # ----------------------------------------------------------------- M8 create
+def first_come(requests: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The requests that are accepted one after the other: none whose value in a key an earlier accepted one holds.
+
+    Rounds: a request that is first in all its keys among the undecided is
+    accepted, and the undecided that share a value with it are refused, until
+    none is left.  Only (order, keys) of the undecided are carried.
+    """
+    left = cut_lineage(requests.select(order, *keys))
+    accepted = None
+    while not left.isEmpty():
+        first = left
+        for k in keys:
+            lead = left.groupBy(k).agg(F.min(order).alias(order))
+            first = first.join(lead, (first[k].eqNullSafe(lead[k])) & (first[order] == lead[order]), "left_semi")
+        first = cut_lineage(first)
+        accepted = first if accepted is None else accepted.unionByName(first)
+        for k in keys:
+            left = left.join(first.select(F.col(k).alias("__k")), left[k].eqNullSafe(F.col("__k")), "left_anti")
+        left = cut_lineage(left)
+    return requests if accepted is None else requests.join(accepted.select(order), order, "left_semi")
+
+
 def create_users(users: DataFrame, companies: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M8: create users (seq, fields..., company_ids) with company links.
 
     A request fails when its email or person code is already taken (by a
-    stored user or an earlier request), or text is too long.  New ids are
+    stored user or an earlier request that was itself accepted), text is too
+    long or a date does not parse.  New ids are
     dense in ``seq`` order.  Each link to an unknown company, or repeated, is
     silently skipped.  Returns (new user rows, new link rows).
     """
@@ -277,11 +322,7 @@ def create_users(users: DataFrame, companies: DataFrame, requests: DataFrame) ->
     taken_code = users.where(F.col("person_code").isNotNull()).select(F.col("person_code").alias("__c"))
     r = (r.join(taken_email, r["email"] == taken_email["__e"], "left_anti")
          .join(taken_code, r["personcode"] == taken_code["__c"], "left_anti"))
-    # within the batch the first request for an email / person code wins
-    first_e = r.groupBy("email").agg(F.min("seq").alias("seq"))
-    r = r.join(first_e, ["email", "seq"], "left_semi")
-    first_c = r.groupBy("personcode").agg(F.min("seq").alias("seq"))
-    r = r.join(first_c, ["personcode", "seq"], "left_semi")
+    r = first_come(r.where(dates_parse("start_date", "confirm_date")), ["email", "personcode"])
     created = assign_ids(r, ["seq"], max_id(users))
     new_users = created.select(
         "id", "seq", F.col("name"), F.col("email"), F.col("role"), F.col("personcode").alias("person_code"),
@@ -303,14 +344,14 @@ USER_CHILDREN = ("user_companies", "user_time_attendance", "user_time_attendance
 
 
 def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
-                         max_rounds: int = 50) -> tuple[dict[str, DataFrame], DataFrame]:
+                         ) -> tuple[dict[str, DataFrame], DataFrame]:
     """M9: delete users with ON DELETE CASCADE; refuse users still named as evaluator.
 
     ``eval_step.evaluator_id`` has no cascade, so a user who evaluates a step
     that survives the delete is refused.  Steps of the deleted users' own
     assignments go with the cascade.  Refusing one user keeps their
     assignments (and steps) alive, which can refuse others, so the refused set
-    is grown to a fixpoint (one small count per round).
+    is grown to a fixpoint (one small count per round, however many rounds it takes).
     Returns (tables after the delete, the user ids actually deleted).
     """
     steps = tables["eval_step"].select("assignment_id", "evaluator_id")
@@ -322,7 +363,7 @@ def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
     pairs = cut_lineage(pairs)
     deleting = cut_lineage(want)
     n = deleting.count()
-    for _ in range(max_rounds):
+    while True:
         surviving_owner = pairs.join(deleting.select(F.col("uid").alias("owner")), "owner", "left_anti")
         refused = surviving_owner.select(F.col("evaluator_id").alias("uid")).distinct()
         nxt = cut_lineage(deleting.join(refused, "uid", "left_anti"))
@@ -345,8 +386,3 @@ def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
         if t in tables:
             out[t] = tables[t].join(gone_a, "assignment_id", "left_anti")
     return out, deleting.select(F.col("uid").alias("user_id"))
-
-
-# SURVEY section 2 names for the KPI-specific operators
-update_owned = update_owned_kpis
-delete_owned = delete_owned_kpis

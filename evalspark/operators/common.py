@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side is broadcast only after its size is checked: at most
-# ``evalspark.broadcast.maxRows`` rows (default 1,000,000) and an estimated
-# ``evalspark.broadcast.maxBytes`` (default 64 MB, from the schema's widths).
-# Beyond either bound the join is left to a shuffle join, where AQE can still
-# convert it from real sizes and split skewed keys.
+# A side is broadcast only within ``evalspark.broadcast.maxRows`` rows (default
+# 1,000,000) and an estimated ``evalspark.broadcast.maxBytes`` (default 64 MB).
+# Otherwise the join is left to AQE, which converts it from real sizes and
+# splits skewed keys.
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
 DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 
@@ -47,25 +46,27 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if its checked size is within the bounds, else ``df`` unchanged.
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """``broadcast(df)`` if Catalyst's estimate is within the byte bound, else ``df`` unchanged; runs no job.
 
-    Meant for dimension-like inputs (forms, competencies, band candidates,
-    companies, user names) and for change sets joined to a large base table.
-    When Catalyst already estimates far more than the byte bound, the input
-    is left as is without running a job: a wrong estimate can only cost a
-    broadcast, never cause an oversized one.  Otherwise the rows are counted
-    up to the bound; the count scans only that input.
+    Estimates of scans, filters, projections and joins are upper bounds.  An
+    explode is not in the estimate, so a plan with one is left to AQE.
     """
-    width = max(row_width(df.schema), 1)
-    max_bytes = _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES)
     est = _estimated_bytes(df)
-    if est is not None and est > 8 * max_bytes:
+    if est is None or est > _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES):
         return df
-    limit = max_rows if max_rows is not None else broadcast_limit(df)
-    limit = min(limit, max_bytes // width)
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return df if "Generate" in str(df._jdf.queryExecution().optimizedPlan()) else F.broadcast(df)
+
+
+def counted_broadcast(df: DataFrame) -> DataFrame:
+    """``broadcast(df)`` if its counted rows are within the bounds; for sets that are already at rest.
+
+    After a checkpoint Catalyst keeps the estimate of the plan before it, which
+    multiplies through joins; counting the rows at rest costs one small job.
+    """
+    width = max(row_width(df.schema), 1)
+    limit = min(broadcast_limit(df), _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES) // width)
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "seq") -> DataFrame:

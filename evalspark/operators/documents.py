@@ -53,11 +53,17 @@ def flatten_profiles(profiles: DataFrame) -> DataFrame:
         F.concat_ws(",", F.transform("company", lambda c: c["code"])).alias("company_codes"))
 
 
-def attendance_documents(summary: DataFrame, items: DataFrame) -> DataFrame:
-    """D3: per-user attendance payload: summary + items ordered by name (empty list if none)."""
+def attendance_documents(users: DataFrame, summary: DataFrame, items: DataFrame) -> DataFrame:
+    """D3: attendance payload of every user: summary + items ordered by name.
+
+    A user without a summary has zeros and an empty list, as the reference answers.
+    """
     it = items.groupBy("user_id").agg(_sorted_list("name", "value").alias("time_attendance"))
-    return (summary.join(it, "user_id", "left")
-            .select("user_id", "score_max", "score_obtained", "penalty_total",
+    of_user = users.select(F.col("id").alias("user_id"))
+    it = it.join(summary.select("user_id"), "user_id", "left_semi")
+    return (of_user.join(summary, "user_id", "left").join(it, "user_id", "left")
+            .select("user_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c)
+                                 for c in ("score_max", "score_obtained", "penalty_total")],
                     F.coalesce("time_attendance", F.array().cast("array<struct<name:string,value:string>>"))
                     .alias("time_attendance")))
 

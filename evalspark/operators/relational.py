@@ -101,6 +101,3 @@ def form_listing(forms: DataFrame) -> DataFrame:
                     "total_weight", "calc_method", "score_scheme",
                     *[iso_date(d).alias(d) for d in dates], "remark")
 
-
-# SURVEY section 2 name
-kpis_by_form = kpi_listing

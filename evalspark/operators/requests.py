@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import blank_to_null, try_date
+from ..functions.scalars import blank_to_null, is_blank, try_date
 from ..sources import documents as docs
 from ..sources.tables import conform
 from . import changes
@@ -27,7 +27,8 @@ def _kpi_requests(log: DataFrame):
     nonempty = heads.where(F.coalesce(F.size("d.items"), F.lit(0)) > 0).select(
         "seq", "form_id", "user_id", F.coalesce(F.col("d.due_date"), F.lit("")).alias("due_date"))
     bad = rows.where(~changes.kpi_item_valid(F.col("code"), F.col("title"), F.col("weight"), F.col("note"),
-                                             F.col("measure"), F.col("criteria"), F.col("unit"))).select("seq").distinct()
+                                             F.col("measure"), F.col("criteria"), F.col("unit"), F.col("max_score"),
+                                             F.col("expected_score"), F.col("score"))).select("seq").distinct()
     return nonempty, rows, bad
 
 
@@ -35,9 +36,9 @@ def _kpi_table_rows(rows: DataFrame, code_blank_to_null: bool) -> DataFrame:
     code = blank_to_null("code") if code_blank_to_null else F.col("code")
     return rows.select(
         "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), code.alias("code"), "title",
-        F.col("max_score").cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
-        F.col("expected_score").cast("decimal(6,2)").alias("expected_score"),
-        F.col("score").cast("decimal(6,2)").alias("score"),
+        F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
+        F.col("expected_score").try_cast("decimal(6,2)").alias("expected_score"),
+        F.col("score").try_cast("decimal(6,2)").alias("score"),
         *[blank_to_null(c).alias(c) for c in ("note", "measure", "criteria", "unit")])
 
 
@@ -116,19 +117,22 @@ def attendance_requests(tables: dict[str, DataFrame], log: DataFrame) -> dict[st
 def append_competency_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) -> DataFrame:
     """M1 (AddCompsBulk): requests (seq, form_id, doc{items}) append competencies to a form.
 
-    Empty lists are refused; a request with an over-long title appends
-    nothing.  All competencies of a touched form get ``updated_at``.
+    Empty lists are refused; a request with an over-long title or a number out
+    of range appends nothing.  All competencies of a touched form get ``updated_at``.
     """
     items, _ = docs.shred_items(log, docs.COMP_BULK_DOC, ["seq", "form_id"])
     it = F.col("it")
+    numbers = {"max_score": (10, 2), "weight": (18, 4), "full_total": (18, 2), "expected_score": (10, 2)}
     rows = items.select(
         "seq", "pos", "form_id", F.coalesce(it.idx, F.lit(0)).cast("int").alias("idx"),
         F.coalesce(it.title, F.lit("")).alias("title"),
-        *[F.coalesce(it[c], F.lit(0.0)).cast(t).alias(c) for c, t in
-          (("max_score", "decimal(10,2)"), ("weight", "decimal(18,4)"), ("full_total", "decimal(18,2)"),
-           ("expected_score", "decimal(10,2)"))])
-    bad = rows.where(~changes.within_lengths("eval_competency", {"title": F.col("title")})).select("seq")
-    rows = rows.join(bad, "seq", "left_anti")
+        *[F.coalesce(it[c], F.lit(0.0)).alias(c) for c in numbers])
+    in_range = F.lit(True)
+    for c, (p, s) in numbers.items():
+        in_range = in_range & changes.fits(F.col(c), p, s)
+    bad = rows.where(~changes.within_lengths("eval_competency", {"title": F.col("title")}) | ~in_range).select("seq")
+    rows = rows.join(bad, "seq", "left_anti").select(
+        "seq", "pos", "form_id", "idx", "title", *[F.col(c).try_cast(f"decimal({p},{s})").alias(c) for c, (p, s) in numbers.items()])
     base = conform(tables["eval_competency"], "eval_competency")
     return changes.append_children(base, rows, "form_id", ["seq", "pos"], as_of_ts)
 
@@ -146,7 +150,7 @@ def prepare_forms(forms: DataFrame, requests: DataFrame) -> DataFrame:
                              "other_lv_end", "annual_lv_start", "annual_lv_end") if c in r.columns]
     bad_date = F.lit(False)
     for c in date_cols:
-        bad_date = bad_date | (blank_to_null(F.trim(c)).isNotNull() & try_date(c).isNull())
+        bad_date = bad_date | ((~is_blank(c)) & try_date(c).isNull())
     text_ok = changes.within_lengths("eval_form", {c: F.col(c) for c in ("code", "title_th", "title_en", "remark")
                                                    if c in r.columns})
     r = r.where(~bad_date & text_ok)
@@ -168,8 +172,9 @@ def upsert_ta_from_saves(tables: dict[str, DataFrame], log: DataFrame) -> DataFr
     a = tables["eval_assignment"].select(F.col("id").alias("assignment_id"), "form_id", "user_id")
     ta = (sh["time_attendance"].join(log.select("seq", "form_id", "user_id"), "seq")
           .join(a, ["form_id", "user_id"])
-          .select("seq", "assignment_id", F.col("full_score").cast("decimal(6,2)").alias("full_score"),
-                  F.col("score").cast("decimal(6,2)").alias("score")))
+          .where(changes.fits(F.col("full_score"), 6, 2) & changes.fits(F.col("score"), 6, 2))
+          .select("seq", "assignment_id", F.col("full_score").try_cast("decimal(6,2)").alias("full_score"),
+                  F.col("score").try_cast("decimal(6,2)").alias("score")))
     return changes.upsert(tables["eval_ta_score"], ta, ["assignment_id"])
 
 

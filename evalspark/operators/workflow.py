@@ -70,7 +70,7 @@ def advance_steps(steps: DataFrame, submitted: DataFrame, as_of_ts: str) -> Data
     """
     s = steps if "eval_date" in steps.columns else steps.withColumn("eval_date", F.lit(None).cast("date"))
     sub = submitted.select("assignment_id").distinct().withColumn("__sub", F.lit(True))
-    first = (s.where(F.col("status") == 1).groupBy("assignment_id")
+    first = (s.where(F.col("status") == 1).join(sub.select("assignment_id"), "assignment_id", "left_semi").groupBy("assignment_id")
              .agg(F.min(F.struct("idx", "id")).alias("__m")))
     j = s.join(sub, "assignment_id", "left").join(first, "assignment_id", "left")
     is_sub = F.coalesce(F.col("__sub"), F.lit(False))
@@ -144,73 +144,64 @@ def update_steps(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> D
     return single_out.unionByName(replay_step_changes(s_multi, c.where(F.col("__n") > 1).drop("__n")))
 
 
-def _fold_steps(batches):
-    """Sequential fold of one partition sorted by (assignment_id, kind, seq).
-
-    kind 0 rows are the current steps, kind 1 rows the changes in order.
-    State is only the steps of the assignment being read, so memory does not
-    grow with the number of changes.
-    """
-    import pandas as pd
-
-    cols = [f.name for f in STEP_STATE]
-    cur = None
-    state: dict = {}
-
-    def emit():
-        if not state:
-            return None
-        return pd.DataFrame([dict(zip(cols, v)) for v in state.values()], columns=cols)
-
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if row.assignment_id != cur:
-                e = emit()
-                if e is not None:
-                    out.append(e)
-                cur, state = row.assignment_id, {}
-            if row.kind == 0:
-                sid = int(row.id)
-                state[sid] = [sid, int(row.assignment_id), int(row.idx), int(row.evaluator_id), int(row.status),
-                              row.eval_date if pd.notna(row.eval_date) else None]
-                continue
-            st = state.get(int(row.step_id))
-            if st is None:
-                continue
-            st[4], st[5] = int(row.new_status), (row.new_date if pd.notna(row.new_date) else None)
-            if st[4] == 2 and not any(v[4] == 1 for v in state.values()):
-                for v in state.values():
-                    if v[2] == st[2] + 1 and v[4] == 0:
-                        v[4] = 1
-        if out:
-            yield pd.concat(out, ignore_index=True)
-    e = emit()
-    if e is not None:
-        yield e
-
-
 def replay_step_changes(steps: DataFrame, changes_with_assignment: DataFrame) -> DataFrame:
     """W4 with several ordered changes per assignment: a streamed fold.
 
     Steps and changes are co-partitioned by assignment_id and sorted by
     (assignment_id, kind, seq) - one distributed shuffle+sort - then one pass
     per partition in ``mapInPandas`` applies the changes in order.  Parallel
-    across assignments, sequential (as the reference) inside one.
+    across assignments, sequential (as the reference) inside one.  The fold is
+    a local function, so executors need pandas but not this package.
     """
+    cols = [f.name for f in STEP_STATE]
+
+    def fold(batches):
+        """One partition sorted by (assignment_id, kind, seq): kind 0 rows are steps, kind 1 rows changes in order.
+
+        State is only the steps of the assignment being read, so memory does not
+        grow with the number of changes.  Absent numbers are -1, never NULL, so
+        that pandas keeps every id an exact 64-bit integer.
+        """
+        import pandas as pd
+
+        cur, state = None, {}
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.assignment_id != cur:
+                    out += state.values()
+                    cur, state = row.assignment_id, {}
+                if row.kind == 0:
+                    state[row.id] = [row.id, row.assignment_id, row.idx, row.evaluator_id, row.status,
+                                     row.eval_date if pd.notna(row.eval_date) else None]
+                    continue
+                st = state.get(row.step_id)
+                if st is None:
+                    continue
+                st[4], st[5] = row.new_status, (row.new_date if pd.notna(row.new_date) else None)
+                if st[4] == 2 and not any(v[4] == 1 for v in state.values()):
+                    for v in state.values():
+                        if v[2] == st[2] + 1 and v[4] == 0:
+                            v[4] = 1
+            if out:
+                yield pd.DataFrame(out, columns=cols)
+        if state:
+            yield pd.DataFrame(list(state.values()), columns=cols)
+
+    absent = F.lit(-1)
     s = steps.select("id", "assignment_id", "idx", "evaluator_id", "status", "eval_date",
-                     F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"),
-                     F.lit(None).cast("long").alias("step_id"), F.lit(None).cast("int").alias("new_status"),
+                     F.lit(0).alias("kind"), absent.cast("long").alias("seq"),
+                     absent.cast("long").alias("step_id"), absent.alias("new_status"),
                      F.lit(None).cast("date").alias("new_date"))
     c = changes_with_assignment.select(
-        F.lit(None).cast("long").alias("id"), "assignment_id", F.lit(None).cast("int").alias("idx"),
-        F.lit(None).cast("long").alias("evaluator_id"), F.lit(None).cast("int").alias("status"),
+        absent.cast("long").alias("id"), "assignment_id", absent.alias("idx"),
+        absent.cast("long").alias("evaluator_id"), absent.alias("status"),
         F.lit(None).cast("date").alias("eval_date"), F.lit(1).alias("kind"), "seq", "step_id", "new_status",
         "new_date")
     ev = s.unionByName(c)
     n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ev.repartition(n, "assignment_id").sortWithinPartitions("assignment_id", "kind", "seq")
-    return ordered.mapInPandas(_fold_steps, STEP_STATE)
+    return ordered.mapInPandas(fold, STEP_STATE)
 
 
 def replay_all_step_changes(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> DataFrame:
@@ -224,8 +215,9 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
                 forms: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """Per save request: parsed head, ``valid`` (constraint checks) and ``creatable``.
 
-    Invalid = a row the tables would refuse: duplicate or unknown comp_id,
-    KPI weight outside 0..100, a non-blank development-plan date that does not
+    Invalid = a refused body (see ``parse_or_reject``) or a row the tables would
+    refuse: duplicate or unknown comp_id, KPI weight outside 0..100, a score out
+    of its column's range, a non-blank development-plan date that does not
     parse, or text over its length.  ``creatable`` is false when a new
     assignment cannot be made: the due date does not parse, or (with
     ``forms`` / ``users``) the form or user does not exist.
@@ -235,27 +227,31 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
     (``exists``), so only the comp_id existence check needs an explode and a
     join.
     """
-    p = docs.parse(log.select("seq", "ts", "user_id", "form_id", "due_date", "doc"), docs.SAVE_DOC).drop("doc")
+    p = docs.parse_or_reject(log.select("seq", "ts", "user_id", "form_id", "due_date", "doc"), docs.SAVE_DOC).drop("doc")
+    # the document's own due date decides; a log may carry one beside documents that have none
+    p = p.withColumn("due_date", F.coalesce("d.due_date", "due_date"))
     z = lambda c, d: F.coalesce(c, F.lit(d))  # noqa: E731  Go zero value of an absent field
     kpis = F.coalesce(F.col("d.kpis"), F.array())
     bad_kpi = F.exists(kpis, lambda k: ~changes.kpi_item_valid(
         z(k["code"], ""), z(k["title"], ""), z(k["weight"], 0), z(k["note"], ""), z(k["measure"], ""),
-        z(k["criteria"], ""), z(k["unit"], "")))
+        z(k["criteria"], ""), z(k["unit"], ""), k["max_score"], k["expected_score"], k["score"]))
     cs = F.coalesce(F.col("d.competency_scores"), F.array())
     comp_ids = F.transform(cs, lambda c: c["comp_id"])
     dup_comp = F.size(F.array_distinct(comp_ids)) < F.size(comp_ids)
-    long_note = F.exists(cs, lambda c: ~changes.within_lengths("eval_competency_score", {"note": z(c["note"], "")}))
+    long_note = F.exists(cs, lambda c: ~changes.within_lengths("eval_competency_score", {"note": z(c["note"], "")})
+                         | ~changes.fits(c["score"], 6, 2))
+    bad_ta = ~changes.fits(F.col("d.time_attendance.full_score"), 6, 2) | ~changes.fits(F.col("d.time_attendance.score"), 6, 2)
     dp = F.coalesce(F.col("d.development_plan"), F.array())
     bad_dp = F.exists(dp, lambda x: (~is_blank(z(x["timing"], "")) & try_date(z(x["timing"], "")).isNull())
                       | ~changes.within_lengths("eval_dev_plan", {"content": z(x["content"], ""),
                                                                   "priority": z(x["priority"], ""),
                                                                   "remarks": z(x["remarks"], "")}))
     bad_ad = ~changes.within_lengths("eval_additional", {q: z(F.col(f"d.additional.{q}"), "") for q in docs.QUESTIONS})
-    local_bad = bad_kpi | dup_comp | long_note | bad_dp | bad_ad
+    local_bad = bad_kpi | dup_comp | long_note | bad_ta | bad_dp | bad_ad
     # parse once: the flagged events feed three aggregates and joins below
     ev = cut_lineage(p.select("seq", "ts", "user_id", "form_id", "due_date",
                               z(F.col("d.status"), 0).alias("req_status"),
-                              local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids")))
+                              local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids"), "reject"))
     known = sized_broadcast(comps.select(F.col("id").alias("comp_id")))
     unknown = (ev.select("seq", F.explode("__comp_ids").alias("comp_id"))
                .join(known, "comp_id", "left_anti").select("seq").distinct()
@@ -263,11 +259,13 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
     ev = ev.drop("__comp_ids").join(unknown, "seq", "left")
     a = assignments.select("form_id", "user_id", F.col("status").alias("stored_status"))
     ev = ev.join(a, ["form_id", "user_id"], "left")
-    can_create = is_blank("due_date") | try_date("due_date").isNotNull()
+    # a refused body ends the request before its assignment is made
+    can_create = F.col("reject").isNull() & (is_blank("due_date") | try_date("due_date").isNotNull())
     first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
     first_ok = changes.with_parents(first_ok, forms, users)
     ev = ev.join(first_ok, ["form_id", "user_id"], "left")
-    creatable = F.coalesce(F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
+    creatable = F.col("reject").isNull() & F.coalesce(
+        F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
     valid = creatable & ~F.col("__local_bad") & F.col("__unknown").isNull()
     return ev.select("seq", "ts", "user_id", "form_id", "due_date", "req_status",
                      normalize_status("req_status").alias("status"), "stored_status",
@@ -322,9 +320,9 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     kp = sh["kpis"].join(by_seq, "seq")
     new_k = kp.select(
         "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), blank_to_null("code").alias("code"),
-        "title", F.col("max_score").cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
-        F.col("expected_score").cast("decimal(6,2)").alias("expected_score"),
-        F.col("score").cast("decimal(6,2)").alias("score"), blank_to_null("note").alias("note"),
+        "title", F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
+        F.col("expected_score").try_cast("decimal(6,2)").alias("expected_score"),
+        F.col("score").try_cast("decimal(6,2)").alias("score"), blank_to_null("note").alias("note"),
         blank_to_null("measure").alias("measure"), blank_to_null("criteria").alias("criteria"),
         blank_to_null("unit").alias("unit"))
     base_k = tables["eval_kpi_user"]
@@ -333,7 +331,7 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
         base_k, parents, _shape(new_k, base_k), "assignment_id")
 
     csr = sh["competency_scores"].join(by_seq, "seq").select(
-        "seq", "pos", "assignment_id", "comp_id", F.col("score").cast("decimal(6,2)").alias("score"),
+        "seq", "pos", "assignment_id", "comp_id", F.col("score").try_cast("decimal(6,2)").alias("score"),
         blank_to_null("note").alias("note"))
     base_cs = tables["eval_competency_score"]
     csr = changes.assign_ids(csr, ["seq", "pos"],
@@ -348,8 +346,8 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     out["eval_dev_plan"] = changes.replace_children(base_dp, parents, _shape(dpr, base_dp), "assignment_id")
 
     ta = sh["time_attendance"].join(by_seq, "seq").select(
-        "seq", "assignment_id", F.col("full_score").cast("decimal(6,2)").alias("full_score"),
-        F.col("score").cast("decimal(6,2)").alias("score"))
+        "seq", "assignment_id", F.col("full_score").try_cast("decimal(6,2)").alias("full_score"),
+        F.col("score").try_cast("decimal(6,2)").alias("score"))
     base_ta = tables["eval_ta_score"]
     out["eval_ta_score"] = changes.upsert(base_ta, _shape(ta, base_ta, keep=["seq"]), ["assignment_id"])
     ad = sh["additional"].join(by_seq, "seq").select("seq", "assignment_id", *docs.QUESTIONS)

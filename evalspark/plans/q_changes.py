@@ -290,12 +290,15 @@ _LEN_OK = ("coalesce(length(name), 0) <= 120 and coalesce(length(email), 0) <= 2
            " and coalesce(length(position), 0) <= 120 and coalesce(length(department), 0) <= 120"
            " and coalesce(length(urlimage), 0) <= 255")
 
+_DATES_OK = " and ".join(f"(coalesce(trim({c}), '') = '' or try_cast(trim({c}) as date) is not null)"
+                         for c in ("start_date", "confirm_date"))
+
 _PATCH_SQL = """
 pd AS (select seq, user_id, from_json(doc, '""" + _USER_JSON + """') as d from user_patches
-       where user_id in (select id from users)),
+       where json_valid(doc) and user_id in (select id from users)),
 pp AS (select seq, user_id, """ + ", ".join(f"d.{f} as {f}" for f in _FIELDS) + """, d.company_ids as company_ids
        from pd),
-pok AS (select * from pp where """ + _LEN_OK + """),
+pok AS (select * from pp where """ + _LEN_OK + " and " + _DATES_OK + """),
 plast AS (select user_id, """ + ", ".join(f"max_by({f}, seq) filter (where {f} is not null) as {f}" for f in _FIELDS) + """,
           max_by(company_ids, seq) filter (where company_ids is not null) as company_ids from pok group by user_id),
 nu AS (select u.id, coalesce(l.name, u.name) as name, coalesce(l.email, u.email) as email,
@@ -333,22 +336,36 @@ def q_patch_users(spark, sf_dir):
 
 
 _CREATE_SQL = """
-cd AS (select seq, from_json(doc, '""" + _USER_JSON + """') as d from user_creates),
+cd AS (select seq, from_json(doc, '""" + _USER_JSON + """') as d from user_creates where json_valid(doc)),
 cr AS (select seq, """ + ", ".join(f"coalesce(d.{f}, '') as {f}" for f in _FIELDS) + """, d.company_ids as company_ids
        from cd),
-c1 AS (select * from cr where """ + _LEN_OK + """ and email not in (select email from users)
+c1 AS (select * from cr where """ + _LEN_OK + " and " + _DATES_OK + """ and email not in (select email from users)
        and personcode not in (select person_code from users where person_code is not null)),
-c2 AS (select * from c1 where seq in (select min(seq) from c1 group by email)),
-c3 AS (select * from c2 where seq in (select min(seq) from c2 group by personcode)),
-created AS (select (select max(id) from users) + row_number() over (order by seq) as id, * from c3),"""
-
-
-@query("create_users", oracle(("users", "user_creates"), _CREATE_SQL,
+cn AS (select *, row_number() over (order by seq) as rn from c1),
+walk(rn, seqs, emails, codes) AS (
+  select cast(0 as bigint), cast([] as bigint[]), cast([] as varchar[]), cast([] as varchar[])
+  union all
+  select nrn, case when ok then list_append(seqs, seq) else seqs end,
+    case when ok then list_append(emails, email) else emails end,
+    case when ok then list_append(codes, personcode) else codes end
+  from (select w.seqs, w.emails, w.codes, n.seq, n.email, n.personcode, n.rn as nrn,
+          not list_contains(w.emails, n.email) and not list_contains(w.codes, n.personcode) as ok
+        from walk w join cn n on n.rn = w.rn + 1) x),
+taken AS (select unnest(seqs) as seq from walk where rn = (select max(rn) from walk)),
+created AS (select (select max(id) from users) + row_number() over (order by seq) as id, * from c1
+            where seq in (select seq from taken)),"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql[5:]
+
+
+@query("create_users", _recursive(oracle(("users", "user_creates"), _CREATE_SQL,
                               "select id, seq, name, email, role, personcode as person_code, position, department,"
                               " urlimage as url_image,"
                               " strftime(try_cast(nullif(trim(start_date), '') as date), '%Y-%m-%d') as start_date,"
                               " strftime(try_cast(nullif(trim(confirm_date), '') as date), '%Y-%m-%d')"
-                              "   as confirm_date from created"))
+                              "   as confirm_date from created")))
 def q_create_users(spark, sf_dir):
     """M8: users created by the create requests (duplicates by email / person code refused)."""
     t = fixture_tables(spark, sf_dir, ["users", "companies", "user_creates"])
@@ -358,10 +375,10 @@ def q_create_users(spark, sf_dir):
                             sc.iso_date("confirm_date").alias("confirm_date"))
 
 
-@query("create_user_links", oracle(("users", "user_creates", "companies"), _CREATE_SQL,
+@query("create_user_links", _recursive(oracle(("users", "user_creates", "companies"), _CREATE_SQL,
                                    "select distinct user_id, company_id from ("
                                    " select id as user_id, try_cast(unnest(company_ids) as bigint) as company_id"
-                                   " from created) x where company_id in (select id from companies)"))
+                                   " from created) x where company_id in (select id from companies)")))
 def q_create_user_links(spark, sf_dir):
     """M8: company links of the created users (unknown and repeated ids skipped)."""
     t = fixture_tables(spark, sf_dir, ["users", "companies", "user_creates"])

@@ -182,3 +182,15 @@ def q_form_document_json(spark, sf_dir):
     t = fixture_tables(spark, sf_dir, list(_DOC_VIEWS))
     d = documents.form_documents(t, scoring.evaluation_summary(t))
     return documents.form_document_json(d)
+
+
+@query("document_rejects", oracle(("save_bodies",), "",
+                                  "select seq, reject from (select seq, case when doc is null then 'no body'"
+                                  " when not json_valid(doc) or json_type(doc) <> 'OBJECT' then 'not a JSON object'"
+                                  " when json_type(doc, '$.kpis[1].weight') = 'VARCHAR'"
+                                  "   or json_type(doc, '$.kpis[0].title') <> 'VARCHAR' then 'wrong type' end as reject"
+                                  " from save_bodies) x where reject is not null"))
+def q_document_rejects(spark, sf_dir):
+    """Save bodies that are refused before anything happens, and why."""
+    bodies = fixture_tables(spark, sf_dir, ["save_bodies"])["save_bodies"]
+    return docs.rejects(bodies, docs.SAVE_DOC, ["seq"])

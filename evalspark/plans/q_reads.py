@@ -208,17 +208,20 @@ def q_years_of_work(spark, sf_dir):
     return u.select("id", sc.years_of_work("confirm_date", "start_date", F.lit(AS_OF_DATE)).alias("years_of_work"))
 
 
-@query("attendance_sizes", oracle(("user_time_attendance", "user_time_attendance_items"),
+@query("attendance_sizes", oracle(("users", "user_time_attendance", "user_time_attendance_items"),
                                   "it AS (select user_id, count(*) as items,"
                                   " string_agg(name || '=' || value, ';' order by name) as item_text"
                                   " from user_time_attendance_items group by user_id),",
-                                  "select s.user_id, s.score_max, s.score_obtained, s.penalty_total,"
-                                  " coalesce(it.items, 0) as items, coalesce(it.item_text, '') as item_text"
-                                  " from user_time_attendance s left join it on it.user_id = s.user_id"))
+                                  "select u.id as user_id, coalesce(s.score_max, 0) as score_max,"
+                                  " coalesce(s.score_obtained, 0) as score_obtained,"
+                                  " coalesce(s.penalty_total, 0) as penalty_total, coalesce(it.items, 0) as items,"
+                                  " coalesce(it.item_text, '') as item_text from users u"
+                                  " left join user_time_attendance s on s.user_id = u.id"
+                                  " left join it on it.user_id = s.user_id"))
 def q_attendance_sizes(spark, sf_dir):
     """D3: attendance payload per user, flattened (item count, items in name order)."""
-    t = fixture_tables(spark, sf_dir, ["user_time_attendance", "user_time_attendance_items"])
-    docs = documents.attendance_documents(t["user_time_attendance"], t["user_time_attendance_items"])
+    t = fixture_tables(spark, sf_dir, ["users", "user_time_attendance", "user_time_attendance_items"])
+    docs = documents.attendance_documents(t["users"], t["user_time_attendance"], t["user_time_attendance_items"])
     return documents.attendance_sizes(docs)
 
 

@@ -10,45 +10,25 @@ from ..fixtures import AS_OF_TS, fixture_tables
 from ..operators.workflow import state_by_key
 from ..session import ensure_checkpoint_dir
 from ..streaming.save_stream import SAVE_LOG_SCHEMA, STATE_TABLES, stream_save_log
+from .q_workflow import STATE_ORACLE
+from .registry import query
 
-STREAM_CHUNKS = 3
-STREAM_BUCKETS = 8  # state buckets; a deployment sizes this to the key count
+STREAM_FILES = 3
 
 
-def stage_log_files(log, log_dir: str, chunks: int, max_rows_per_file: int = 100_000) -> int:
-    """Write the log as seq-ordered files, one append per file, so file order = seq order.
-
-    Each file is written by one task, so the number of files grows with the
-    log (at most ``max_rows_per_file`` rows each) - no task holds a fixed share
-    of the log.  Returns the number of files (= micro-batches).
-    """
-    lo, hi, n = log.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
-    files = max(chunks, -(-n // max_rows_per_file))
-    step = (hi - lo) // files + 1
-    for i in range(files):
-        part = log.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step))
-        part.select(*[F.col(f.name).cast(f.dataType) for f in SAVE_LOG_SCHEMA]).coalesce(1) \
-            .sortWithinPartitions("seq").write.mode("append").parquet(log_dir)
-    return files
+def stage_log_files(log, log_dir: str, files: int = STREAM_FILES) -> None:
+    """Write the log as about ``files`` files by ranges of ``seq``: one job, whatever gaps ``seq`` has."""
+    (log.select(*[F.col(f.name).cast(f.dataType) for f in SAVE_LOG_SCHEMA])
+     .repartitionByRange(files, "seq").write.mode("append").parquet(log_dir))
 
 
+# the stream must end in exactly the state W6 computes over the whole log
+@query("stream_save_state", STATE_ORACLE)
 def q_stream_save_state(spark, sf_dir):
-    """State after the save log applied micro-batch by micro-batch (must equal save_log_state).
-
-    Each micro-batch reads and rewrites only the state buckets its keys touch.
-    """
+    """State after the save log received in micro-batches (must equal save_log_state)."""
     t = fixture_tables(spark, sf_dir, ["save_log", "eval_form", "users", "eval_competency"] + list(STATE_TABLES))
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stage_log_files(t["save_log"], f"{base}/log", STREAM_CHUNKS)
-    final = stream_save_log(spark, f"{base}/log", f"{base}/state", f"{base}/checkpoint", AS_OF_TS,
-                            initial={n: t[n] for n in STATE_TABLES},
-                            dims={n: t[n] for n in ("eval_competency", "eval_form", "users")},
-                            buckets=STREAM_BUCKETS)
+    stage_log_files(t["save_log"], f"{base}/log")
+    tables = {n: t[n] for n in (*STATE_TABLES, "eval_competency", "eval_form", "users")}
+    final = stream_save_log(spark, f"{base}/log", f"{base}/received", f"{base}/checkpoint", AS_OF_TS, tables)
     return state_by_key(final, t["save_log"])
-
-
-from .q_workflow import STATE_ORACLE  # noqa: E402
-from .registry import query  # noqa: E402
-
-# the stream must end in exactly the state W6 computes over the whole log
-query("stream_save_state", STATE_ORACLE)(q_stream_save_state)

@@ -20,14 +20,13 @@ DEFAULT_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict:
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
     """Settings sized so shuffle and scan partitions fit executor memory for ``input_bytes`` of input.
 
-    Shuffle partitions start at about input / ``partition_bytes`` (bounded to
-    [200, ``max_partitions``]); AQE then coalesces small ones to the advisory
+    Shuffle partitions start at about input / ``partition_bytes`` (200 at least); AQE then coalesces small ones to the advisory
     size and splits a partition over four times that size when it is skewed.
     """
-    parts = min(max(200, math.ceil(input_bytes / partition_bytes)), max_partitions)
+    parts = max(200, math.ceil(input_bytes / partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
@@ -66,7 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only where none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a fresh scratch folder is made.
+    is.  Only where it is unset and the master is local (tests) a fresh scratch
+    folder is made; on a cluster an unset folder is an error, since executors
+    don't share the driver's disk.
     Without a local SparkContext (Spark Connect) the server's setting is used.
     """
     try:
@@ -78,6 +79,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="evalspark-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

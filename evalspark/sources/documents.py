@@ -63,9 +63,48 @@ USER_DOC = T.StructType([T.StructField(f, T.StringType()) for f in USER_FIELDS +
                         + [T.StructField("company_ids", T.ArrayType(T.StringType()))])
 
 
+_CORRUPT = "_corrupt_record"
+
+
+def _text_fields(schema: T.DataType) -> list[str]:
+    """Names of the text fields of a document, at any depth."""
+    if isinstance(schema, T.ArrayType):
+        return _text_fields(schema.elementType)
+    if isinstance(schema, T.StructType):
+        return [n for f in schema for n in ([f.name] if isinstance(f.dataType, T.StringType) else _text_fields(f.dataType))]
+    return []
+
+
+def parse_or_reject(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
+    """Parse a JSON text column into ``into`` and say in ``reject`` why a body is refused (NULL: it is not).
+
+    Refused as the reference refuses them before it does anything: a NULL body,
+    text that is not one JSON object, and a field of the wrong type (numbers are
+    checked by the parser; text fields, which the parser would fill from
+    anything, by the body's own schema).  ``into`` is NULL for a refused body.
+    """
+    whole = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col(col), whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    names = "|".join(sorted(set(_text_fields(schema))))
+    own = F.schema_of_variant(F.try_parse_json(F.col(col)))
+    not_text = own.rlike(rf"[<,] ?`?(?:{names})`?: (?!STRING|VOID)") if names else F.lit(False)
+    out = df.withColumn("__p", parsed).withColumn("__own", own)
+    reason = (F.when(F.col(col).isNull(), "no body")
+              .when(F.col("__p").isNull() | ~F.coalesce(F.col("__own").startswith("OBJECT"), F.lit(False)), "not a JSON object")
+              .when(F.col(f"__p.{_CORRUPT}").isNotNull() | not_text, "wrong type"))
+    fields = F.struct(*[F.col(f"__p.{f.name}").alias(f.name) for f in schema.fields])
+    return (out.withColumn("reject", reason).withColumn(into, F.when(F.col("reject").isNull(), fields))
+            .drop("__p", "__own"))
+
+
 def parse(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
-    """Parse a JSON text column into a struct column ``into`` (other columns kept)."""
-    return df.withColumn(into, F.from_json(F.col(col), schema))
+    """The rows whose JSON body is accepted, parsed into a struct column ``into`` (other columns kept)."""
+    return parse_or_reject(df, schema, col, into).where(F.col("reject").isNull()).drop("reject")
+
+
+def rejects(df: DataFrame, schema: T.StructType, keys: list[str], col: str = "doc") -> DataFrame:
+    """``keys`` and the reason of every row whose body is refused."""
+    return parse_or_reject(df, schema, col).where(F.col("reject").isNotNull()).select(*keys, "reject")
 
 
 def explode_items(df: DataFrame, array_col: str, keys: list[str], item: str = "it") -> DataFrame:
@@ -125,9 +164,9 @@ def shred_attendance(log: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
 
 
 def shred_items(log: DataFrame, schema: T.StructType, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Bulk lists -> (items, rejects).  A request with an empty or missing list is rejected."""
-    p = parse(log.select(*keys, "doc"), schema)
+    """Bulk lists -> (items, refused).  A request with a refused body or an empty or missing list is refused."""
+    p = parse_or_reject(log.select(*keys, "doc"), schema)
     n = F.coalesce(F.size(F.col("d.items")), F.lit(0))
-    rejects = p.where(n <= 0).select(*keys)
+    refused = p.where(n <= 0).select(*keys)
     items = explode_items(p.where(n > 0), "d.items", keys)
-    return items, rejects
+    return items, refused

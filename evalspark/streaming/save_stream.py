@@ -1,43 +1,21 @@
-"""The save log as a Structured Streaming job with bucketed, versioned state.
+"""The save log as a Structured Streaming job.
 
-Requests arrive as Parquet files in ``log_dir``.  A file-source stream hands
-them over in micro-batches; ``foreachBatch`` applies W6
-(:func:`evalspark.operators.workflow.apply_save_log`) to the part of the
-state the batch touches.
-
-State layout.  Every state row belongs to the hash bucket of its
-(form_id, user_id) - child rows carry their assignment's bucket - so all rows
-one save can change live in one bucket:
-
-    state_dir/<table>/v=<k>/bucket=<b>/...   rows of bucket b written by version k
-    state_dir/_manifest                      (version, table, bucket, rows): what version k wrote
-    state_dir/_maxid                         (version, table, max_id): id high-water marks
-
-A table at version V is, per bucket, the data of the newest version <= V that
-wrote that bucket.  Batch ``b`` reads the newest state <= ``b`` for the
-buckets its keys fall in (plus the id high-water marks), applies W6 there,
-and writes only those buckets as version ``b+1``.  A batch replayed after a
-failure reads the same input version and rewrites the same output, so the
-sink is idempotent; untouched buckets are never read or rewritten.  The lock
-lives in ``eval_assignment.status``, so later batches see keys locked by
-earlier ones; with batches in ``seq`` order the final state equals W6 over
-the whole log.
+Requests arrive as Parquet files.  A file-source stream takes them in
+micro-batches into a received-log table; Spark's file sink and checkpoint make
+that exactly once, also when a batch is repeated after a failure.  The state is
+W6 (:func:`evalspark.operators.workflow.apply_save_log`) over what has been
+received, so it equals the batch result whatever the batches were.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.workflow import apply_save_log
 
 STATE_TABLES = ("eval_assignment", "eval_kpi_user", "eval_competency_score", "eval_ta_score", "eval_dev_plan",
                 "eval_additional", "eval_step")
-ID_TABLES = ("eval_assignment", "eval_kpi_user", "eval_competency_score", "eval_dev_plan")
-DEFAULT_BUCKETS = 64
 
 SAVE_LOG_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -46,135 +24,18 @@ SAVE_LOG_SCHEMA = T.StructType([
     T.StructField("doc", T.StringType())])
 
 
-def key_bucket(form_col: str, user_col: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(form_col).cast("long"), F.col(user_col).cast("long")),
-                  F.lit(buckets)).cast("int")
-
-
-def _with_bucket(tables: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
-    a = tables["eval_assignment"].withColumn("bucket", key_bucket("form_id", "user_id", buckets))
-    owner = a.select(F.col("id").alias("__aid"), "bucket")
-    out = {"eval_assignment": a}
-    for t in STATE_TABLES[1:]:
-        df = tables[t]
-        out[t] = df.join(owner, df["assignment_id"] == owner["__aid"]).drop("__aid")
-    return out
-
-
-def _read_written(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # nothing written (no rows in the touched buckets)
-        return None
-
-
-def _write_version(spark: SparkSession, tables: dict[str, DataFrame], state_dir: str, k: int,
-                   touched: list[int] | None) -> dict[str, int]:
-    """Write ``tables`` (rows of the touched buckets, or all) as version ``k`` plus manifest rows.
-
-    Counts and id maxima are read back from the written files, so the
-    (long) lineage of ``tables`` runs once per table.  Returns max id per table.
-    """
-    man, maxids = [], {}
-    for t, df in tables.items():
-        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/{t}/v={k}")
-        w = _read_written(spark, f"{state_dir}/{t}/v={k}")
-        counts, top = {}, None
-        if w is not None:
-            agg = [F.count(F.lit(1)).alias("n")] + ([F.max("id").alias("m")] if t in ID_TABLES else [])
-            for r in w.groupBy("bucket").agg(*agg).collect():  # one row per bucket written
-                counts[int(r["bucket"])] = int(r["n"])
-                if t in ID_TABLES and r["m"] is not None:
-                    top = max(top or 0, int(r["m"]))
-        keys = touched if touched is not None else sorted(counts)
-        man += [(k, t, int(b), counts.get(int(b), 0)) for b in keys]
-        if t in ID_TABLES:
-            maxids[t] = top or 0
-    spark.createDataFrame(man, "version long, table string, bucket int, rows long") \
-        .write.mode("append").parquet(f"{state_dir}/_manifest")
-    return maxids
-
-
-def _write_maxids(spark: SparkSession, written: dict[str, int], state_dir: str, k: int,
-                  floors: dict[str, int]) -> None:
-    rows = [(k, t, max(written.get(t, 0), floors.get(t, 0))) for t in ID_TABLES]
-    spark.createDataFrame(rows, "version long, table string, max_id long") \
-        .write.mode("append").parquet(f"{state_dir}/_maxid")
-
-
-def init_state(spark: SparkSession, tables: dict[str, DataFrame], state_dir: str,
-               buckets: int = DEFAULT_BUCKETS) -> None:
-    """Write the initial tables as version 0 (all buckets)."""
-    spark.createDataFrame([(t, tables[t].schema.json()) for t in STATE_TABLES], "table string, schema string") \
-        .write.mode("overwrite").parquet(f"{state_dir}/_schemas")
-    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{state_dir}/_conf")
-    written = _write_version(spark, _with_bucket({t: tables[t] for t in STATE_TABLES}, buckets), state_dir, 0, None)
-    _write_maxids(spark, written, state_dir, 0, {})
-
-
-def read_state(spark: SparkSession, state_dir: str, upto: int | None = None,
-               buckets: list[int] | None = None) -> dict[str, DataFrame]:
-    """Tables at the newest version <= ``upto`` (all buckets, or only ``buckets``)."""
-    man = spark.read.parquet(f"{state_dir}/_manifest")
-    if upto is not None:
-        man = man.where(F.col("version") <= upto)
-    latest = man.groupBy("table", "bucket").agg(F.max(F.struct("version", "rows")).alias("m"))
-    if buckets is not None:
-        latest = latest.where(F.col("bucket").isin(buckets))
-    # file paths only: one entry per (table, bucket), bounded by tables x buckets
-    entries = latest.select("table", "bucket", "m.version", "m.rows").collect()
-    schemas = {r[0]: T.StructType.fromJson(json.loads(r[1]))
-               for r in spark.read.parquet(f"{state_dir}/_schemas").collect()}
-    out = {}
-    for t in STATE_TABLES:
-        paths = [f"{state_dir}/{t}/v={v}/bucket={b}" for tt, b, v, n in entries if tt == t and n > 0]
-        out[t] = spark.read.schema(schemas[t]).parquet(*paths) if paths else spark.createDataFrame([], schemas[t])
-    return out
-
-
-def read_maxids(spark: SparkSession, state_dir: str, upto: int) -> dict[str, int]:
-    m = spark.read.parquet(f"{state_dir}/_maxid").where(F.col("version") <= upto)
-    return {r[0]: int(r[1]) for r in m.groupBy("table").agg(F.max("max_id")).collect()}
-
-
-def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str, as_of_ts: str,
-                dims: dict[str, DataFrame]) -> None:
-    """One micro-batch: read the touched buckets, apply W6, write them as version ``batch_id + 1``."""
-    nb = spark.read.parquet(f"{state_dir}/_conf").first()[0]
-    # bucket numbers of the batch's keys: at most ``nb`` small ints
-    touched = sorted(r[0] for r in batch.select(key_bucket("form_id", "user_id", nb).alias("b"))
-                     .distinct().collect())
-    if not touched:
-        return
-    state = read_state(spark, state_dir, batch_id, touched)
-    floors = read_maxids(spark, state_dir, batch_id)
-    out = apply_save_log({**dims, **state}, batch, as_of_ts, id_floor=floors)
-    written = _write_version(spark, _with_bucket({t: out[t] for t in STATE_TABLES}, nb), state_dir,
-                             batch_id + 1, touched)
-    _write_maxids(spark, written, state_dir, batch_id + 1, floors)
-
-
-def stream_save_log(spark: SparkSession, log_dir: str, state_dir: str, checkpoint: str, as_of_ts: str,
-                    initial: dict[str, DataFrame] | None = None, max_files_per_trigger: int = 1,
-                    schema: T.StructType = SAVE_LOG_SCHEMA, dims: dict[str, DataFrame] | None = None,
-                    buckets: int = DEFAULT_BUCKETS) -> dict[str, DataFrame]:
-    """Run the save-log stream until all files in ``log_dir`` are processed; return the final state.
-
-    ``initial`` tables are written as version 0 when given (first start);
-    on a restart pass None and the checkpoint resumes where it stopped.
-    ``dims`` are read-only tables the saves are checked against
-    (``eval_competency``, ``eval_form``, ``users``); they are not versioned.
-    """
-    if initial is not None:
-        init_state(spark, initial, state_dir, buckets)
-    dims = dims or {}
+def receive_save_log(spark: SparkSession, log_dir: str, received_dir: str, checkpoint: str,
+                     max_files_per_trigger: int = 1, schema: T.StructType = SAVE_LOG_SCHEMA) -> DataFrame:
+    """Stream all files of ``log_dir`` into ``received_dir``; a later call resumes where this one stopped."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_dir)
+    query = (stream.writeStream.format("parquet").option("path", received_dir)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(received_dir)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch.sparkSession, batch, batch_id, state_dir, as_of_ts, dims)
 
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(log_dir))
-    q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return read_state(spark, state_dir)
+def stream_save_log(spark: SparkSession, log_dir: str, received_dir: str, checkpoint: str, as_of_ts: str,
+                    tables: dict[str, DataFrame], max_files_per_trigger: int = 1) -> dict[str, DataFrame]:
+    """Receive what is new in ``log_dir`` and return ``tables`` after every save received so far."""
+    received = receive_save_log(spark, log_dir, received_dir, checkpoint, max_files_per_trigger)
+    return apply_save_log(tables, received, as_of_ts)

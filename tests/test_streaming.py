@@ -1,6 +1,9 @@
 """The micro-batch stream ends in the same state as W6 over the whole log."""
 
+from evalspark.fixtures import fixture_tables
 from evalspark.plans import QUERIES
+from evalspark.plans.q_streaming import stage_log_files
+from evalspark.streaming.save_stream import receive_save_log
 
 
 def test_stream_equals_batch(spark, sf_dir):
@@ -9,32 +12,12 @@ def test_stream_equals_batch(spark, sf_dir):
     assert stream == batch and len(stream) > 0
 
 
-def test_replayed_batch_is_idempotent(spark, sf_dir, tmp_path):
-    from evalspark.fixtures import AS_OF_TS, fixture_tables
-    from evalspark.operators.workflow import apply_save_log, state_by_key
-    from evalspark.streaming.save_stream import STATE_TABLES, apply_batch, init_state, read_state
-    dims = ("eval_competency", "eval_form", "users")
-    t = fixture_tables(spark, sf_dir, ["save_log"] + list(STATE_TABLES) + list(dims))
-    d = str(tmp_path / "state")
-    init_state(spark, {n: t[n] for n in STATE_TABLES}, d, buckets=16)
-    log = t["save_log"]
-    for _ in range(2):  # the same batch id twice (a replay after a failure)
-        apply_batch(spark, log, 0, d, AS_OF_TS, {n: t[n] for n in dims})
-    final = state_by_key(read_state(spark, d), log)
-    once = state_by_key(apply_save_log({n: t[n] for n in list(STATE_TABLES) + list(dims)}, log, AS_OF_TS), log)
-    assert sorted(final.collect()) == sorted(once.collect())
-
-
-def test_untouched_buckets_are_not_rewritten(spark, sf_dir, tmp_path):
-    from pyspark.sql import functions as F
-
-    from evalspark.fixtures import AS_OF_TS, fixture_tables
-    from evalspark.streaming.save_stream import STATE_TABLES, apply_batch, init_state
-    dims = ("eval_competency", "eval_form", "users")
-    t = fixture_tables(spark, sf_dir, ["save_log"] + list(STATE_TABLES) + list(dims))
-    d = str(tmp_path / "state")
-    init_state(spark, {n: t[n] for n in STATE_TABLES}, d, buckets=64)
-    one_key = t["save_log"].where((F.col("user_id") == 1) & (F.col("form_id") == 0))
-    apply_batch(spark, one_key, 0, d, AS_OF_TS, {n: t[n] for n in dims})
-    man = spark.read.parquet(f"{d}/_manifest").where(F.col("version") == 1)
-    assert man.select("bucket").distinct().count() == 1
+def test_stream_resumes_and_receives_each_save_once(spark, sf_dir, tmp_path):
+    log = fixture_tables(spark, sf_dir, ["save_log"])["save_log"]
+    d = str(tmp_path)
+    early, late = log.where("seq % 2 = 0"), log.where("seq % 2 = 1")
+    stage_log_files(early, f"{d}/log", 2)
+    assert receive_save_log(spark, f"{d}/log", f"{d}/got", f"{d}/cp").count() == early.count()
+    stage_log_files(late, f"{d}/log", 2)
+    got = receive_save_log(spark, f"{d}/log", f"{d}/got", f"{d}/cp")
+    assert got.count() == log.count() == got.select("seq").distinct().count()
