@@ -3,7 +3,8 @@
 A document's set holds the hashes of its distinct five-word shingles; documents
 with equal sets are one node.  Sets of up to ``boundary`` shingles are light:
 for each pair of sizes (a, b) that can be similar, both enumerate their subsets
-of the least sufficient overlap c(a, b), and a shared subset *is* a link.
+of the least sufficient overlap c(a, b), and a subset that sets of both sizes
+share *is* a link.
 Larger sets are heavy: they go through inverted lists.  Only the first shingles
 of a set, by a corpus-wide order with frequent shingles last, need listing for
 similar sets to meet; lists of one set are dropped, and what is left is tested
@@ -15,9 +16,9 @@ list that it shares most with; then all pairs of sets that meet in a list but
 lie in different components, unless the lists they share are too few for any
 overlap of the rest to suffice.  That loses no link between components.
 
-Skew: copies collapse into nodes; within a task light subsets tie to their
-least node before the shuffle; lists of the frequent shingles are dealt by node,
-not by shingle.  Only the ``HOT`` most frequent shingles and one row of sizes
+Skew: copies collapse into nodes; light subsets and lists of the frequent
+shingles are dealt by node, and their least nodes are found by aggregates that
+combine before the shuffle.  Only the ``HOT`` most frequent shingles and one row of sizes
 reach the driver; they order the lists and set the boundary, the result does
 not depend on them.
 
@@ -46,7 +47,7 @@ MAX_BOUNDARY = 12
 BATCH_BYTES = 2 << 20
 FLUSH = 1 << 21         # listed shingles that a task holds at a time
 PER_BUCKET = 1 << 20    # listed shingles in a reducer's bucket, about
-TOKEN, HOT_TOKEN, SUBSET, EDGE = range(4)
+TOKEN, HOT_TOKEN, SUBSET = range(3)
 
 _CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,16 +146,21 @@ def _chosen(n: int, c: int, cache: dict) -> np.ndarray:
     return cache[n, c]
 
 
-def light_subsets(shingles: np.ndarray, boundary: int, cache: dict) -> np.ndarray:
-    """One key for each subset whose sharing links two light sets."""
+def light_subsets(shingles: np.ndarray, boundary: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(key, side) of each subset that may link two light sets.
+
+    A key stands for one subset and one pair of sizes; side is the set's own
+    size, or 0 where both sizes of the pair are the same.
+    """
     n, m = len(shingles), mix64(shingles)
-    keys = []
+    keys, sides = [], []
     for b in partner_sizes(n, boundary):
         c = enough(n, b)
         if c <= min(n, b):
             salt = np.uint64(min(n, b) * 1000 + max(n, b))
             keys.append(mix64(m[_chosen(n, c, cache)].sum(1, dtype=np.uint64) + salt))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            sides.append(np.full(len(keys[-1]), 0 if b == n else n, np.int32))
+    return np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int32), *sides])
 
 
 def _text_bytes(column) -> list[bytes]:
@@ -200,12 +206,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: int, buckets: int) -> DataFrame:
-    """(kind, a, b, n): shingles with the sets that list them (only where at least two do), and links of light sets."""
+    """(kind, a, b, n): shingles with the sets that list them (only where at least two do; kind TOKEN, n the set's
+    size), and light subsets with the sets that have them (kind SUBSET, n the side)."""
 
     def dealt(batches):
         cache: dict = {}
         done: set = set()
-        tokens, nodes, sizes, subsets, owners = [], [], [], [], []
+        tokens, nodes, sizes, subsets, sides, owners = [], [], [], [], [], []
         held = 0
 
         def flush():
@@ -213,19 +220,13 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
             node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
             n = np.repeat(np.array(sizes, np.int32), [len(t) for t in tokens])
             frequent = _is_in(token, hot)
-            key = np.concatenate(subsets) if subsets else np.zeros(0, np.uint64)
-            owner = np.repeat(np.array(owners, np.int64), [len(s) for s in subsets])
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            least = owner[first][np.cumsum(first) - 1] if len(key) else owner
-            edge = least != owner
-            zero = lambda x: np.zeros(len(x), np.int32)
+            key = np.concatenate([np.zeros(0, np.uint64), *subsets])
+            side = np.concatenate([np.zeros(0, np.int32), *sides])
+            owner = np.repeat(np.array(owners, np.int64), [len(x) for x in subsets])
             for kind, a, b, size, deal in (
                     (TOKEN, token[~frequent].view(np.int64), node[~frequent], n[~frequent], token[~frequent]),
                     (HOT_TOKEN, token[frequent].view(np.int64), node[frequent], n[frequent], node[frequent].view(np.uint64)),
-                    (SUBSET, key[first].view(np.int64), owner[first], zero(key[first]), key[first]),
-                    (EDGE, least[edge], owner[edge], zero(least[edge]), owner[edge].view(np.uint64))):
+                    (SUBSET, key.view(np.int64), owner, side, owner.view(np.uint64))):
                 if len(a):
                     to = (mix64(deal) % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(to, kind="stable")
@@ -244,7 +245,8 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
                         continue
                     done.add(node)
                     if len(s) <= boundary:
-                        subsets.append(light_subsets(s, boundary, cache))
+                        for part, value in zip((subsets, sides), light_subsets(s, boundary, cache)):
+                            part.append(value)
                         owners.append(node)
                     if len(s) >= least_listed(boundary):
                         tokens.append(_first(s, hot, hot_rank))
@@ -253,12 +255,12 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
                         held += len(tokens[-1])
                 if held >= FLUSH:
                     yield from flush()
-                    done, tokens, nodes, sizes, subsets, owners, held = set(), [], [], [], [], [], 0
+                    done, tokens, nodes, sizes, subsets, sides, owners, held = set(), [], [], [], [], [], [], 0
         yield from flush()
 
     def met(_, table):
         out = []
-        for kind in range(4):
+        for kind in range(3):
             rows = table.filter(pa.compute.equal(table.column("kind"), kind))
             if not len(rows):
                 continue
@@ -273,10 +275,7 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
             if kind == TOKEN:  # lists of one set meet nobody
                 shared = same | np.concatenate([same[1:], [False]])
                 a, b, n = a[shared], b[shared], n[shared]
-            elif kind == SUBSET:  # b is sorted within a: tie to the least
-                least = b[~same][np.cumsum(~same) - 1]
-                a, b, n = least[same], b[same], n[same]
-            out.append(pa.table({"kind": pa.array(np.full(len(a), min(kind, 2) if kind != HOT_TOKEN else 0, np.int32)),
+            out.append(pa.table({"kind": pa.array(np.full(len(a), SUBSET if kind == SUBSET else TOKEN, np.int32)),
                                  "a": pa.array(a), "b": pa.array(b), "n": pa.array(n)}))
         return pa.concat_tables(out)
 
@@ -285,6 +284,15 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
     return staged(packed.groupBy("bucket").applyInArrow(met, "kind int, a long, b long, n int"), "entries")
 
 
+def _light_links(subsets: DataFrame) -> DataFrame:
+    """Links (a, b) of (key, node, side): each node to the least node of the other side, or of its own where there is one side."""
+    ends = subsets.groupBy("key").agg(F.min(F.struct("side", "node")).alias("lo"),
+                                      F.min(F.struct((-F.col("side")).alias("side"), "node")).alias("hi"))
+    ends = ends.where("lo.side = 0 or lo.side <> -hi.side")
+    hub = F.when((F.col("side") == F.col("lo.side")) & (F.col("side") > 0), F.col("hi.node")).otherwise(F.col("lo.node"))
+    return subsets.join(ends, "key").select(hub.alias("a"), F.col("node").alias("b")).where("a <> b")
+
+
 def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -353,8 +361,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     boundary = choose_boundary(small)
     total = classes.agg(F.sum(F.expr("n - ceil(n * 3 / 4) + 1")).alias("t")).first()["t"] or 0
     entries = _entries(docs, hot, rank, boundary, max(16, int(total) // PER_BUCKET))
-    lists = entries.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
-    light = entries.where("kind = 2").select("a", "b")
+    lists = entries.where(F.col("kind") == TOKEN).select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
+    light = _light_links(entries.where(F.col("kind") == SUBSET).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n").alias("side")))
 
     fits = "4 * least(n, m) >= 3 * greatest(n, m)"
     # each set against the least set of a list, the one it meets most often
