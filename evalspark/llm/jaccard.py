@@ -312,9 +312,11 @@ def _first(shingles: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> np.nd
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose whole sets are similar, at rest."""
-    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """Those of ``pairs`` (a, b: nodes, each pair once) whose whole sets are similar, at rest."""
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = staged(classes.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
     few = wanted.count() <= broadcast_rows  # one number a row
     texts = _source(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
@@ -326,8 +328,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()),
                                                   pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "s"])
 
-    # equal doc_ids may bring other texts along: keep one row a node
-    whole = staged(texts.mapInArrow(sets, "node long, s binary").join(nodes, "node", "left_semi"), "sets").dropDuplicates(["node"])
+    # equal doc_ids may bring copies along: keep one row a node
+    whole = staged(texts.mapInArrow(sets, "node long, s binary"), "sets").dropDuplicates(["node"])
 
     def similar(batches):
         for b in batches:
@@ -386,11 +388,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         part = staged(components(links.unionByName(more)), "parts")
 
-    ids = staged(part.join(classes, "node").select("node", "component", "doc_id"), "linked")
-    named = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = ids.join(named, "component").select("node", "component_id")
-    copies = classes.join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return (rows.join(copies, "node", "left")
+    placed = rows.join(part, "node", "left").withColumn("part", F.when(F.col("n") > 0, F.coalesce("component", "node")))
+    named = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return (placed.join(named, "part", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
