@@ -11,8 +11,10 @@ similar sets to meet; lists of one set are dropped, and what is left is tested
 on whole sets.  The boundary is the one of least cost for the sizes at hand.
 
 Links are found for components, so sets that are already connected are not
-compared again: first each listed set is tested against the least set of the
-list that it shares most with; then all pairs of sets that meet in a list but
+compared again: first each listed set is tested against the most typical set
+of its lists that it meets most often (typical: fewest of its listed shingles
+are its own alone; of a group of near copies, the one that they were made
+from); then all pairs of sets that meet in a list but
 lie in different components, unless the lists they share are too few for any
 overlap of the rest to suffice.  That loses no link between components.
 
@@ -367,9 +369,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     light = _light_links(entries.where(F.col("kind") == SUBSET).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n").alias("side")))
 
     fits = "4 * least(n, m) >= 3 * greatest(n, m)"
-    # each set against the least set of a list, the one it meets most often
-    least = lists.groupBy("token").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("n").alias("m"))).alias("h")).select("token", "h.*")
-    with_hub = (lists.join(least, "token").where("node <> hub").where(fits).groupBy("node", "hub", "n", "m").agg(F.count("*").alias("c"))
+    # each set against the most typical set of a list, the one it meets most often
+    own = lists.groupBy("node").agg((F.expr("max(n) - ceil(max(n) * 3 / 4) + 1") - F.count("*")).alias("odd"))
+    typical = lists.join(own, "node").groupBy("token").agg(F.min(F.struct("odd", F.col("node").alias("hub"), F.col("n").alias("m"))).alias("h"))
+    with_hub = (lists.join(typical.select("token", "h.hub", "h.m"), "token").where("node <> hub").where(fits).groupBy("node", "hub", "n", "m").agg(F.count("*").alias("c"))
                 .groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("node").alias("b")))
     links = light.unionByName(_verified(with_hub, docs, classes))
     part = staged(components(links), "parts")
