@@ -19,42 +19,44 @@ class Merges:
 
     def __init__(self, tokens: dict[int, tuple], priority, limit: int = 2_000_000):
         self.tokens, self.priority, self.limit = tokens, priority, limit
-        self.trie: dict = {}      # (node, symbol) -> node
-        self.token_at = [-1]      # node -> token that ends here
-        self.inner = [True]       # node -> whether longer tokens pass here
+        self.trie: list[dict] = [{}]  # node -> {symbol: node}
+        self.token_at = [-1]          # node -> token that ends here
         self.pairs: dict = {}
         for t, symbols in tokens.items():
             node = 0
             for s in symbols:
-                self.inner[node] = True
-                nxt = self.trie.get((node, s))
+                nxt = self.trie[node].get(s)
                 if nxt is None:
-                    nxt = self.trie[node, s] = len(self.token_at)
+                    nxt = self.trie[node][s] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.inner.append(False)
+                    self.trie.append({})
                 node = nxt
             self.token_at[node] = t
 
-    def merged(self, symbols) -> list:
-        """The strings that the merges leave: the best pair first, the leftmost of equals."""
+    def merged(self, symbols, border: int = 0) -> list | None:
+        """The strings that the merges leave, the best pair first, the leftmost of equals; None once one crosses ``border``."""
         parts = list(symbols)
-        while len(parts) > 1:
-            ranked = [(p, i) for i in range(len(parts) - 1) if (p := self.priority(parts[i], parts[i + 1])) is not None]
-            if not ranked:
-                break
-            i = min(ranked)[1]
+        none, priority = float("inf"), self.priority
+        rank = [none if (p := priority(a, b)) is None else p for a, b in zip(parts, parts[1:])]
+        while rank and (best := min(rank)) != none:
+            i = rank.index(best)
+            if i == border - 1:
+                return None
+            border -= i < border
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(rank):
+                    rank[j] = none if (p := priority(parts[j], parts[j + 1])) is None else p
         return parts
 
     def allowed(self, before: int, token: int) -> bool:
         """Whether ``token`` may follow the token ``before`` (-1: the start; -2: a symbol that no token holds)."""
-        key = (before, token)
+        key = before << 32 | token
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > self.limit:
                 self.pairs.clear()
             left = self.tokens[before] if before >= 0 else ()
-            right = self.tokens[token]
-            want = (["".join(left)] if left else []) + ["".join(right)]
-            got = self.pairs[key] = self.merged((*left, *right)) == want
+            got = self.pairs[key] = len(self.merged((*left, *self.tokens[token]), len(left)) or ()) == (2 if left else 1)
         return got

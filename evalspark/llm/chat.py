@@ -131,6 +131,13 @@ def _single(m: Mapping, get) -> Column:
     return F.filter(F.array(*turns), lambda t: t.isNotNull())
 
 
+def _variant_turns(record: Column, field: str, role: str, text: str) -> Column:
+    """The turns of a JSON record's array field."""
+    return F.transform(F.try_variant_get(record, "$." + field, "array<variant>"), lambda t: F.struct(
+        _role(F.try_variant_get(t, "$." + role, "string")).alias("role"),
+        _text(F.try_variant_get(t, "$." + text, "string")).alias("text")))
+
+
 def table_turns(df: DataFrame, id_col: str | None = None, mappings=MAPPINGS) -> DataFrame:
     """(conv_id, ordinal, role, text): one row per turn of a table whose schema a mapping knows."""
     m = select_mapping(field_paths(df.schema), mappings)
@@ -168,11 +175,7 @@ def json_turns(df: DataFrame, record: str, mappings=MAPPINGS) -> DataFrame:
         these = _single(m, lambda n: get("$." + n)) if m.fields else F.expr(
             "cast(array() as array<struct<role:string,text:string>>)")
         if m.turns:
-            field, role, text = m.turns
-            items = F.try_variant_get(F.col("_v"), "$." + field, "array<variant>")
-            these = F.concat(these, F.transform(items, lambda t, role=role, text=text: F.struct(
-                _role(F.try_variant_get(t, "$." + role, "string")).alias("role"),
-                _text(F.try_variant_get(t, "$." + text, "string")).alias("text"))))
+            these = F.concat(these, _variant_turns(F.col("_v"), *m.turns))
         layout = F.when(F.col("_fp") == key, F.lit(m.name)).otherwise(layout)
         turns = F.when(F.col("_fp") == key, these).otherwise(turns)
     return (df.withColumn("_v", v).withColumn("_fp", fp)

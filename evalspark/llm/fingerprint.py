@@ -175,8 +175,8 @@ def encoded(digest: tuple[np.ndarray, int]) -> str:
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, int]:
     n, count, text = fingerprint.split(":")
-    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(int(n), -1)
-    return (np.unpackbits(raw, axis=1) if int(n) else np.zeros((0, BITS), np.uint8)), int(count)
+    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(int(n), BITS // 8)
+    return np.unpackbits(raw, axis=1), int(count)
 
 
 def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:

@@ -84,28 +84,27 @@ class Stream:
         self.first = -1                # the piece before the window
         self.active = [(0, 0)]         # (start, trie node) of the pieces under way
 
-    def _last(self, at: int) -> int:
-        return self.path[at][1] if at else self.first
-
     def push(self, chars: str) -> list[int]:
         out: list[int] = []
-        m = self.m
+        trie, token_at, allowed, wide = self.m.trie, self.m.token_at, self.m.allowed, 2 * self.e.longest
         for c in chars:
-            self.text.append(c)
-            moved, best = [], None
+            moved, best, path = [], None, self.path
             for start, node in self.active:
-                nxt = m.trie.get((node, c))
+                nxt = trie[node].get(c)
                 if nxt is None:
                     continue
-                piece = m.token_at[nxt]
-                if best is None and piece >= 0 and m.allowed(self._last(start), piece):
-                    best = (start, piece)
-                if m.inner[nxt]:
+                if best is None:
+                    piece = token_at[nxt]
+                    if piece >= 0 and allowed(path[start][1] if start else self.first, piece):
+                        best = (start, piece)
+                if trie[nxt]:
                     moved.append((start, nxt))
-            n = len(self.text)
-            self.path.append(best or (n - 1, -2))  # a character of no piece stands alone
-            self.active = [*moved, (n, 0)]
-            if not moved or n >= 2 * self.e.longest:
+            n = len(path)
+            self.text.append(c)
+            path.append(best or (n - 1, -2))  # a character of no piece stands alone
+            moved.append((n, 0))
+            self.active = moved
+            if n >= wide or len(moved) == 1:
                 out += self._settle()
         return out
 

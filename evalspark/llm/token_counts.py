@@ -61,15 +61,15 @@ class Transducer:
 
     def _step(self, state: int, symbol: int):
         """The transition from ``state`` on ``symbol``: (state, count change); state -1 after a word's last byte."""
-        m, out, moved, found = self.merges, [], [], None
+        m, moved, found = self.merges, [], None
         for node, last, rel in self.states[state]:
-            nxt = m.trie.get((node, self.symbol[symbol]))
+            nxt = m.trie[node].get(self.symbol[symbol])
             if nxt is None:
                 continue
             token = m.token_at[nxt]
             if found is None and token >= 0 and m.allowed(last, token):
                 found = (token, rel + 1)
-            if m.inner[nxt]:
+            if m.trie[nxt]:
                 moved.append((nxt, last, rel))
         token, change = found
         if symbol >= FINAL:
