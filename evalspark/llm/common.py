@@ -31,11 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_cache(key, make):
-    """``make()`` once per Python worker process; kept between the tasks that a reused worker runs."""
-    cache = sys.modules.setdefault("_llm_worker_cache", type(sys)("_llm_worker_cache")).__dict__
-    if key not in cache:
-        cache[key] = make()
-    return cache[key]
+    """``make()`` once per Python worker process; kept between the tasks that a reused worker runs.
+
+    A worker holds one value at a time: another key drops it, so that the jobs
+    of a pipeline don't add up in its memory.
+    """
+    held = sys.modules.setdefault("_llm_worker_cache", type(sys)("_llm_worker_cache")).__dict__.setdefault("held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def file_uri(uri: str) -> str:

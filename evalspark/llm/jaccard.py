@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import mix64, staged
+from evalspark.llm.common import mix64, staged, worker_cache
 from evalspark.llm.components import components
 
 WORDS = 5
@@ -178,6 +178,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     shingles that occur in k > 2 different sets of one stretch of a task."""
 
     def run(batches):
+        worker_cache("jaccard", dict)  # lets go of what an earlier job kept
         seen, parts, held = set(), [], 0
 
         def frequent():
@@ -212,6 +213,7 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
     size), and light subsets with the sets that have them (kind SUBSET, n the side)."""
 
     def dealt(batches):
+        worker_cache("jaccard", dict)
         cache: dict = {}
         done: set = set()
         tokens, nodes, sizes, subsets, sides, owners = [], [], [], [], [], []
@@ -324,6 +326,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
     texts = _source(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
     def sets(batches):
+        worker_cache("jaccard", dict)
         for b in batches:
             for lo in range(0, len(b), 500):
                 own = shingle_sets(_text_bytes(b.column(1).slice(lo, 500)))

@@ -109,7 +109,7 @@ def learn_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
 class Distance:
     """How many bytes shorter the toxic dictionary makes a window; remembered for a bounded number of windows."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, remembered: int = 400_000):
+    def __init__(self, toxic: bytes, ordinary: bytes, remembered: int = 300_000):
         import zstandard
         self.pair = []
         for content in (ordinary, toxic):
