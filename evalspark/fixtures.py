@@ -105,7 +105,9 @@ select event_id as seq, ts, user_id, (event_id % 3) * 12 as form_id,
   case when event_id % 29 = 0 then '99999999' else cast((event_id % 3) * 120 + 1 as varchar(10)) end, ',"score":4.0},{"comp_id":',
   cast((event_id % 3) * 120 + case when event_id % 37 = 0 then 1 else 2 end as varchar(10)),
   ',"score":2.5}],"time_attendance":{"full_score":100.0,"score":', cast(event_id % 101 as varchar(10)),
-  '.0},"development_plan":[],"additional":{"q1":"a","q2":"","q3":"","q4":"","q5":""}}') as doc
+  '.0},"development_plan":[', case when event_id % 3 = 0 then
+   concat('{"idx":1,"content":"grow","priority":"High","timing":"2024-05-0', cast(1 + event_id % 9 as varchar(10)), '","remarks":""},{"idx":2,"content":"rest","timing":"","remarks":"r"}') else '' end,
+  '],"additional":{"q1":"a","q2":"","q3":"","q4":"","q5":""}}') as doc
 from events""", ()),
     "step_changes": ("""
 select s.id as step_id, s.id as seq, case when s.assignment_id % 3 = 0 then 0 else 2 end as status,

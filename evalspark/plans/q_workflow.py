@@ -236,6 +236,61 @@ def q_save_log_state(spark, sf_dir):
     return workflow.state_by_key(out, t["save_log"])
 
 
+_LAST = "(select last_seq, assignment_id from st where last_seq is not null) l"
+
+
+def _rows_after(base: str, kept: str, source: str, fresh: str) -> str:
+    """All rows of a child table after the log: those of untouched assignments, and the last saves' lists with new ids."""
+    return oracle(_STATE_VIEWS, _STATE_SQL,
+                  f"select id, assignment_id, {kept} from {base} where assignment_id not in (select assignment_id from {_LAST})"
+                  f" union all select (select coalesce(max(id), 0) from {base}) + row_number() over (order by s.seq, s.pos) as id,"
+                  f" l.assignment_id, {fresh} from {source} s join {_LAST} on l.last_seq = s.seq")
+
+
+def _tables_after(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir, list(_STATE_VIEWS))
+    return workflow.apply_save_log(t, t["save_log"], AS_OF_TS)
+
+
+@query("save_log_kpis", _rows_after(
+    "eval_kpi_user", "idx, code, title, cast(max_score as double) as max_score, weight, cast(score as double) as score", "sv_kpis",
+    "s.idx, nullif(s.code, '') as code, s.title, cast(cast(s.max_score as decimal(6,2)) as double) as max_score, s.weight,"
+    " cast(cast(s.score as decimal(6,2)) as double) as score"))
+def q_save_log_kpis(spark, sf_dir):
+    """The whole KPI table after the save log, new ids included."""
+    return _tables_after(spark, sf_dir)["eval_kpi_user"].select(
+        "id", "assignment_id", "idx", "code", "title", F.col("max_score").cast("double").alias("max_score"), "weight",
+        F.col("score").cast("double").alias("score"))
+
+
+@query("save_log_comp_scores", _rows_after(
+    "eval_competency_score", "comp_id, cast(score as double) as score, note", "sv_cs",
+    "s.comp_id, cast(cast(s.score as decimal(6,2)) as double) as score, nullif(s.note, '') as note"))
+def q_save_log_comp_scores(spark, sf_dir):
+    """The whole competency score table after the save log."""
+    return _tables_after(spark, sf_dir)["eval_competency_score"].select(
+        "id", "assignment_id", "comp_id", F.col("score").cast("double").alias("score"), "note")
+
+
+@query("save_log_plans", _rows_after(
+    "eval_dev_plan", "idx, content, priority, strftime(timing, '%Y-%m-%d') as timing", "sv_dp",
+    "s.idx, s.content, s.priority, strftime(try_cast(nullif(trim(s.timing), '') as date), '%Y-%m-%d') as timing"))
+def q_save_log_plans(spark, sf_dir):
+    """The whole development plan table after the save log."""
+    return _tables_after(spark, sf_dir)["eval_dev_plan"].select(
+        "id", "assignment_id", "idx", "content", "priority", F.date_format("timing", "yyyy-MM-dd").alias("timing"))
+
+
+@query("save_log_assignments", oracle(_STATE_VIEWS, _STATE_SQL,
+                                      "select a.id, a.form_id, a.user_id, cast(coalesce(l.status, a.status) as int) as status,"
+                                      " strftime(a.due_date, '%Y-%m-%d') as due_date from a1 a"
+                                      " left join lastacc l on l.form_id = a.form_id and l.user_id = a.user_id"))
+def q_save_log_assignments(spark, sf_dir):
+    """The whole assignment table after the save log."""
+    return _tables_after(spark, sf_dir)["eval_assignment"].select(
+        "id", "form_id", "user_id", "status", F.date_format("due_date", "yyyy-MM-dd").alias("due_date"))
+
+
 # ---------------------------------------------------------------------- D4
 _RESULT_SQL = SAVE_EVENTS_CTE + ensure_cte("save_log", AS_OF_TS) + """
 acc AS (select seq, form_id, user_id, req_status from res where accepted),

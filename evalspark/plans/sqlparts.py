@@ -148,9 +148,10 @@ sv_cs AS (select seq, pos - 1 as pos, it.comp_id as comp_id, coalesce(it.score,
                  coalesce(it.note, '') as note
           from (select seq, pos, d.competency_scores[pos] as it
                 from (select seq, d, generate_subscripts(d.competency_scores, 1) as pos from sv_docs) x) y),
-sv_dp AS (select seq, coalesce(it.timing, '') as timing, coalesce(it.content, '') as content,
+sv_dp AS (select seq, pos, coalesce(it.idx, 0) as idx, coalesce(it.timing, '') as timing, coalesce(it.content, '') as content,
                  coalesce(it.priority, '') as priority, coalesce(it.remarks, '') as remarks
-          from (select seq, unnest(d.development_plan) as it from sv_docs) x),
+          from (select seq, pos, d.development_plan[pos] as it
+                from (select seq, d, generate_subscripts(d.development_plan, 1) as pos from sv_docs) x) y),
 sv_ad AS (select seq, coalesce(d.additional.q1, '') as q1, coalesce(d.additional.q2, '') as q2,
                  coalesce(d.additional.q3, '') as q3, coalesce(d.additional.q4, '') as q4,
                  coalesce(d.additional.q5, '') as q5,
