@@ -15,8 +15,9 @@ compared again: first each listed set is tested against the most typical set
 of its lists that it meets most often (typical: fewest of its listed shingles
 are its own alone; of a group of near copies, the one that they were made
 from); then all pairs of sets that meet in a list but
-lie in different components, unless the lists they share are too few for any
-overlap of the rest to suffice.  That loses no link between components.
+lie in different components, unless the lists that they share are too few, or
+the places of a shared shingle in the two orders too far on, for any overlap of
+the rest to suffice.  That loses no link between components.
 
 Skew: copies collapse into nodes; light subsets and lists of the frequent
 shingles are dealt by node, and their least nodes are found by aggregates that
@@ -49,6 +50,7 @@ MAX_BOUNDARY = 12
 BATCH_BYTES = 2 << 20
 FLUSH = 1 << 21         # listed shingles that a task holds at a time
 PER_BUCKET = 1 << 20    # listed shingles in a reducer's bucket, about
+PLACES = 64             # steps in which a shingle's place is kept; sets of up to 2**25 shingles
 TOKEN, HOT_TOKEN, SUBSET = range(3)
 
 _CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -210,7 +212,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: int, buckets: int) -> DataFrame:
     """(kind, a, b, n): shingles with the sets that list them (only where at least two do; kind TOKEN, n the set's
-    size), and light subsets with the sets that have them (kind SUBSET, n the side)."""
+    size times PLACES plus the shingle's place among the listed ones in PLACES steps), and light subsets with the sets that have them (kind SUBSET, n the side)."""
 
     def dealt(batches):
         worker_cache("jaccard", dict)
@@ -222,7 +224,9 @@ def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
         def flush():
             token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             node = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
-            n = np.repeat(np.array(sizes, np.int32), [len(t) for t in tokens])
+            each = np.array([len(t) for t in tokens], np.int64)
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            n = (np.repeat(np.array(sizes, np.int64), each) * PLACES + at * PLACES // np.repeat(each, each)).astype(np.int32)
             frequent = _is_in(token, hot)
             key = np.concatenate([np.zeros(0, np.uint64), *subsets])
             side = np.concatenate([np.zeros(0, np.int32), *sides])
@@ -368,7 +372,8 @@ def similar_components(docs: DataFrame) -> DataFrame:
     boundary = choose_boundary(small)
     total = classes.agg(F.sum(F.expr("n - ceil(n * 3 / 4) + 1")).alias("t")).first()["t"] or 0
     entries = _entries(docs, hot, rank, boundary, max(16, int(total) // PER_BUCKET))
-    lists = entries.where(F.col("kind") == TOKEN).select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
+    lists = entries.where(F.col("kind") == TOKEN).select(F.col("a").alias("token"), F.col("b").alias("node"),
+                                                               F.expr(f"n div {PLACES}").alias("n"), F.expr(f"n % {PLACES}").alias("q"))
     light = _light_links(entries.where(F.col("kind") == SUBSET).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n").alias("side")))
 
     fits = "4 * least(n, m) >= 3 * greatest(n, m)"
@@ -381,12 +386,16 @@ def similar_components(docs: DataFrame) -> DataFrame:
     part = staged(components(links), "parts")
 
     # then whatever meets in a list and is not connected yet
-    placed = lists.join(part, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part"))
+    placed = lists.join(part, "node", "left").select("token", "node", "n", "q", F.coalesce("component", "node").alias("part"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     mixed = staged(placed.join(mixed, "token", "left_semi"), "mixed")
-    other = mixed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("part").alias("part2"))
+    other = mixed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("q").alias("q2"), F.col("part").alias("part2"))
     rest = "greatest(n - (n - ceil(n * 3 / 4) + 1), m - (m - ceil(m * 3 / 4) + 1))"
-    pairs = (mixed.join(other, "token").where("node < node2 and part <> part2").where(fits)
+    # the most that sets can share when they share a shingle at these places: before it, itself, after it
+    low = lambda n, q: f"ceil({q} * ({n} - ceil({n} * 3 / 4) + 1) / {PLACES})"
+    reach = (f"7 * (least({low('n', '(q + 1)')}, {low('m', '(q2 + 1)')}) + least(n - {low('n', 'q')} - 1, m - {low('m', 'q2')} - 1))"
+             " >= 3 * (n + m)")
+    pairs = (mixed.join(other, "token").where("node < node2 and part <> part2").where(fits).where(reach)
              .groupBy("node", "node2", "n", "m").agg(F.count("*").alias("c"))
              .where(F.expr(f"7 * (c + {rest}) >= 3 * (n + m)"))
              .select(F.col("node").alias("a"), F.col("node2").alias("b")))
