@@ -47,7 +47,7 @@ WORDS = 5
 HOT = 200_000           # frequent shingles whose order is kept; the rest are ordered by hash
 VERIFY_COST = 8         # of a listed shingle and the tests it leads to, against one light subset
 MAX_BOUNDARY = 12
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 FLUSH = 1 << 21         # listed shingles that a task holds at a time
 PER_BUCKET = 1 << 20    # listed shingles in a reducer's bucket, about
 PLACES = 64             # steps in which a shingle's place is kept; sets of up to 2**25 shingles
