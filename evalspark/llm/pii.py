@@ -6,8 +6,9 @@ recursion on any text: possessive loops, and starts only where a run begins.
 They match exactly what the plain forms in the comments match.
 
 Base kinds (always kept once confirmed): email, ip (parts at most 255), card
-(13-19 digits, Luhn), phone (9-15 digits).  Added kinds: iban (mod-97) and ssn,
-kept when their score reaches ``THRESHOLD``.  A span is (kind, start, end,
+(13-19 digits, Luhn), phone (9-15 digits).  Added kinds: iban (its country's
+length, mod-97; what follows it after a blank does not matter) and ssn, kept
+when their score reaches ``THRESHOLD``.  A span is (kind, start, end,
 score), in code points, end exclusive.
 
 Defined results: a null or empty text has no spans; equal rows get equal spans;
@@ -25,6 +26,24 @@ KINDS = BASE_KINDS + ADDED_KINDS
 THRESHOLD = 0.6
 CONTEXT_CHARS = 48  # text before a span in which context words count
 
+#: ISO 13616: characters of an IBAN, country code and check digits included, by country code: the registry's, then codes in use without an entry.
+IBAN_LENGTHS = {code: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO|16:BE|18:DK FI FK FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|"
+    "23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MC MR SM|"
+    "28:AL AZ BY CY DO GT HN HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU|"
+    "25:AO CV GW MZ|26:DZ IR|27:CF CG CM GA GQ KM MG TD|28:BF BJ CI MA ML NE SN TG").split("|")) for code in codes.split()}
+
+
+def _iban() -> str:
+    """A country code and two digits, from which (group 1) as many characters follow as the country's IBANs have, a blank before any.
+
+    Only the first four characters are consumed, so every start is tried, also one inside a candidate that fails mod-97.
+    """
+    of_length = (f"(?:{'|'.join(sorted(c for c, m in IBAN_LENGTHS.items() if m == n))})[0-9]{{2}}(?:\\x20?+[A-Z0-9]){{{n - 4}}}"
+                 for n in sorted(set(IBAN_LENGTHS.values())))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(of_length)})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -34,9 +53,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]  (two digits alone also match here; they are too few for a phone)
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: The group that holds the span, where it is not the whole match.
+SPAN_GROUP = {"iban": 1}
 #: A text without this character or pattern has no such span; spares the full search.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-", "ip": "."}
 #: Score of a confirmed span without context, and the words that raise it.
@@ -102,14 +123,16 @@ def kind_spans(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, by start: array of struct(kind, start, end, score).
 
     The text between the matches (``gaps``) and the matches alternate, so a
-    match starts after i gaps and i - 1 matches.
+    match starts after i gaps and i - 1 matches.  ``whole`` are the spans: the
+    matches, or what their ``SPAN_GROUP`` holds.
     """
     pattern = PATTERNS[kind]
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
 
     def spans(m):
         gaps, found = m["gaps"], m["found"]
-        kept = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: confirmed(kind, F.element_at(found, i)))
+        whole = m["whole"] if kind in SPAN_GROUP else found
+        kept = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: confirmed(kind, F.element_at(whole, i)))
         chars = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, s: a + F.length(s))
 
         def span(i):
@@ -118,17 +141,18 @@ def kind_spans(text: Column, kind: str) -> Column:
                                              F.element_at(gaps, i)), -CONTEXT_CHARS, CONTEXT_CHARS)
             score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0))
             return F.struct(F.lit(kind).alias("kind"), start.alias("start"),
-                            (start + F.length(F.element_at(found, i))).alias("end"), score.alias("score"))
+                            (start + F.length(F.element_at(whole, i))).alias("end"), score.alias("score"))
         out = F.transform(kept, span)
         if kind in ADDED_KINDS:
             out = F.filter(out, lambda s: s["score"] >= THRESHOLD)
         return F.when(F.size(found) > 0, out).otherwise(none)
 
-    whole = bind(F.struct(F.split(text, pattern, -1).alias("gaps"),
-                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), spans)
+    groups = {"found": 0} | ({"whole": SPAN_GROUP[kind]} if kind in SPAN_GROUP else {})
+    out = bind(F.struct(F.split(text, pattern, -1).alias("gaps"),
+                        *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(name) for name, g in groups.items())), spans)
     if kind in NEEDS:
-        return F.when(F.instr(text, NEEDS[kind]) > 0, whole).otherwise(none)
-    return whole
+        return F.when(F.instr(text, NEEDS[kind]) > 0, out).otherwise(none)
+    return out
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:

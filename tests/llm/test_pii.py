@@ -91,3 +91,36 @@ def test_runs_no_python(spark, odd_docs):
                                      ("DE89370400440532013001", False)])
 def test_mod97(spark, iban, ok):
     assert spark.range(1).select(pii.mod97_ok(F.lit(iban)).alias("x")).first()["x"] is ok
+
+
+def iban_spans(text):
+    """By definition: from each start, as many characters as the country's IBANs have, a blank before any, mod-97."""
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}", text):
+        n = pii.IBAN_LENGTHS.get(m[1], 0) - 4
+        whole = re.compile(r"( ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % max(n, 0)).match(text, m.end()) if n > 0 else None
+        if whole:
+            d = text[m.start():whole.end()].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1:
+                out.append((m.start(), whole.end()))
+    return out
+
+
+def test_ibans_whatever_follows(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    found = {f"IBAN {de} Please pay": [de], f"{gb} AND more": [gb], f"{de} 2024": [de], f"{de} {no} A": [de, no],
+             f"to {gb} 7 X": [gb], f"BE12 {de[:4]} 3704 0044 0532 0130 00 Ok": ["DE89 3704 0044 0532 0130 00"],
+             f"DE89 {gb}": [gb], f"{de}X": [], f"{de}é": [de], f"x{de}": [], f"{de[:-1]}": [], f"{de[:-1]}1 Please": []}
+    rng = random.Random(5)
+    more = ["".join(rng.choice([de, gb, no, " ", " A", "Pay ", "DE12", "NO93 ", "BE12 ", "2024 ", ".", "é"]) for _ in range(rng.randint(1, 8)))
+            for _ in range(400)] + ["DE89 " * 20000, "A" * 50000, "DE12" + " 1" * 30000]
+    data = [*found, *more]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["pii_spans"] if s["kind"] == "iban"] for r in pii.find_spans(df).collect()}
+    for i, want in enumerate(found.values()):
+        assert [data[i][a:b] for a, b in got[i]] == want, data[i]
+    for i, t in enumerate(data):
+        assert got[i] == iban_spans(t), t[:200]
+    assert sum(map(len, got.values())) > 100
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_spans(df)).collect()}
+    assert redacted[0] == "IBAN [IBAN] Please pay" and redacted[1] == "[IBAN] AND more" and redacted[2] == "[IBAN] 2024"
