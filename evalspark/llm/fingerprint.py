@@ -14,9 +14,16 @@ comes from comparing the text with itself at 1 to 63 bytes' distance, so the
 cost per byte is constant and nothing loops over bytes in Python.
 
 Texts of fewer than ``SHORT`` bytes have too few windows to choose from; all
-their windows of ``SHORT_WINDOW`` bytes are features.
-
-Defined results: texts of fewer than ``SHORT_WINDOW`` bytes are one feature; a null text is empty; an empty text has an empty chain, like another empty one (1.0)
+their windows of ``SHORT_WINDOW`` bytes are features, in order of first place.
+The two kinds of features can't overlap, so texts on both sides of that border
+carry a second chain of the other kind: texts of ``SHORT`` to ``BAND`` bytes all
+short windows, texts of ``WINDOW`` to ``SHORT`` bytes the selected windows.  A
+text on one side and one on the other are compared by short windows if the
+longer has them, else by selected windows.  ``BAND`` is more than the contract's
+edit can move a text: below 768 bytes if the edited text is below 256.
+
+Defined results: a text of fewer than ``WINDOW`` bytes and one of ``BAND`` or more have likeness 0 (no kind of feature in common);
+texts of fewer than ``SHORT_WINDOW`` bytes are one feature; a null text is empty; an empty text has an empty chain, like another empty one (1.0)
 and unlike anything else (0.0); equal texts have equal fingerprints.
 """
 
@@ -25,6 +32,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +43,7 @@ from evalspark.llm.common import mix64
 
 WINDOW, VOTES, HASHES, BITS, PER_FILTER = 64, 16, 5, 2048, 128
 SHORT, SHORT_WINDOW = 256, 8  # texts of fewer bytes: every window of 8 bytes is a feature
+BAND = 1024  # texts of fewer bytes carry the short features, too
 CLASSES = 1 << 10
 BATCH_BYTES = 1 << 19  # texts are worked on together up to this size
 #: c * log2(c), in whole units so that sums are exact.
@@ -45,6 +54,16 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+class Digest(NamedTuple):
+    """A text's chain as rows of BITS bits, its number of features, whether they are short windows, and the chain of the other kind."""
+
+    bits: np.ndarray
+    count: int
+    short: bool
+    also: np.ndarray
+    also_count: int
+
+
 def windows_class(data: np.ndarray) -> np.ndarray:
     """The entropy class of each window of ``data`` (uint8), 0 for the highest entropy."""
     n, w = len(data), WINDOW
@@ -113,7 +132,8 @@ def rarity(counts: np.ndarray) -> np.ndarray:
 def _short_features(text: bytes) -> np.ndarray:
     data = np.frombuffer(text.ljust(SHORT_WINDOW, b"\x00"), np.uint8)
     views = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW)).view("<u8").ravel()
-    return mix64(np.unique(views) + np.uint64(1 + min(len(text), SHORT_WINDOW)))
+    first = np.sort(np.unique(views, return_index=True)[1])
+    return mix64(views[first] + np.uint64(1 + min(len(text), SHORT_WINDOW)))
 
 
 def _selected(data, starts, size, rank) -> tuple[np.ndarray, np.ndarray]:
@@ -142,46 +162,66 @@ def _selected(data, starts, size, rank) -> tuple[np.ndarray, np.ndarray]:
     return owner, mix64((prefix[at + WINDOW] - prefix[at]) * inverse)
 
 
-def digests(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Each text's chain: (filters as rows of BITS bits, number of features)."""
+def _chains(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The filters of each of ``n`` texts, from the features' (sorted) text numbers and hashes, and how many features each has."""
+    count = np.bincount(owner, minlength=n)
+    filters = -(-count // PER_FILTER)
+    first = np.cumsum(filters) - filters
+    rows = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) // PER_FILTER
+    bits = np.zeros((int(filters.sum()), BITS), np.uint8)
+    for k in range(HASHES):
+        bits[rows, ((h >> np.uint64(11 * k)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return [bits[first[i]:first[i] + filters[i]] for i in range(n)], count
+
+
+def digests(texts: list[bytes], rank: np.ndarray) -> list[Digest]:
+    """Each text's chain, and the chain of the other kind near the border of the two."""
     out = []
     for part in _batches(texts):
         data, starts, size = _together(part)
-        owner, h = _selected(data, starts, size, rank)
-        short = np.flatnonzero((size > 0) & (size < SHORT))
-        if len(short):
-            own = [_short_features(part[i]) for i in short]
-            long = size[owner] >= SHORT
-            owner = np.concatenate([owner[long], np.repeat(short, [len(x) for x in own])])
-            h = np.concatenate([h[long], *own])
-            order = np.argsort(owner, kind="stable")
-            owner, h = owner[order], h[order]
-        count = np.bincount(owner, minlength=len(part))
-        filters = -(-count // PER_FILTER)
-        first = np.cumsum(filters) - filters
-        rows = first[owner] + (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) // PER_FILTER
-        bits = np.zeros((int(filters.sum()), BITS), np.uint8)
-        for k in range(HASHES):
-            bits[rows, ((h >> np.uint64(11 * k)) & np.uint64(BITS - 1)).astype(np.int64)] = 1
-        out += [(bits[first[i]:first[i] + filters[i]], int(count[i])) for i in range(len(part))]
+        selected, n_selected = _chains(*_selected(data, starts, size, rank), len(part))
+        band = np.flatnonzero((size > 0) & (size < BAND))
+        own = [_short_features(part[i]) for i in band]
+        short, n_short = _chains(np.repeat(band, [len(x) for x in own]),
+                                 np.concatenate([np.zeros(0, np.uint64), *own]), len(part))
+        for i in range(len(part)):
+            kinds = (selected[i], int(n_selected[i])), (short[i], int(n_short[i]))
+            is_short = bool(size[i] < SHORT)
+            out.append(Digest(*kinds[is_short], is_short, *kinds[not is_short]))
     return out
 
 
-def encoded(digest: tuple[np.ndarray, int]) -> str:
-    """``filters:features:base64 of the filters``."""
-    bits, count = digest
+def _packed(bits: np.ndarray, count: int) -> str:
     return f"{len(bits)}:{count}:{base64.b64encode(np.packbits(bits, axis=1).tobytes()).decode()}"
 
 
-def decoded(fingerprint: str) -> tuple[np.ndarray, int]:
-    n, count, text = fingerprint.split(":")
-    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(int(n), BITS // 8)
-    return np.unpackbits(raw, axis=1), int(count)
+def encoded(digest: Digest) -> str:
+    """``filters:features:base64 of the filters``; then, if the text has one, the chain of the other kind, behind ``:s:`` if its
+    own features are short windows and ``:l:`` if not.  A text without the second chain and of fewer than SHORT bytes ends in ``:s``."""
+    also = ":" + _packed(digest.also, digest.also_count) if len(digest.also) else ""
+    kind = ":s" if digest.short else ":l" if also else ""
+    return _packed(digest.bits, digest.count) + kind + also
 
 
-def likeness(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int]) -> float:
-    """0 to 1; each filter of the shorter chain against its best match, weighed by its bits."""
-    a, b = sorted((a[0], b[0]), key=len)
+def decoded(fingerprint: str) -> Digest:
+    def chain(n="0", count="0", text=""):
+        raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(int(n), BITS // 8)
+        return np.unpackbits(raw, axis=1), int(count)
+
+    parts = fingerprint.split(":")
+    return Digest(*chain(*parts[:3]), parts[3:4] == ["s"], *chain(*parts[4:]))
+
+
+def likeness(a: Digest, b: Digest) -> float:
+    """0 to 1; each filter of the shorter chain against its best match, weighed by its bits.
+
+    Chains of one kind are compared: the texts' own, or those of the kind that both have.
+    """
+    one, two = a.bits, b.bits
+    if a.short != b.short:
+        low, high = (a, b) if a.short else (b, a)
+        one, two = (low.bits, high.also) if len(high.also) else (low.also, high.bits)
+    a, b = sorted((one, two), key=len)
     if not len(a):
         return float(not len(b))
     if a.shape == b.shape and np.array_equal(a, b):

@@ -96,3 +96,23 @@ def test_whole_table(spark, sf_dir):
     near = sorted(r["near_edited"] for r in got)
     other = sorted(r["near_next"] for r in got)
     assert near[len(near) // 20] > other[len(other) * 95 // 100]
+
+
+def test_likeness_across_the_border_of_short_texts():
+    """Texts below and from SHORT bytes on are compared by features of one kind."""
+    texts = some(40, 11, 6000)
+    rank = fp.rarity(fp.class_counts(texts))
+    near = lambda a, b: fp.likeness(*(fp.decoded(fp.encoded(d)) for d in fp.digests([a, b], rank)))
+    kept, other = [], []
+    for t, u in zip(texts, texts[1:]):
+        assert near(t[:250], t[:260]) > 0.9 and near(t[:255], t[:256]) > 0.9 and near(t[10:260], t[:260]) > 0.8
+        assert near(t[:384], t[:240]) > 0.9  # cut by the edit's third and more
+        assert near(t[:255], t[:1023]) > 0.5
+        assert near(t[:250], t[:260]) == near(t[:260], t[:250])
+        kept.append(near(t[:300], t[:200] + u[:55]))  # an edit below the border
+        other.append(near(t[:250], u[:260]))
+    assert min(kept) > 0.5 > 0.3 > max(other)
+    # texts without short features: the short one's selected windows are compared
+    mean = [np.mean([near(t[:250], x[:n]) for t, x in zip(texts, like)]) for n in (1024, 5000) for like in (texts, texts[1:])]
+    assert min(mean[0], mean[2]) > 0.4 > 0.1 > max(mean[1], mean[3])
+    assert near(b"", texts[0][:300]) == 0.0 == near(b"", texts[0]) and near(texts[0][:60], texts[0]) == 0.0
