@@ -1,6 +1,7 @@
 """The corpus pipeline against plain Python over each stage's own input."""
 
 import importlib.util
+import os
 from collections import Counter
 
 import pytest
@@ -57,3 +58,14 @@ def test_stages_keep_extra_columns_and_empty_tables(spark, odd_docs, no_docs, sf
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, no_docs, sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, no_docs, sf_dir).count() == 0
+
+
+def test_labelled_toxic_documents_go(spark, sf_dir):
+    """At sf0.01, where there are enough labels to learn from: a stage that rejects nothing fails."""
+    larger = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    clean = corpus_pipeline.without_toxic(spark, docs, larger).select("doc_id")
+    labelled = spark.read.parquet(f"{larger}/labels.parquet").join(docs, "doc_id", "left_semi")
+    gone = {r["toxic"]: r["n"] for r in labelled.join(clean, "doc_id", "left_anti").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    of = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert gone.get(1, 0) >= 0.6 * of[1] and gone.get(0, 0) <= 0.02 * of[0]
