@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.llm.common import mix64, staged, worker_cache
 from evalspark.llm.components import components
@@ -325,9 +326,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = staged(classes.join(nodes, "node", "left_semi").select("doc_id"), "wanted")
+    wanted = staged(classes.join(nodes, "node", "left_semi").select("doc_id", F.when(F.col("doc_id").isNull(), F.col("node")).alias("node")), "wanted")
     few = wanted.count() <= broadcast_rows  # one number a row
-    texts = _source(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    ids, no_id = wanted.where("doc_id is not null").select("doc_id"), wanted.where("doc_id is null").select("node")
+    texts = _source(docs).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(batches):
         worker_cache("jaccard", dict)
@@ -337,8 +339,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()),
                                                   pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "s"])
 
+    found = texts.mapInArrow(sets, "node long, s binary")
+    if not no_id.isEmpty():  # sets that only rows without id hold are known by their node
+        found = found.unionByName(_source(docs).where("doc_id is null").mapInArrow(sets, "node long, s binary")
+                                  .join(F.broadcast(no_id) if few else no_id, "node", "left_semi"))
     # equal doc_ids may bring copies along: keep one row a node
-    whole = staged(texts.mapInArrow(sets, "node long, s binary"), "sets").dropDuplicates(["node"])
+    whole = staged(found, "sets").dropDuplicates(["node"])
 
     def similar(batches):
         for b in batches:
@@ -360,6 +366,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_r
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
+    return _components_by_node(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _components_by_node(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, part): the last two are the row's set and the node that names its component."""
     numbered = _numbered(docs)
     rows = numbered.where("node is not null").select(F.col("id").alias("doc_id"), "node", "n")
     hot_rows = (numbered.where("node is null").groupBy("id").agg(F.sum("k").alias("k"))
@@ -406,22 +417,37 @@ def similar_components(docs: DataFrame) -> DataFrame:
     placed = rows.join(part, "node", "left").withColumn("part", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     named = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(named, "part", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node", "part"))
 
 
 def one_of_each(docs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest id.  Rows without words or id all stay.
+    """``docs`` with one row of each component: the one with its smallest id (of equal ids, the least node).  Rows without words or id all stay.
 
     Only the ids that go are matched against the documents; where there are few
-    enough of them (one number each) the documents aren't shuffled.
+    enough of them (one number each) the documents aren't shuffled.  Rows of an
+    id that occurs more than once are matched by id and set.
     """
-    found = staged(similar_components(docs).where("n_shingles > 0 and doc_id is not null"), "components")
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    few = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    repeated = staged(repeated, "repeated")
+    found = staged(_components_by_node(docs).where("doc_id is not null"), "components")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("c"), F.max(F.expr("n_shingles > 0 and doc_id <> component_id")).alias("goes"))
+    ids = staged(ids.where("goes or c > 1").select("doc_id", "c"), "gone")
+    few = ids.count() <= broadcast_rows
+    kept = docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("c > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
+
+    first = (found.where("n_shingles > 0 and doc_id = component_id").join(repeated, "doc_id", "left_semi")
+             .groupBy("part").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node")).select("doc_id", "node"))
+    at, node = docs.columns.index("text"), "_".join(["_node", *docs.columns])  # a name that no column has
+
+    def with_node(batches):
+        for b in batches:
+            own = [s for lo in range(0, len(b), 500) for s in shingle_sets(_text_bytes(b.column(at).slice(lo, 500)))]
+            nodes = pa.array([node_of(s) if len(s) else None for s in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, nodes], names=[*b.schema.names, node])
+
+    fields = [*docs.schema.fields, T.StructField(node, T.LongType())]
+    again = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).mapInArrow(with_node, T.StructType(fields))
+    stays = again.join(first.withColumnRenamed("node", node), ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
+    return (kept.unionByName(stays.select(*docs.columns))
+            .unionByName(again.where(F.col(f"`{node}`").isNull()).select(*docs.columns)))

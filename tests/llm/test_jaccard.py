@@ -138,3 +138,22 @@ def test_components_of_paths_and_stars(spark):
     assert {got[i] for i in range(71)} == {0} and {got[100 + i] for i in range(300)} == {100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert components(edges.where(F.col("a") == 500)).count() == 0
+
+
+def test_one_of_each_of_repeated_ids(spark):
+    """Of rows with equal ids each goes or stays by its own text."""
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    a, b, near_b, c = text(0, 150), text(200, 350), text(202, 351), text(400, 550)
+    rows = [(5, a), (5, b), (3, near_b), (7, a), (7, c), (7, c), (7, ""), (8, b), (9, c), (None, c), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(5, a), (3, near_b), (7, c), (7, ""), (None, c), (None, "")], key=str)
+
+
+def test_rows_without_id_link_long_texts(spark):
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, text(0, 200)), (None, text(20, 220)), (2, text(40, 240)), (3, text(500, 700))]
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, None: 1}
