@@ -162,24 +162,45 @@ def table_turns(df: DataFrame, id_col: str | None = None, mappings=MAPPINGS) ->
 def json_turns(df: DataFrame, record: str, mappings=MAPPINGS) -> DataFrame:
     """``df`` with layout (the mapping's name) and turns (array of role, text) of each JSON record; null if unknown.
 
-    Each record gets its own fingerprint, of the known paths that it holds.
+    Each record gets its own fingerprint, of the known paths that hold a value in
+    any element, or else of all that are there, null ones and those of empty
+    lists included.  Where neither is exact, the fullest mapping whose paths are
+    all among them is taken.
     """
     mappings = tuple(m for m in mappings if not m.rows)
     known = sorted({p for m in mappings for p in (*m.paths, *m.optional)})
+    none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
     v = F.try_parse_json(F.col(f"`{record}`"))
     get = lambda path: F.try_variant_get(F.col("_v"), path, "string")
-    seen = F.array_compact(F.array(*(F.when(get("$." + p.replace("[]", "[0]")).isNotNull(), F.lit(p)) for p in known)))
-    fp = F.sha2(F.array_join(seen, "\n"), 256)
+
+    def held(path: str, kind: str) -> Column:
+        """Whether the record has the path: as a string in any element, or (kind variant) at all."""
+        field, _, inner = path.partition("[].")
+        if not inner:
+            return F.try_variant_get(F.col("_v"), "$." + field, kind).isNotNull()
+        items = F.try_variant_get(F.col("_v"), "$." + field, "array<variant>")
+        some = F.exists(items, lambda t: F.try_variant_get(t, "$." + inner, kind).isNotNull())
+        if kind == "string":
+            return some
+        return some | (F.size(items) == 0) | F.is_variant_null(F.try_variant_get(F.col("_v"), "$." + field, "variant"))
+
+    exact, fullest = [], []
+    for kind in ("string", "variant"):
+        seen = F.col(f"_{kind}")
+        exact.append(F.coalesce(*(F.when(F.sha2(F.array_join(seen, "\n"), 256) == key, mappings.index(m))
+                                  for key, m in registry(mappings).items())))
+        fullest.append(F.coalesce(*(F.when(F.size(F.array_except(F.array(*map(F.lit, m.paths)), seen)) == 0, mappings.index(m))
+                                    for m in sorted(mappings, key=lambda m: -len(m.paths)))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for key, m in registry(mappings).items():
-        these = _single(m, lambda n: get("$." + n)) if m.fields else F.expr(
-            "cast(array() as array<struct<role:string,text:string>>)")
+    for i, m in enumerate(mappings):
+        these = _single(m, lambda n: get("$." + n)) if m.fields else none
         if m.turns:
-            these = F.concat(these, _variant_turns(F.col("_v"), *m.turns))
-        layout = F.when(F.col("_fp") == key, F.lit(m.name)).otherwise(layout)
-        turns = F.when(F.col("_fp") == key, these).otherwise(turns)
-    return (df.withColumn("_v", v).withColumn("_fp", fp)
-            .withColumn("layout", layout).withColumn("turns", turns).drop("_v", "_fp"))
+            these = F.concat(these, F.coalesce(_variant_turns(F.col("_v"), *m.turns), none))
+        layout = F.when(F.col("_m") == i, F.lit(m.name)).otherwise(layout)
+        turns = F.when(F.col("_m") == i, these).otherwise(turns)
+    paths = {f"_{kind}": F.array_compact(F.array(*(F.when(held(p, kind), F.lit(p)) for p in known))) for kind in ("string", "variant")}
+    return (df.withColumn("_v", v).withColumns(paths).withColumn("_m", F.coalesce(*exact, *fullest))
+            .withColumn("layout", layout).withColumn("turns", turns).drop("_v", "_m", *paths))
 
 
 def escape(text: Column) -> Column:

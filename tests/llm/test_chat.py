@@ -86,3 +86,23 @@ def test_edges(spark, turns):
     assert (r["n_turns"], r["loss_chars"]) == (3000, 75000)
     plan = chat.digest(chat.format_turns(chat.table_turns(turns)))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_json_records_with_nulls_and_paths_of_several_layouts(spark):
+    said = [{"role": "user", "content": None}, {"role": "assistant", "content": "yo"}]
+    turns = [("user", ""), ("assistant", "yo")]
+    cases = [({"messages": said}, "messages", turns),
+             ({"messages": said[:1]}, "messages", turns[:1]),
+             ({"messages": [{"role": None, "content": "x"}]}, "messages", [("", "x")]),
+             ({"messages": []}, "messages", []), ({"messages": None}, "messages", []),
+             ({"conversations": [], "system": "s"}, "conversations", [("system", "s")]),
+             ({"messages": said, "system": "s"}, "messages", turns),
+             ({"instruction": "add", "output": "3", "prompt": "p"}, "instruction", [("user", "add"), ("assistant", "3")]),
+             ({"instruction": "add", "input": None, "output": None}, "instruction", [("user", "add"), ("assistant", "")]),
+             ({"prompt": "p", "response": None, "completion": "c"}, "prompt completion", [("user", "p"), ("assistant", "c")]),
+             ({"prompt": "p", "response": "r", "completion": "c"}, "prompt response", [("user", "p"), ("assistant", "r")]),
+             ({"messages": "text"}, None, None), ({"messages": [1, None]}, None, None), ({"prompt": "p"}, None, None)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(cases)], "id long, rec string")
+    got = {r["id"]: r for r in chat.json_turns(df, "rec").collect()}
+    for i, (record, layout, want) in enumerate(cases):
+        assert (got[i]["layout"], got[i]["turns"] and [tuple(t) for t in got[i]["turns"]]) == (layout, want), record
