@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import (ann, chat, fingerprint, jaccard, packing, pii, sp_stream, token_counts, toxicity,
-                           vector_codes, warc)
+from evalspark.llm import (ann, chat, fingerprint, jaccard, packing, pii, sp_stream, spelling, token_counts,
+                           toxicity, vector_codes, warc)
 from evalspark.llm.common import table
 
 #: Folder of the public tokenizers' files.
@@ -89,9 +89,14 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling(spark, sf_dir):
+    """Every frequent word of the documents with the word that it is probably a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_sentencepiece": op6_sentencepiece,
            "op7_fingerprint": op7_fingerprint, "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc,
-           "op12_vector_codes": op12_vector_codes}
+           "op12_vector_codes": op12_vector_codes, "op13_spelling": op13_spelling}
 
 ORACLE = {
     "op4_chat": r"""

@@ -92,7 +92,10 @@ class Codebooks:
                              for row in self.moved]
 
     def _apart(self, s: int, p: int) -> np.ndarray:
-        d = self.history[self.now][p].astype(float) - self.history[s][p].astype(float)
+        d = self.history[self.now][p] - self.history[s][p]
+        if d.dtype == object:  # a bound moved by more than 10^150 is no bound in any case
+            d = np.minimum(np.abs(d), 10 ** 150)
+        d = d.astype(float)
         return np.sqrt((d * d).sum(1)) * (1 + 1e-9)  # outwards
 
     def assign(self, x: np.ndarray, p: int, b: np.ndarray, stats: dict | None = None) -> None:

@@ -55,7 +55,7 @@ def test_equal_to_plain_rounds(spark):
 
 def test_large_components_are_exact(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(0, 40)).tolist(), i % 2) for i in range(60)]
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(0, 40)).tolist(), i % 2) for i in range(60)] + [(70, [1.7e308, -1.7e308] * 4, 1)]
     fits = lambda e: e if e < 1 << 63 else None
     want = sorted((i, c, fits(e), s) for i, c, e, _, s in brute(rows))
     got = found(vector_codes.compress(spark.createDataFrame(rows, SCHEMA).repartition(3)))
