@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import (ann, chat, fingerprint, jaccard, packing, pii, sp_stream, spelling, token_counts,
+from evalspark.llm import (ann, chat, fingerprint, jaccard, lm, packing, pii, sp_stream, spelling, token_counts,
                            toxicity, vector_codes, warc)
 from evalspark.llm.common import table
 
@@ -84,6 +84,11 @@ def op10_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lm(spark, sf_dir):
+    """The log probability of every document by a model of the training documents."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark, sf_dir):
     """Every vector's code by codebooks trained on all vectors, and its error."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -96,7 +101,7 @@ def op13_spelling(spark, sf_dir):
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_ann": op3_ann, "op4_chat": op4_chat, "op5_jaccard": op5_jaccard, "op6_sentencepiece": op6_sentencepiece,
            "op7_fingerprint": op7_fingerprint, "op8_token_counts": op8_token_counts, "op9_pack": op9_pack, "op10_warc": op10_warc,
-           "op12_vector_codes": op12_vector_codes, "op13_spelling": op13_spelling}
+           "op11_lm": op11_lm, "op12_vector_codes": op12_vector_codes, "op13_spelling": op13_spelling}
 
 ORACLE = {
     "op4_chat": r"""
