@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank_to_null, is_blank, local_date, try_date
 from ..schemas import TABLES
-from ..session import cut_lineage
-from .common import counted_broadcast, latest_per_key, sized_broadcast
-
-_PID_SHIFT = 33  # monotonically_increasing_id() = partition index << 33 | row index
+from ..session import at_rest, cut_lineage
+from .common import latest_per_key, sized_broadcast
 
 
 # --------------------------------------------------------------------- W1 ids
@@ -26,28 +24,29 @@ def max_id(df: DataFrame, col: str = "id") -> int:
     return int(v) if v is not None else 0
 
 
-def assign_ids(df: DataFrame, order: list, start: int, id_col: str = "id") -> DataFrame:
-    """Dense ids ``start+1, start+2, ...`` in ``order`` (which must be unique).
+def running_totals(df: DataFrame, order: list[str], weights: list[str]) -> DataFrame:
+    """Add, per weight ``w``, ``before_<w>``: its sum over all rows that come earlier in ``order`` (unique).
 
-    No single-partition window: the rows are range-partitioned and sorted by
-    ``order`` (a distributed sort), materialised in the checkpoint folder so
-    every later pass sees the same partitions, and numbered as
-    ``start + rows in earlier partitions + position in partition``.  The
-    per-partition counts are one row per partition (a proven bound), so that
-    table is broadcast.
+    A distributed prefix sum without a single-partition window.  Only ``order`` and the
+    weights are range-partitioned (with their partition number stored beside
+    them, so that every later pass sees the same partitions); a row's total is
+    that of the partitions before its own, one row each, plus a window within its partition.
     """
-    ordered = cut_lineage(df.orderBy(*order))
-    mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("__mid", mid)
-    pid = F.shiftright("__mid", _PID_SHIFT)
-    pos = F.col("__mid").bitwiseAND((1 << _PID_SHIFT) - 1)
-    counts = tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__pid", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    out = tagged.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid")
-    return out.select(*[F.col(c) for c in df.columns],
-                      (F.lit(start) + F.col("__off") + pos + 1).cast("long").alias(id_col))
+    keys = at_rest(df.select(*order, *weights), "totals")
+    placed = at_rest(keys.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()), "placed")
+    per_pid = placed.groupBy("__pid").agg(*[F.sum(w).alias(w) for w in weights])
+    earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_pid.select("__pid", *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"__{w}") for w in weights])
+    within = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(F.broadcast(offsets), "__pid").select(
+        *order, *[(F.col(f"__{w}") + F.coalesce(F.sum(w).over(within), F.lit(0))).cast("long").alias(f"before_{w}") for w in weights])
+
+
+def assign_ids(df: DataFrame, order: list[str], start: int, id_col: str = "id") -> DataFrame:
+    """Dense ids ``start+1, start+2, ...`` in ``order`` (which must be unique and hold no NULL)."""
+    rows = at_rest(df, "rows")
+    totals = running_totals(rows.select(*order, F.lit(1).alias("one")), order, ["one"])
+    return rows.join(totals, order).select(*[F.col(c) for c in df.columns], (F.lit(start) + F.col("before_one") + 1).cast("long").alias(id_col))
 
 
 # ------------------------------------------------------------ K4-style checks
@@ -67,6 +66,11 @@ def fits(value: Column, precision: int, scale: int) -> Column:
     return F.coalesce(value.cast("double").try_cast(f"decimal({precision},{scale})").isNotNull(), F.lit(False)) | value.isNull()
 
 
+def fits_int(value: Column) -> Column:
+    """Whether a 64-bit number (or NULL) fits an INT column."""
+    return F.coalesce(value.between(-(1 << 31), (1 << 31) - 1), F.lit(True))
+
+
 def kpi_item_valid(code: Column, title: Column, weight: Column, note: Column, measure: Column,
                    criteria: Column, unit: Column, *scores: Column) -> Column:
     """A KPI row the table accepts: CHECK weight 0..100, text lengths and ``scores`` in range."""
@@ -80,20 +84,21 @@ def kpi_item_valid(code: Column, title: Column, weight: Column, note: Column, me
 
 # ----------------------------------------------------------------- M1 append
 def append_children(base: DataFrame, rows: DataFrame, parent_key: str, order: list,
-                    as_of_ts: str, stamp_col: str = "updated_at") -> DataFrame:
+                    as_of_ts: str, stamp_col: str = "updated_at", parents: DataFrame | None = None) -> DataFrame:
     """M1: append ``rows`` with new dense ids and stamp every row of a touched parent.
 
     ``rows`` carry the table's columns except ``id``; ids continue after the
     current maximum in ``order``.  ``updated_at`` of *all* rows of a parent
     that received rows is set to ``as_of_ts`` (the reference stamps the whole
-    child set).
+    child set).  Rows that have their ids already (numbered per request, see
+    :func:`running_totals`) are taken as they are, with the ``parents`` that they touch.
     """
-    new = assign_ids(rows, order, max_id(base))
+    new = rows if "id" in rows.columns else assign_ids(rows, order, max_id(base))
+    parents = new if parents is None else parents
     cols = [c for c in base.columns]
     new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(base.schema[c].dataType).alias(c)
                        for c in cols])
-    # from the id-assigned rows (checkpointed), not from ``rows``: no second run of their lineage
-    touched = counted_broadcast(new.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
+    touched = sized_broadcast(parents.select(F.col(parent_key).alias("__p")).distinct().withColumn("__t", F.lit(True)))
     allrows = base.unionByName(new)
     j = allrows.join(touched, allrows[parent_key] == touched["__p"], "left")
     return j.select(*[F.when(F.col("__t"), F.lit(as_of_ts).cast(base.schema[stamp_col].dataType))
@@ -107,7 +112,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
     ``parents`` and ``rows`` are separate inputs so a parent whose new list is
     empty still loses its old rows.
     """
-    keep = base.join(counted_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
+    keep = base.join(sized_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
     return keep.unionByName(rows.select(*base.columns))
 
 

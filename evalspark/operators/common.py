@@ -49,8 +49,9 @@ def _estimated_bytes(df: DataFrame) -> int | None:
 def sized_broadcast(df: DataFrame) -> DataFrame:
     """``broadcast(df)`` if Catalyst's estimate is within the byte bound, else ``df`` unchanged; runs no job.
 
-    Estimates of scans, filters, projections and joins are upper bounds.  An
-    explode is not in the estimate, so a plan with one is left to AQE.
+    A scan's estimate is its files' size; in memory compressed columns are
+    several times that, which the bound leaves room for.  Filters and projections
+    only shrink it.  An explode is not in the estimate, so a plan with one is left to AQE.
     """
     est = _estimated_bytes(df)
     if est is None or est > _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES):
@@ -59,9 +60,9 @@ def sized_broadcast(df: DataFrame) -> DataFrame:
 
 
 def counted_broadcast(df: DataFrame) -> DataFrame:
-    """``broadcast(df)`` if its counted rows are within the bounds; for sets that are already at rest.
+    """``broadcast(df)`` if its counted rows are within the bounds; for checkpointed sets.
 
-    After a checkpoint Catalyst keeps the estimate of the plan before it, which
+    Sets that :func:`evalspark.session.at_rest` wrote need no count, Catalyst knows their size.  After a checkpoint Catalyst keeps the estimate of the plan before it, which
     multiplies through joins; counting the rows at rest costs one small job.
     """
     width = max(row_width(df.schema), 1)

@@ -13,30 +13,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank_to_null, is_blank, try_date
+from ..session import at_rest
 from ..sources import documents as docs
 from ..sources.tables import conform
 from . import changes
-from .common import latest_per_key
+from .common import latest_per_key, sized_broadcast
 
 
-def _kpi_requests(log: DataFrame):
-    """Shred KPI bulk requests: (non-empty requests with due, items, bad request seqs)."""
-    items, _rejects = docs.shred_items(log, docs.KPI_BULK_DOC, ["seq"])
-    rows = docs.kpi_rows(items, ["seq"])
-    heads = docs.parse(log.select("seq", "form_id", "user_id", "doc"), docs.KPI_BULK_DOC)
-    nonempty = heads.where(F.coalesce(F.size("d.items"), F.lit(0)) > 0).select(
-        "seq", "form_id", "user_id", F.coalesce(F.col("d.due_date"), F.lit("")).alias("due_date"))
-    bad = rows.where(~changes.kpi_item_valid(F.col("code"), F.col("title"), F.col("weight"), F.col("note"),
-                                             F.col("measure"), F.col("criteria"), F.col("unit"), F.col("max_score"),
-                                             F.col("expected_score"), F.col("score"))).select("seq").distinct()
-    return nonempty, rows, bad
+def _kpi_requests(log: DataFrame) -> DataFrame:
+    """KPI bulk requests with a list (seq, form_id, user_id, due_date, items, n, ok), at rest: parsed once."""
+    p = docs.parse(log.select("seq", "form_id", "user_id", "doc"), docs.KPI_BULK_DOC)
+    items = F.coalesce("d.items", F.array())
+    ok = F.forall(items, lambda i: changes.fits_int(i["idx"]) & changes.kpi_item_valid(
+        i["code"], i["title"], F.coalesce(i["weight"], F.lit(0)), i["note"], i["measure"], i["criteria"], i["unit"],
+        i["max_score"], i["expected_score"], i["score"]) | i.isNull())
+    return p.select("seq", "form_id", "user_id", F.coalesce("d.due_date", F.lit("")).alias("due_date"), F.col("d.items").alias("items"),
+                    F.size(items).alias("n"), F.coalesce(ok, F.lit(False)).alias("ok")).where(F.col("n") > 0)
 
 
-def _kpi_table_rows(rows: DataFrame, code_blank_to_null: bool) -> DataFrame:
+def _numbered(requests: DataFrame, placed: DataFrame, start: int) -> DataFrame:
+    """``placed`` (seq, assignment_id, n) with ``first_id``, joined to the items of their requests.
+
+    Ids are dense in request order: the items of all earlier requests, then the
+    position.  Only requests are ordered; item rows are never sorted.
+    """
+    totals = changes.running_totals(placed, ["seq"], ["n"])
+    keys = at_rest(placed.select("seq", "assignment_id").join(totals, "seq").select(
+        "seq", "assignment_id", (F.lit(start) + F.col("before_n") + 1).alias("first_id")), "numbered")
+    return requests.select("seq", "items").join(sized_broadcast(keys), "seq")
+
+
+def _kpi_table_rows(numbered: DataFrame, code_blank_to_null: bool) -> DataFrame:
+    rows = docs.kpi_rows(docs.explode_items(numbered, "items", ["assignment_id", "first_id"]), ["assignment_id", "first_id"])
     code = blank_to_null("code") if code_blank_to_null else F.col("code")
     return rows.select(
-        "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), code.alias("code"), "title",
-        F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
+        (F.col("first_id") + F.col("pos")).alias("id"), "assignment_id", F.col("idx").try_cast("int").alias("idx"), code.alias("code"), "title",
+        F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").try_cast("int").alias("weight"),
         F.col("expected_score").try_cast("decimal(6,2)").alias("expected_score"),
         F.col("score").try_cast("decimal(6,2)").alias("score"),
         *[blank_to_null(c).alias(c) for c in ("note", "measure", "criteria", "unit")])
@@ -50,16 +62,18 @@ def append_kpi_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts:
     with any invalid item appends nothing (the insert transaction rolls back)
     but its assignment stays.  ``code`` '' is kept on append.
     """
-    nonempty, rows, bad = _kpi_requests(log)
-    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts,
+    req = _kpi_requests(log)
+    a1 = changes.ensure_assignments(tables["eval_assignment"], req.drop("items"), as_of_ts,
                                     tables.get("eval_form"), tables.get("users"))
-    ok = rows.join(bad, "seq", "left_anti").join(nonempty.select("seq", "form_id", "user_id"), "seq")
-    ok = ok.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
+    placed = req.where("ok").select("seq", "form_id", "user_id", "n").join(
+        a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
     base = conform(tables["eval_kpi_user"], "eval_kpi_user")
-    new = _kpi_table_rows(ok, code_blank_to_null=False)
+    numbered = _numbered(req, at_rest(placed.select("seq", "assignment_id", "n"), "placed"), changes.max_id(base))
+    new = _kpi_table_rows(numbered, code_blank_to_null=False)
     out = dict(tables)
     out["eval_assignment"] = a1
-    out["eval_kpi_user"] = changes.append_children(base, new, "assignment_id", ["seq", "pos"], as_of_ts)
+    out["eval_kpi_user"] = changes.append_children(base, new, "assignment_id", ["id"], as_of_ts,
+                                                   parents=numbered.select("assignment_id"))
     return out
 
 
@@ -70,16 +84,15 @@ def replace_kpi_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts:
     final list; ``code`` '' becomes NULL on replace.  New ids are dense over
     the surviving rows in (seq, position) order.
     """
-    nonempty, rows, bad = _kpi_requests(log)
-    a1 = changes.ensure_assignments(tables["eval_assignment"], nonempty, as_of_ts,
+    req = _kpi_requests(log)
+    a1 = changes.ensure_assignments(tables["eval_assignment"], req.drop("items"), as_of_ts,
                                     tables.get("eval_form"), tables.get("users"))
-    good = nonempty.join(bad, "seq", "left_anti").join(
+    good = req.where("ok").select("seq", "form_id", "user_id", "n").join(
         a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"), ["form_id", "user_id"])
-    last = good.groupBy("assignment_id").agg(F.max("seq").alias("seq"))
-    keep = rows.join(last, "seq")
+    last = at_rest(good.groupBy("assignment_id").agg(F.max(F.struct("seq", "n")).alias("m")).select(
+        F.col("m.seq").alias("seq"), "assignment_id", F.col("m.n").alias("n")), "last")
     base = conform(tables["eval_kpi_user"], "eval_kpi_user")
-    new = changes.assign_ids(_kpi_table_rows(keep, code_blank_to_null=True), ["seq", "pos"],
-                             changes.max_id(base))
+    new = _kpi_table_rows(_numbered(req, last, changes.max_id(base)), code_blank_to_null=True)
     new = new.withColumn("updated_at", F.lit(as_of_ts).cast("timestamp"))
     shaped = new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                           for f in base.schema.fields])
@@ -92,8 +105,8 @@ def replace_kpi_requests(tables: dict[str, DataFrame], log: DataFrame, as_of_ts:
 def attendance_requests(tables: dict[str, DataFrame], log: DataFrame) -> dict[str, DataFrame]:
     """M3 + M2 (attendance Upsert): requests (seq, user_id, doc).
 
-    A request fails for an unknown user (FK), a repeated item name (PK) or
-    over-long text; then neither summary nor items change.  The last valid
+    A request fails for an unknown user (FK), a repeated item name (PK),
+    over-long text or a number over its column; then neither summary nor items change.  The last valid
     request per user upserts the summary and replaces the whole item list
     (an empty list removes the old items).
     """
@@ -102,10 +115,11 @@ def attendance_requests(tables: dict[str, DataFrame], log: DataFrame) -> dict[st
     dup = items.groupBy("seq", "name").count().where(F.col("count") > 1).select("seq")
     too_long = items.where(~changes.within_lengths("user_time_attendance_items",
                                                    {"name": F.col("name"), "value": F.col("value")})).select("seq")
-    bad = dup.union(too_long).distinct()
+    numbers = ("score_max", "score_obtained", "penalty_total")
+    too_large = summary.where(~(changes.fits_int(F.col(numbers[0])) & changes.fits_int(F.col(numbers[1])) & changes.fits_int(F.col(numbers[2])))).select("seq")
+    bad = dup.union(too_long).union(too_large).distinct()
     good = summary.join(users, "user_id", "left_semi").join(bad, "seq", "left_anti")
-    last = latest_per_key(good.select("seq", "user_id", "score_max", "score_obtained", "penalty_total"),
-                          ["user_id"])
+    last = latest_per_key(good.select("seq", "user_id", *[F.col(c).try_cast("int").alias(c) for c in numbers]), ["user_id"])
     out = dict(tables)
     out["user_time_attendance"] = changes.upsert(tables["user_time_attendance"], last, ["user_id"])
     new_items = items.join(last.select("seq"), "seq", "left_semi").select("user_id", "name", "value")
@@ -120,21 +134,27 @@ def append_competency_requests(tables: dict[str, DataFrame], log: DataFrame, as_
     Empty lists are refused; a request with an over-long title or a number out
     of range appends nothing.  All competencies of a touched form get ``updated_at``.
     """
-    items, _ = docs.shred_items(log, docs.COMP_BULK_DOC, ["seq", "form_id"])
-    it = F.col("it")
     numbers = {"max_score": (10, 2), "weight": (18, 4), "full_total": (18, 2), "expected_score": (10, 2)}
-    rows = items.select(
-        "seq", "pos", "form_id", F.coalesce(it.idx, F.lit(0)).cast("int").alias("idx"),
-        F.coalesce(it.title, F.lit("")).alias("title"),
-        *[F.coalesce(it[c], F.lit(0.0)).alias(c) for c in numbers])
-    in_range = F.lit(True)
-    for c, (p, s) in numbers.items():
-        in_range = in_range & changes.fits(F.col(c), p, s)
-    bad = rows.where(~changes.within_lengths("eval_competency", {"title": F.col("title")}) | ~in_range).select("seq")
-    rows = rows.join(bad, "seq", "left_anti").select(
-        "seq", "pos", "form_id", "idx", "title", *[F.col(c).try_cast(f"decimal({p},{s})").alias(c) for c, (p, s) in numbers.items()])
+    p = docs.parse(log.select("seq", "form_id", "doc"), docs.COMP_BULK_DOC)
+    items = F.coalesce("d.items", F.array())
+
+    def good(i):
+        ok = changes.fits_int(i["idx"]) & changes.within_lengths("eval_competency", {"title": i["title"]})
+        for c, (precision, scale) in numbers.items():
+            ok = ok & changes.fits(i[c], precision, scale)
+        return ok
+
+    req = p.where((F.size(items) > 0) & F.forall(items, good)).select(
+        "seq", F.col("form_id").alias("assignment_id"), F.col("d.items").alias("items"), F.size(items).alias("n"))
     base = conform(tables["eval_competency"], "eval_competency")
-    return changes.append_children(base, rows, "form_id", ["seq", "pos"], as_of_ts)
+    numbered = _numbered(req, req.select("seq", "assignment_id", "n"), changes.max_id(base))
+    it = F.col("it")
+    rows = docs.explode_items(numbered, "items", ["assignment_id", "first_id"]).select(
+        (F.col("first_id") + F.col("pos")).alias("id"), F.col("assignment_id").alias("form_id"),
+        F.coalesce(it.idx, F.lit(0)).try_cast("int").alias("idx"), F.coalesce(it.title, F.lit("")).alias("title"),
+        *[F.coalesce(it[c], F.lit(0.0)).try_cast(f"decimal({precision},{scale})").alias(c) for c, (precision, scale) in numbers.items()])
+    return changes.append_children(base, rows, "form_id", ["id"], as_of_ts,
+                                   parents=numbered.select(F.col("assignment_id").alias("form_id")))
 
 
 def prepare_forms(forms: DataFrame, requests: DataFrame) -> DataFrame:
@@ -182,7 +202,7 @@ def user_requests_parsed(log: DataFrame) -> DataFrame:
     """User create / patch bodies -> one column per field (NULL = absent)."""
     p = docs.parse(log, docs.USER_DOC)
     return p.select(*[c for c in log.columns if c != "doc"],
-                    *[F.col(f"d.{f}").alias(f) for f in docs.USER_FIELDS], F.col("d.company_ids").alias("company_ids"))
+                    *[F.col(f"d.{f}").alias(f) for f in docs.USER_FIELDS], F.transform("d.company_ids", lambda c: F.coalesce(c, F.lit(""))).alias("company_ids"))
 
 
 def create_user_requests(tables: dict[str, DataFrame], log: DataFrame) -> tuple[DataFrame, DataFrame]:

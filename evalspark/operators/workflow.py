@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import blank_to_null, is_blank, normalize_status, today_utc, try_date
-from ..session import cut_lineage
+from ..session import at_rest, cut_lineage
 from ..sources import documents as docs
 from . import changes
 from .common import sized_broadcast
@@ -43,19 +43,19 @@ def build_steps(requests: DataFrame, assignments: DataFrame, users: DataFrame, s
     p = docs.parse(requests.select("seq", "form_id", "user_id", "doc"), docs.STEP_CHAIN_DOC)
     p = p.where(F.coalesce(F.size("d.evaluators"), F.lit(0)) > 0)
     chain = p.select("seq", "form_id", "user_id",
-                     F.posexplode(F.concat(F.array(F.col("user_id").cast("long")), F.col("d.evaluators")))
+                     F.posexplode(F.concat(F.array(F.col("user_id").cast("long")), F.transform("d.evaluators", lambda e: F.coalesce(e, F.lit(0)))))
                      .alias("pos", "evaluator_id"))
     u = users.select(F.col("id").alias("evaluator_id"), F.col("name").alias("evaluator_name"))
     known = chain.join(sized_broadcast(u), "evaluator_id", "left")
-    bad = known.where(F.col("evaluator_name").isNull() & F.col("evaluator_id").isNotNull()).select("seq")
-    bad = bad.union(known.where(F.col("evaluator_id").isNull()).select("seq")).distinct()
-    ok = known.join(bad, "seq", "left_anti")
+    bad = known.where(F.col("evaluator_name").isNull()).select("seq").distinct()
     a = assignments.select(F.col("id").alias("assignment_id"), "form_id", "user_id")
-    rows = ok.join(a, ["form_id", "user_id"]).select(
-        "seq", "pos", "assignment_id", (F.col("pos") + 1).cast("int").alias("idx"), "evaluator_id",
-        F.when(F.col("pos") == 0, 1).otherwise(0).cast("int").alias("status"), "evaluator_name")
-    return changes.assign_ids(rows, ["seq", "pos"], changes.max_id(steps)).select(
-        "id", "assignment_id", "idx", "evaluator_id", "evaluator_name", "status")
+    good = at_rest(p.select("seq", "form_id", "user_id", (F.size("d.evaluators") + 1).alias("n")).join(bad, "seq", "left_anti")
+                   .join(a, ["form_id", "user_id"]).select("seq", "assignment_id", "n"), "chains")
+    first = good.join(changes.running_totals(good, ["seq"], ["n"]), "seq").select(
+        "seq", "assignment_id", (F.lit(changes.max_id(steps)) + F.col("before_n") + 1).alias("first_id"))
+    return known.join(first, "seq").select(
+        (F.col("first_id") + F.col("pos")).alias("id"), "assignment_id", (F.col("pos") + 1).cast("int").alias("idx"), "evaluator_id",
+        "evaluator_name", F.when(F.col("pos") == 0, 1).otherwise(0).cast("int").alias("status"))
 
 
 # -------------------------------------------------------- W3 submit advance
@@ -211,47 +211,52 @@ def replay_all_step_changes(steps: DataFrame, change_log: DataFrame, users: Data
 
 
 # ------------------------------------------------------------ W5 save lock
+def bind_saves(log: DataFrame) -> DataFrame:
+    """The save log with its bodies bound (``d``, ``reject``), at rest: every body is parsed once."""
+    p = docs.parse_or_reject(log.select("seq", "ts", "user_id", "form_id", "due_date", "doc"), docs.SAVE_DOC)
+    # the document's own due date decides; a log may carry one beside documents that have none
+    return p.withColumn("due_date", F.coalesce("d.due_date", "due_date"))
+
+
 def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
                 forms: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
     """Per save request: parsed head, ``valid`` (constraint checks) and ``creatable``.
 
-    Invalid = a refused body (see ``parse_or_reject``) or a row the tables would
-    refuse: duplicate or unknown comp_id, KPI weight outside 0..100, a score out
+    Invalid = a refused body (see :mod:`evalspark.sources.binding`) or a row the tables would
+    refuse: duplicate or unknown comp_id, KPI weight outside 0..100, a number out
     of its column's range, a non-blank development-plan date that does not
     parse, or text over its length.  ``creatable`` is false when a new
     assignment cannot be made: the due date does not parse, or (with
     ``forms`` / ``users``) the form or user does not exist.
 
-    The document is parsed once (and the flagged rows materialised); the
-    per-list rules are higher-order functions over the parsed arrays
+    ``log`` is a save log or one that is bound already (:func:`bind_saves`).  The
+    per-list rules are higher-order functions over the bound arrays
     (``exists``), so only the comp_id existence check needs an explode and a
-    join.
+    join; the flagged rows are put at rest for the aggregates and joins below.
     """
-    p = docs.parse_or_reject(log.select("seq", "ts", "user_id", "form_id", "due_date", "doc"), docs.SAVE_DOC).drop("doc")
-    # the document's own due date decides; a log may carry one beside documents that have none
-    p = p.withColumn("due_date", F.coalesce("d.due_date", "due_date"))
+    p = log if "d" in log.columns else bind_saves(log)
     z = lambda c, d: F.coalesce(c, F.lit(d))  # noqa: E731  Go zero value of an absent field
     kpis = F.coalesce(F.col("d.kpis"), F.array())
-    bad_kpi = F.exists(kpis, lambda k: ~changes.kpi_item_valid(
+    bad_kpi = F.exists(kpis, lambda k: ~changes.fits_int(k["idx"]) | ~changes.kpi_item_valid(
         z(k["code"], ""), z(k["title"], ""), z(k["weight"], 0), z(k["note"], ""), z(k["measure"], ""),
         z(k["criteria"], ""), z(k["unit"], ""), k["max_score"], k["expected_score"], k["score"]))
     cs = F.coalesce(F.col("d.competency_scores"), F.array())
-    comp_ids = F.transform(cs, lambda c: c["comp_id"])
+    comp_ids = F.transform(cs, lambda c: z(c["comp_id"], 0))
     dup_comp = F.size(F.array_distinct(comp_ids)) < F.size(comp_ids)
     long_note = F.exists(cs, lambda c: ~changes.within_lengths("eval_competency_score", {"note": z(c["note"], "")})
                          | ~changes.fits(c["score"], 6, 2))
     bad_ta = ~changes.fits(F.col("d.time_attendance.full_score"), 6, 2) | ~changes.fits(F.col("d.time_attendance.score"), 6, 2)
     dp = F.coalesce(F.col("d.development_plan"), F.array())
     bad_dp = F.exists(dp, lambda x: (~is_blank(z(x["timing"], "")) & try_date(z(x["timing"], "")).isNull())
+                      | ~changes.fits_int(x["idx"])
                       | ~changes.within_lengths("eval_dev_plan", {"content": z(x["content"], ""),
                                                                   "priority": z(x["priority"], ""),
                                                                   "remarks": z(x["remarks"], "")}))
     bad_ad = ~changes.within_lengths("eval_additional", {q: z(F.col(f"d.additional.{q}"), "") for q in docs.QUESTIONS})
     local_bad = bad_kpi | dup_comp | long_note | bad_ta | bad_dp | bad_ad
-    # parse once: the flagged events feed three aggregates and joins below
-    ev = cut_lineage(p.select("seq", "ts", "user_id", "form_id", "due_date",
-                              z(F.col("d.status"), 0).alias("req_status"),
-                              local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids"), "reject"))
+    ev = at_rest(p.select("seq", "ts", "user_id", "form_id", "due_date",
+                          z(F.col("d.status"), 0).alias("req_status"),
+                          local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids"), "reject"), "events")
     known = sized_broadcast(comps.select(F.col("id").alias("comp_id")))
     unknown = (ev.select("seq", F.explode("__comp_ids").alias("comp_id"))
                .join(known, "comp_id", "left_anti").select("seq").distinct()
@@ -296,9 +301,10 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     tables passed are only the part of the state the log touches.
     """
     floor = id_floor or {}
-    # the resolved events feed several id assignments: materialise them once
-    ev = cut_lineage(resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
-                                                  tables.get("eval_form"), tables.get("users"))))
+    bound = bind_saves(log)
+    # the resolved events feed several joins and aggregates: put them at rest once
+    ev = at_rest(resolve_save_log(save_events(bound, tables["eval_assignment"], tables["eval_competency"],
+                                              tables.get("eval_form"), tables.get("users"))), "resolved")
     # creatable requests already passed the form/user existence check in save_events
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
     a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
@@ -306,51 +312,47 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     acc = ev.where(F.col("accepted"))
     last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
-    last = cut_lineage(last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
-                                 ["form_id", "user_id"]))
+    last = at_rest(last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
+                             ["form_id", "user_id"]), "last")
     a2 = a1.join(last.select("form_id", "user_id", F.col("status").alias("__s")), ["form_id", "user_id"], "left") \
         .select("id", "form_id", "user_id", F.coalesce("__s", "status").cast("int").alias("status"), "due_date")
-    sh = docs.shred_save_documents(
-        cut_lineage(log.select("seq", "doc").join(last.select("seq"), "seq", "left_semi")), ["seq"])
-    by_seq = last.select("seq", "assignment_id")
+    kept = bound.select("seq", "d").join(last.select("seq", "assignment_id"), "seq")
+    # ids per list: the items of all earlier saves, then the position; item rows are never sorted
+    lists = {"eval_kpi_user": "kpis", "eval_competency_score": "competency_scores", "eval_dev_plan": "development_plan"}
+    sizes = [F.size(F.coalesce(F.col(f"d.{c}"), F.array())).alias(c) for c in lists.values()]
+    totals = changes.running_totals(kept.select("seq", *sizes), ["seq"], list(lists.values()))
+    starts = {t: max(changes.max_id(tables[t]), floor.get(t, 0)) for t in lists}
+    numbers = totals.select("seq", *[(F.lit(starts[t]) + F.col(f"before_{c}") + 1).alias(f"first_{c}") for t, c in lists.items()])
+    firsts = [f"first_{c}" for c in lists.values()]
+    kept = at_rest(kept.join(numbers, "seq"), "kept")
+    sh = docs.shred_bound_saves(kept, ["seq", "assignment_id", *firsts])
     parents = last.select("assignment_id")
     out = dict(tables)
     out["eval_assignment"] = a2
 
-    kp = sh["kpis"].join(by_seq, "seq")
-    new_k = kp.select(
-        "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), blank_to_null("code").alias("code"),
-        "title", F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").cast("int").alias("weight"),
-        F.col("expected_score").try_cast("decimal(6,2)").alias("expected_score"),
-        F.col("score").try_cast("decimal(6,2)").alias("score"), blank_to_null("note").alias("note"),
-        blank_to_null("measure").alias("measure"), blank_to_null("criteria").alias("criteria"),
-        blank_to_null("unit").alias("unit"))
-    base_k = tables["eval_kpi_user"]
-    new_k = changes.assign_ids(new_k, ["seq", "pos"], max(changes.max_id(base_k), floor.get("eval_kpi_user", 0)))
-    out["eval_kpi_user"] = changes.replace_children(
-        base_k, parents, _shape(new_k, base_k), "assignment_id")
-
-    csr = sh["competency_scores"].join(by_seq, "seq").select(
-        "seq", "pos", "assignment_id", "comp_id", F.col("score").try_cast("decimal(6,2)").alias("score"),
-        blank_to_null("note").alias("note"))
-    base_cs = tables["eval_competency_score"]
-    csr = changes.assign_ids(csr, ["seq", "pos"],
-                             max(changes.max_id(base_cs), floor.get("eval_competency_score", 0)))
-    out["eval_competency_score"] = changes.replace_children(base_cs, parents, _shape(csr, base_cs), "assignment_id")
-
-    dpr = sh["development_plan"].join(by_seq, "seq").select(
-        "seq", "pos", "assignment_id", F.col("idx").cast("int").alias("idx"), "content", "priority",
-        try_date("timing").alias("timing"), blank_to_null("remarks").alias("remarks"))
-    base_dp = tables["eval_dev_plan"]
-    dpr = changes.assign_ids(dpr, ["seq", "pos"], max(changes.max_id(base_dp), floor.get("eval_dev_plan", 0)))
-    out["eval_dev_plan"] = changes.replace_children(base_dp, parents, _shape(dpr, base_dp), "assignment_id")
-
-    ta = sh["time_attendance"].join(by_seq, "seq").select(
+    def replaced(table: str, rows: DataFrame, *cols) -> DataFrame:
+        base, first = tables[table], F.col(f"first_{lists[table]}")
+        new = rows.select((first + F.col("pos")).alias("id"), "assignment_id", *cols)
+        return changes.replace_children(base, parents, _shape(new, base), "assignment_id")
+
+    idx = F.col("idx").try_cast("int").alias("idx")
+    score = F.col("score").try_cast("decimal(6,2)").alias("score")
+    out["eval_kpi_user"] = replaced(
+        "eval_kpi_user", sh["kpis"], idx, blank_to_null("code").alias("code"), "title",
+        F.col("max_score").try_cast("decimal(6,2)").alias("max_score"), F.col("weight").try_cast("int").alias("weight"),
+        F.col("expected_score").try_cast("decimal(6,2)").alias("expected_score"), score,
+        *[blank_to_null(c).alias(c) for c in ("note", "measure", "criteria", "unit")])
+    out["eval_competency_score"] = replaced("eval_competency_score", sh["competency_scores"], "comp_id", score,
+                                            blank_to_null("note").alias("note"))
+    out["eval_dev_plan"] = replaced("eval_dev_plan", sh["development_plan"], idx, "content", "priority",
+                                    try_date("timing").alias("timing"), blank_to_null("remarks").alias("remarks"))
+
+    ta = sh["time_attendance"].select(
         "seq", "assignment_id", F.col("full_score").try_cast("decimal(6,2)").alias("full_score"),
         F.col("score").try_cast("decimal(6,2)").alias("score"))
     base_ta = tables["eval_ta_score"]
     out["eval_ta_score"] = changes.upsert(base_ta, _shape(ta, base_ta, keep=["seq"]), ["assignment_id"])
-    ad = sh["additional"].join(by_seq, "seq").select("seq", "assignment_id", *docs.QUESTIONS)
+    ad = sh["additional"].select("seq", "assignment_id", *docs.QUESTIONS)
     base_ad = tables["eval_additional"]
     out["eval_additional"] = changes.upsert(base_ad, _shape(ad, base_ad, keep=["seq"]), ["assignment_id"])
 
@@ -376,10 +378,11 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
     its own document (plus form weights and bands): the scoring functions run
     keyed by ``seq`` instead of assignment, with no sequential state.
     """
-    ev = resolve_save_log(save_events(log, tables["eval_assignment"], tables["eval_competency"],
-                                      tables.get("eval_form"), tables.get("users")))
+    bound = bind_saves(log)
+    ev = at_rest(resolve_save_log(save_events(bound, tables["eval_assignment"], tables["eval_competency"],
+                                              tables.get("eval_form"), tables.get("users"))), "resolved")
     acc = ev.where(F.col("accepted")).select("seq", "form_id", "user_id", "req_status")
-    sh = docs.shred_save_documents(log.join(acc.select("seq"), "seq", "left_semi"), ["seq"])
+    sh = docs.shred_bound_saves(bound.join(acc.select("seq"), "seq", "left_semi"), ["seq"])
     k = kpi_percent(sh["kpis"].withColumnRenamed("seq", "assignment_id"))
     c = competency_percent(sh["competency_scores"].withColumnRenamed("seq", "assignment_id"),
                            tables["eval_competency"])

