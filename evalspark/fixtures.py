@@ -170,9 +170,36 @@ select s_suppkey as seq, concat('{"name":"New ', s_name, '","email":"',
   '"company_ids":["', cast(s_nationkey as varchar(10)), '","', cast(s_nationkey as varchar(10)), '","77"]', case when s_suppkey % 17 = 3 then '' else '}' end) as doc
 from supplier""", ()),
     "save_bodies": ("""
-select seq, case seq % 6 when 1 then '{broken' when 2 then replace(doc, '"weight":40', '"weight":"abc"')
-  when 3 then replace(doc, '"title":"K1"', '"title":5') when 4 then null when 5 then '[1]' else doc end as doc
+select seq, case seq % 20 when 1 then '{broken' when 2 then replace(doc, '"weight":40', '"weight":"abc"')
+  when 3 then replace(doc, '"title":"K1"', '"title":5') when 4 then null when 5 then '[1]' when 6 then concat(doc, 'x')
+  when 7 then 'null' when 8 then replace(doc, '"status":', '"title":5,"x":{"note":5,"weight":"w"},"q1":7,"status":')
+  when 9 then replace(replace(doc, '"status":', '"STATUS":'), '"kpis":', '"Kpis":') when 10 then replace(doc, '"title":"K1"', '"TITLE":5')
+  when 11 then replace(doc, '"weight":40', '"weight":40.5') when 12 then replace(doc, '"weight":40', '"weight":5000000000')
+  when 13 then replace(doc, '"weight":40', '"weight":99999999999999999999') when 14 then replace(doc, '"additional":{', '"additional":[],"y":{')
+  when 15 then replace(doc, '"score":3.5', '"score":"3.5"') when 16 then replace(doc, '"status":', '"status":null,"status":')
+  when 17 then replace(doc, '"kpis":[', '"kpis":[null,') when 18 then concat(doc, '}') when 19 then '' else doc end as doc
 from save_log""", ("save_log",)),
+    "odd_save_log": ("""
+select seq, ts, user_id, form_id, status, due_date, case when seq % 41 = 7 then replace(doc, '"status":', '"STATUS":')
+  when seq % 43 = 5 then replace(replace(doc, '"kpis":', '"Kpis":'), '"weight":', '"Weight":') when seq % 47 = 3 then concat(doc, 'x')
+  when seq % 53 = 2 then replace(doc, '"weight":40', '"weight":5000000000') when seq % 59 = 1 then replace(doc, '"status":', '"title":5,"x":{"note":5,"q1":[1]},"status":')
+  when seq % 61 = 4 then replace(doc, '"status":', '"status":2,"status":') when seq % 67 = 6 then 'null'
+  when seq % 71 = 8 then replace(doc, '"title":"K1"', '"title":5') when seq % 73 = 9 then null else doc end as doc
+from save_log""", ("save_log",)),
+    "key_users": ("""
+select id, case when id % 50 = 0 then concat('P', lpad(cast(id + 1 as varchar(10)), 6, '0')) else person_code end as person_code, name,
+ case when id % 70 = 1 then 'same@example.com' else email end as email, role, department, start_date, confirm_date, years_of_work
+from users""", ("users",)),
+    "key_links": ("""
+select user_id, company_id from user_companies union all select user_id, company_id from user_companies where user_id % 40 = 3""", ("user_companies",)),
+    "key_patches": ("""
+select c_custkey * 10 + t.k as seq, c_custkey as user_id, case t.k
+  when 1 then case when c_custkey % 9 = 0 then '{"email":"same@example.com"}' when c_custkey % 9 = 1 then concat('{"name":"moved","email":"free', cast(c_custkey as varchar(10)), '@example.com"}') else '{"position":"p"}' end
+  when 2 then case when c_custkey % 9 = 2 then concat('{"email":"', lower(replace(c_name, lpad(cast(c_custkey as varchar(10)), 9, '0'), lpad(cast(c_custkey - 1 as varchar(10)), 9, '0'))), '@example.com"}')
+    when c_custkey % 9 = 0 then concat('{"name":"left","email":"left', cast(c_custkey as varchar(10)), '@example.com"}') else '{}' end
+  else case when c_custkey % 9 = 5 then concat('{"personcode":"P', lpad(cast(c_custkey + 9 as varchar(10)), 6, '0'), '","email":"five', cast(c_custkey % 7 as varchar(10)), '@example.com"}')
+    when c_custkey % 9 = 6 then '{"personcode":"swap"}' else '{"role":"r"}' end end as doc
+from customer cross join (values (1), (2), (3)) t(k) where c_custkey % 9 in (0, 1, 2, 5, 6)""", ()),
     "user_deletes": ("""
 select c_custkey as user_id from customer where c_custkey % 13 = 0""", ()),
     "form_requests": ("""

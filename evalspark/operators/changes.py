@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blank_to_null, is_blank, local_date, try_date
 from ..schemas import TABLES
-from ..session import at_rest, cut_lineage
+from ..session import at_rest
 from .common import latest_per_key, sized_broadcast
+from .unique import refused_requests
 
 
 # --------------------------------------------------------------------- W1 ids
@@ -256,18 +257,23 @@ def patch_users(users: DataFrame, user_companies: DataFrame, companies: DataFram
     keeps the stored value.  Dates: '' -> NULL, text -> date.  The company
     list of a user is replaced only by a patch that supplies ``company_ids``
     (an empty list clears it); unknown or repeated ids are skipped.  Patches
-    for unknown users, with over-long text or with a date that does not parse
+    for unknown users, with over-long text, with a date that does not parse or
+    with an email or person code that another user holds at that moment
     fail and change nothing.
     """
     u = users
     p = patches.join(u.select(F.col("id").alias("user_id")), "user_id", "left_semi")
     p = p.where(within_lengths("users", {PATCH_MAP[f]: F.col(f) for f in PATCH_MAP
                                          if f not in ("start_date", "confirm_date")}))
-    p = p.where(dates_parse("start_date", "confirm_date"))
+    p = at_rest(p.where(dates_parse("start_date", "confirm_date")), "patches")
+    asked = p.where(F.col("email").isNotNull() | F.col("personcode").isNotNull()).select(
+        "seq", F.col("user_id").alias("owner"), "email", "personcode")
+    held = u.select(F.col("id").alias("owner"), "email", F.col("person_code").alias("personcode"))
+    p = p.join(sized_broadcast(refused_requests(asked, held, ["email", "personcode"])), "seq", "left_anti")
     aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("seq"))).alias("__p_" + f) for f in PATCH_MAP]
     aggs.append(F.max_by(F.col("company_ids"), F.when(F.col("company_ids").isNotNull(), F.col("seq")))
                 .alias("__p_company_ids"))
-    last = p.groupBy("user_id").agg(*aggs)
+    last = at_rest(p.groupBy("user_id").agg(*aggs), "last-patches")
     j = u.join(last, u["id"] == last["user_id"], "left")
     out_cols = []
     for c in u.columns:
@@ -290,26 +296,15 @@ def patch_users(users: DataFrame, user_companies: DataFrame, companies: DataFram
 
 
 # ----------------------------------------------------------------- M8 create
-def first_come(requests: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The requests that are accepted one after the other: none whose value in a key an earlier accepted one holds.
-
-    Rounds: a request that is first in all its keys among the undecided is
-    accepted, and the undecided that share a value with it are refused, until
-    none is left.  Only (order, keys) of the undecided are carried.
-    """
-    left = cut_lineage(requests.select(order, *keys))
-    accepted = None
-    while not left.isEmpty():
-        first = left
-        for k in keys:
-            lead = left.groupBy(k).agg(F.min(order).alias(order))
-            first = first.join(lead, (first[k].eqNullSafe(lead[k])) & (first[order] == lead[order]), "left_semi")
-        first = cut_lineage(first)
-        accepted = first if accepted is None else accepted.unionByName(first)
-        for k in keys:
-            left = left.join(first.select(F.col(k).alias("__k")), left[k].eqNullSafe(F.col("__k")), "left_anti")
-        left = cut_lineage(left)
-    return requests if accepted is None else requests.join(accepted.select(order), order, "left_semi")
+def first_come(requests: DataFrame, keys: list[str], order: str = "seq", held: DataFrame | None = None) -> DataFrame:
+    """The requests that are accepted one after the other: none whose value in a key an earlier accepted one
+    (or a row of ``held``) holds.  Every request is an owner of its own, which gives nothing up."""
+    rest = at_rest(requests, "requests")
+    asked = rest.select(F.col(order).alias("seq"), (-F.col(order) - 1).alias("owner"), *keys)
+    if held is None:
+        held = asked.where(F.lit(False)).select("owner", *keys)
+    refused = refused_requests(asked, held.select("owner", *keys), keys)
+    return rest.join(sized_broadcast(refused.select(F.col("seq").alias(order))), order, "left_anti")
 
 
 def create_users(users: DataFrame, companies: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,11 +318,8 @@ def create_users(users: DataFrame, companies: DataFrame, requests: DataFrame) ->
     """
     r = requests.where(within_lengths("users", {PATCH_MAP[f]: F.col(f) for f in PATCH_MAP
                                                 if f not in ("start_date", "confirm_date")}))
-    taken_email = users.select(F.col("email").alias("__e"))
-    taken_code = users.where(F.col("person_code").isNotNull()).select(F.col("person_code").alias("__c"))
-    r = (r.join(taken_email, r["email"] == taken_email["__e"], "left_anti")
-         .join(taken_code, r["personcode"] == taken_code["__c"], "left_anti"))
-    r = first_come(r.where(dates_parse("start_date", "confirm_date")), ["email", "personcode"])
+    held = users.select(F.col("id").alias("owner"), "email", F.col("person_code").alias("personcode"))
+    r = first_come(r.where(dates_parse("start_date", "confirm_date")), ["email", "personcode"], held=held)
     created = assign_ids(r, ["seq"], max_id(users))
     new_users = created.select(
         "id", "seq", F.col("name"), F.col("email"), F.col("role"), F.col("personcode").alias("person_code"),
@@ -348,6 +340,28 @@ ASSIGNMENT_CHILDREN = ("eval_kpi_user", "eval_competency_score", "eval_ta_score"
 USER_CHILDREN = ("user_companies", "user_time_attendance", "user_time_attendance_items")
 
 
+def reaching(hops: DataFrame, start: DataFrame) -> DataFrame:
+    """(uid) of all nodes that reach ``start`` (uid) over ``hops`` (a -> b).
+
+    Paths are doubled: after k rounds every node at a distance below 2^k is
+    found and ``hops`` joins nodes that are 2^k apart, so rounds grow with the
+    logarithm of the longest path.  A round first asks for single hops and
+    ends when these find nobody, so that wide, shallow graphs are never multiplied.
+    """
+    one = hops = at_rest(hops, "hops")
+    found = at_rest(start, "reach")
+    while True:
+        def into(edges, found=found):
+            new = edges.join(found.select(F.col("uid").alias("b")), "b", "left_semi").select(F.col("a").alias("uid"))
+            return new.distinct().join(found, "uid", "left_anti")
+
+        if into(one).isEmpty():
+            return found
+        found = at_rest(found.unionByName(into(hops)), "reach")
+        hops = at_rest(hops.join(hops.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select(
+            "a", F.col("c").alias("b")).distinct(), "hops")
+
+
 def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
                          ) -> tuple[dict[str, DataFrame], DataFrame]:
     """M9: delete users with ON DELETE CASCADE; refuse users still named as evaluator.
@@ -355,28 +369,20 @@ def cascade_delete_users(tables: dict[str, DataFrame], ids: DataFrame,
     ``eval_step.evaluator_id`` has no cascade, so a user who evaluates a step
     that survives the delete is refused.  Steps of the deleted users' own
     assignments go with the cascade.  Refusing one user keeps their
-    assignments (and steps) alive, which can refuse others, so the refused set
-    is grown to a fixpoint (one small count per round, however many rounds it takes).
+    assignments (and steps) alive, which can refuse others: whoever reaches a
+    refused user through the evaluator -> owner pairs is refused (:func:`reaching`).
     Returns (tables after the delete, the user ids actually deleted).
     """
     steps = tables["eval_step"].select("assignment_id", "evaluator_id")
     a_user = tables["eval_assignment"].select(F.col("id").alias("assignment_id"), F.col("user_id").alias("owner"))
-    step_owner = steps.join(a_user, "assignment_id").select("evaluator_id", "owner").distinct()
-    want = ids.select(F.col("user_id").alias("uid")).distinct()
-    # evaluator/owner pairs among requested users only matter when owner is requested too
-    pairs = (step_owner.join(want.select(F.col("uid").alias("evaluator_id")), "evaluator_id", "left_semi"))
-    pairs = cut_lineage(pairs)
-    deleting = cut_lineage(want)
-    n = deleting.count()
-    while True:
-        surviving_owner = pairs.join(deleting.select(F.col("uid").alias("owner")), "owner", "left_anti")
-        refused = surviving_owner.select(F.col("evaluator_id").alias("uid")).distinct()
-        nxt = cut_lineage(deleting.join(refused, "uid", "left_anti"))
-        m = nxt.count()
-        deleting = nxt
-        if m == n:
-            break
-        n = m
+    want = at_rest(ids.select(F.col("user_id").alias("uid")).distinct(), "delete")
+    named = sized_broadcast(want)
+    pairs = (steps.join(named.withColumnRenamed("uid", "evaluator_id"), "evaluator_id", "left_semi")
+             .join(a_user, "assignment_id").select("evaluator_id", "owner").distinct())
+    pairs = at_rest(pairs.join(named.select(F.col("uid").alias("owner"), F.lit(True).alias("goes")), "owner", "left"), "evaluates")
+    stays = pairs.where("goes IS NULL").select(F.col("evaluator_id").alias("uid")).distinct()
+    hops = pairs.where("goes").select(F.col("evaluator_id").alias("a"), F.col("owner").alias("b"))
+    deleting = want.join(sized_broadcast(reaching(hops, stays)), "uid", "left_anti")
     gone_users = deleting.select(F.col("uid").alias("id"))
     out = dict(tables)
     out["users"] = tables["users"].join(gone_users, "id", "left_anti")

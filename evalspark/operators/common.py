@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import at_rest
+
 # A side is broadcast only within ``evalspark.broadcast.maxRows`` rows (default
 # 1,000,000) and an estimated ``evalspark.broadcast.maxBytes`` (default 64 MB).
 # Otherwise the join is left to AQE, which converts it from real sizes and
@@ -81,3 +83,36 @@ def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "seq") -> Da
     agg = df.groupBy(*keys).agg(F.max(packed).alias("__last"))
     return agg.select(*keys, F.col("__last.__o").alias(order_col),
                       *[F.col(f"__last.{c}").alias(c) for c in others if c != order_col]).select(df.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b: long); the component is its least node.
+
+    Each round every node follows the least of its neighbours, by doubling to the
+    end of that chain, and the chains' ends are the nodes of the next round, with
+    the edges between them.  A node with a neighbour is at most half as many
+    next time, so rounds and their steps grow with the logarithm of the nodes.
+    """
+    left = at_rest(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    known = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = at_rest(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "step")
+        while True:
+            ahead = step.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            further = at_rest(step.join(ahead, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("went")), "step")
+            step = further.drop("went")
+            if further.where("went").isEmpty():
+                break
+        ends = step.select(F.col("a").alias("node"), F.col("to").alias("component"))
+        if known is not None:
+            met = known.select("node", F.col("component").alias("a")).join(step, "a", "left").select(
+                "node", F.coalesce("to", "a").alias("component"))
+            ends = met.unionByName(ends.join(known.select("node"), "node", "left_anti"))
+        known = at_rest(ends, "components")
+        left = at_rest(left.join(step, "a").select(F.col("to").alias("a"), "b").join(
+            step.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b").select("a", F.col("to_b").alias("b"))
+            .where("a <> b").distinct(), "edges")
+    if known is None:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return known

@@ -15,12 +15,12 @@ replaces them wholesale), and it is the only possible submit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import blank_to_null, is_blank, normalize_status, today_utc, try_date
-from ..session import at_rest, cut_lineage
+from ..session import at_rest
 from ..sources import documents as docs
 from . import changes
 from .common import sized_broadcast
@@ -112,14 +112,14 @@ def update_steps(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> D
     the steps with the next idx that are still waiting become active.
     Assignments that receive one change - the common case - are resolved with
     joins and aggregates; assignments with several changes need them in order
-    and go through the streamed fold (:func:`replay_step_changes`).
+    and go through the fold (:func:`replay_step_changes`).
     The change set is materialised once (it is read by both paths); the step
     table is tagged in one pass with a size-checked broadcast of the
     several-change assignments.
     """
     s, c = _step_change_inputs(steps, change_log, users)
     n = c.groupBy("assignment_id").agg(F.count(F.lit(1)).alias("__n"))
-    c = cut_lineage(c.join(n, "assignment_id"))
+    c = at_rest(c.join(n, "assignment_id"), "step-changes")
     multi = c.where(F.col("__n") > 1).select("assignment_id").distinct().withColumn("__multi", F.lit(True))
     tagged = s.join(sized_broadcast(multi), "assignment_id", "left")
     s_single = tagged.where(F.col("__multi").isNull()).drop("__multi")
@@ -145,63 +145,47 @@ def update_steps(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> D
 
 
 def replay_step_changes(steps: DataFrame, changes_with_assignment: DataFrame) -> DataFrame:
-    """W4 with several ordered changes per assignment: a streamed fold.
+    """W4 with several ordered changes per assignment: a fold over the changes with the steps as its state.
 
-    Steps and changes are co-partitioned by assignment_id and sorted by
-    (assignment_id, kind, seq) - one distributed shuffle+sort - then one pass
-    per partition in ``mapInPandas`` applies the changes in order.  Parallel
-    across assignments, sequential (as the reference) inside one.  The fold is
-    a local function, so executors need pandas but not this package.
+    Per assignment the steps are one array and the changes another, sorted by
+    ``seq``; ``aggregate`` applies them in order, all as Column expressions.
+    Assignments are folded in parallel.  Changes that a later one makes void are
+    left out before they are gathered (:func:`_effective`), so that the array follows
+    the steps rather than the log.
     """
-    cols = [f.name for f in STEP_STATE]
-
-    def fold(batches):
-        """One partition sorted by (assignment_id, kind, seq): kind 0 rows are steps, kind 1 rows changes in order.
-
-        State is only the steps of the assignment being read, so memory does not
-        grow with the number of changes.  Absent numbers are -1, never NULL, so
-        that pandas keeps every id an exact 64-bit integer.
-        """
-        import pandas as pd
-
-        cur, state = None, {}
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.assignment_id != cur:
-                    out += state.values()
-                    cur, state = row.assignment_id, {}
-                if row.kind == 0:
-                    state[row.id] = [row.id, row.assignment_id, row.idx, row.evaluator_id, row.status,
-                                     row.eval_date if pd.notna(row.eval_date) else None]
-                    continue
-                st = state.get(row.step_id)
-                if st is None:
-                    continue
-                st[4], st[5] = row.new_status, (row.new_date if pd.notna(row.new_date) else None)
-                if st[4] == 2 and not any(v[4] == 1 for v in state.values()):
-                    for v in state.values():
-                        if v[2] == st[2] + 1 and v[4] == 0:
-                            v[4] = 1
-            if out:
-                yield pd.DataFrame(out, columns=cols)
-        if state:
-            yield pd.DataFrame(list(state.values()), columns=cols)
-
-    absent = F.lit(-1)
-    s = steps.select("id", "assignment_id", "idx", "evaluator_id", "status", "eval_date",
-                     F.lit(0).alias("kind"), absent.cast("long").alias("seq"),
-                     absent.cast("long").alias("step_id"), absent.alias("new_status"),
-                     F.lit(None).cast("date").alias("new_date"))
-    c = changes_with_assignment.select(
-        absent.cast("long").alias("id"), "assignment_id", absent.alias("idx"),
-        absent.cast("long").alias("evaluator_id"), absent.alias("status"),
-        F.lit(None).cast("date").alias("eval_date"), F.lit(1).alias("kind"), "seq", "step_id", "new_status",
-        "new_date")
-    ev = s.unionByName(c)
-    n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ev.repartition(n, "assignment_id").sortWithinPartitions("assignment_id", "kind", "seq")
-    return ordered.mapInPandas(fold, STEP_STATE)
+    fields = ("id", "idx", "evaluator_id", "status", "eval_date")
+    state = F.array_sort(F.collect_list(F.struct(*fields))).alias("state")
+    log = F.sort_array(F.collect_list(F.struct("seq", "step_id", "new_status", "new_date"))).alias("log")
+    per = steps.groupBy("assignment_id").agg(state).join(
+        _effective(changes_with_assignment).groupBy("assignment_id").agg(log), "assignment_id", "left")
+
+    def step_of(s, status, eval_date):
+        new = {"status": status, "eval_date": eval_date}
+        return F.struct(*[(new.get(f, s[f])).alias(f) for f in fields])
+
+    def apply(current, change):
+        hit = lambda s: s["id"] == change["step_id"]
+        changed = F.transform(current, lambda s: step_of(
+            s, F.when(hit(s), change["new_status"]).otherwise(s["status"]), F.when(hit(s), change["new_date"]).otherwise(s["eval_date"])))
+        at = F.get(F.filter(current, hit), 0)["idx"]
+        opens = (change["new_status"] == 2) & ~F.exists(changed, lambda s: s["status"] == 1)
+        return F.transform(changed, lambda s: step_of(
+            s, F.when(F.coalesce(opens & (s["idx"] == at + 1) & (s["status"] == 0), F.lit(False)), F.lit(1)).otherwise(s["status"]), s["eval_date"]))
+
+    done = per.select("assignment_id", F.explode(F.aggregate(F.coalesce("log", F.array()), F.col("state"), apply)).alias("s"))
+    return done.select(F.col("s.id").alias("id"), "assignment_id", "s.idx", "s.evaluator_id", F.col("s.status").cast("int").alias("status"), "s.eval_date")
+
+
+def _effective(log: DataFrame) -> DataFrame:
+    """The changes without those that the next change of the same step, right after them in the assignment's order, makes void.
+
+    A change sets its step's status and date and may open the step after it.  It
+    opens none when its status is not 2; if the very next change of the
+    assignment is one to the same step, nothing has seen what it set.
+    """
+    by_seq = Window.partitionBy("assignment_id").orderBy("seq")
+    return log.withColumn("__next", F.lead("step_id").over(by_seq)).where(
+        (F.col("new_status") == 2) | F.col("__next").isNull() | (F.col("__next") != F.col("step_id"))).drop("__next")
 
 
 def replay_all_step_changes(steps: DataFrame, change_log: DataFrame, users: DataFrame) -> DataFrame:

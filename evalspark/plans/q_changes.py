@@ -335,6 +335,37 @@ def q_patch_users(spark, sf_dir):
                        F.concat_ws(",", F.transform("company", lambda c: c["code"])).alias("company_codes"))
 
 
+# each patch in order against the values in use then: the table as (id, email, code) lists carried from patch to patch
+_UNIQUE_SQL = """
+kd AS (select seq, user_id, from_json(doc, '""" + _USER_JSON + """') as d from key_patches where user_id in (select id from users)),
+kp AS (select seq, user_id, d.name as name, d.email as email, d.personcode as code, d.role as role, d.position as position,
+         row_number() over (order by seq) as rn from kd),
+walk(rn, emails, codes, failed) AS (
+  select cast(0 as bigint), map_from_entries(list((id, email))), map_from_entries(list((id, person_code))), cast([] as bigint[]) from users
+  union all
+  select p.rn, case when ok and p.email is not null then map_concat(w.emails, map([p.user_id], [p.email])) else w.emails end,
+    case when ok and p.code is not null then map_concat(w.codes, map([p.user_id], [p.code])) else w.codes end,
+    case when ok then w.failed else list_append(w.failed, p.seq) end
+  from walk w join kp p on p.rn = w.rn + 1,
+    lateral (select not (p.email is not null and coalesce(w.emails[p.user_id] <> p.email, true) and list_contains(map_values(w.emails), p.email))
+               and not (p.code is not null and coalesce(w.codes[p.user_id] <> p.code, true) and list_contains(map_values(w.codes), p.code)) as ok) x),
+good AS (select * from kp where seq not in (select unnest(failed) from walk where rn = (select max(rn) from walk))),
+glast AS (select user_id, max_by(name, seq) filter (where name is not null) as name, max_by(email, seq) filter (where email is not null) as email,
+            max_by(code, seq) filter (where code is not null) as code, max_by(role, seq) filter (where role is not null) as role
+          from good group by user_id),"""
+
+
+@query("patch_unique_users", "WITH RECURSIVE " + oracle(("users", "key_patches"), _UNIQUE_SQL,
+                                                        "select u.id, coalesce(g.name, u.name) as name, coalesce(g.email, u.email) as email,"
+                                                        " coalesce(g.code, u.person_code) as person_code, coalesce(g.role, u.role) as role"
+                                                        " from users u left join glast g on g.user_id = u.id")[5:])
+def q_patch_unique_users(spark, sf_dir):
+    """M7: users after patches that ask for emails and codes others hold, held, or ask for too."""
+    t = fixture_tables(spark, sf_dir, ["users", "user_companies", "companies", "key_patches"])
+    users, _ = requests.patch_user_requests(t, t["key_patches"])
+    return users.select("id", "name", "email", "person_code", "role")
+
+
 _CREATE_SQL = """
 cd AS (select seq, from_json(doc, '""" + _USER_JSON + """') as d from user_creates where json_valid(doc)),
 cr AS (select seq, """ + ", ".join(f"coalesce(d.{f}, '') as {f}" for f in _FIELDS) + """, d.company_ids as company_ids

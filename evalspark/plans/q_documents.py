@@ -184,11 +184,29 @@ def q_form_document_json(spark, sf_dir):
     return documents.form_document_json(d)
 
 
-@query("document_rejects", oracle(("save_bodies",), "",
+# by path: every value that a document has at the place of a known field, whatever the case of its name
+_BODY_TYPES = """
+known AS (select * from (values ('whole', ['UBIGINT','BIGINT','NULL']), ('number', ['UBIGINT','BIGINT','DOUBLE','NULL']),
+  ('text', ['VARCHAR','NULL']), ('list', ['ARRAY','NULL']), ('object', ['OBJECT','NULL'])) t(kind, types)),
+fields AS (select * from (values ('$.status', 'whole'), ('$.due_date', 'text'), ('$.kpis', 'list'), ('$.kpis[]', 'object'),
+  ('$.competency_scores', 'list'), ('$.competency_scores[]', 'object'), ('$.competency_scores[].comp_id', 'whole'),
+  ('$.competency_scores[].score', 'number'), ('$.competency_scores[].note', 'text'), ('$.time_attendance', 'object'),
+  ('$.time_attendance.full_score', 'number'), ('$.time_attendance.score', 'number'), ('$.development_plan', 'list'),
+  ('$.development_plan[]', 'object'), ('$.development_plan[].idx', 'whole'), ('$.additional', 'object')) t(path, kind)
+  union all select concat('$.kpis[].', unnest(['idx', 'weight'])), 'whole'
+  union all select concat('$.kpis[].', unnest(['max_score', 'expected_score', 'score'])), 'number'
+  union all select concat('$.kpis[].', unnest(['code', 'title', 'note', 'measure', 'criteria', 'unit'])), 'text'
+  union all select concat('$.development_plan[].', unnest(['content', 'priority', 'timing', 'remarks'])), 'text'
+  union all select concat('$.additional.', unnest(['q1', 'q2', 'q3', 'q4', 'q5'])), 'text'),
+wrong AS (select distinct b.seq from (select seq, doc from save_bodies where json_valid(doc)) b, json_tree(b.doc) t
+  join fields f on f.path = regexp_replace(lower(t.fullkey), '\\[[0-9]+\\]', '[]', 'g') join known k on k.kind = f.kind
+  where not list_contains(k.types, t.type)),"""
+
+
+@query("document_rejects", oracle(("save_bodies",), _BODY_TYPES,
                                   "select seq, reject from (select seq, case when doc is null then 'no body'"
-                                  " when not json_valid(doc) or json_type(doc) <> 'OBJECT' then 'not a JSON object'"
-                                  " when json_type(doc, '$.kpis[1].weight') = 'VARCHAR'"
-                                  "   or json_type(doc, '$.kpis[0].title') <> 'VARCHAR' then 'wrong type' end as reject"
+                                  " when not json_valid(doc) or json_type(doc) not in ('OBJECT', 'NULL') then 'not a JSON object'"
+                                  " when seq in (select seq from wrong) then 'wrong type' end as reject"
                                   " from save_bodies) x where reject is not null"))
 def q_document_rejects(spark, sf_dir):
     """Save bodies that are refused before anything happens, and why."""

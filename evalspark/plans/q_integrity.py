@@ -76,3 +76,18 @@ def q_check_violations(spark, sf_dir):
 def q_length_null_violations(spark, sf_dir):
     """K4: NOT NULL and NVARCHAR(n) length violations per column."""
     return integrity.length_null_violations(fixture_tables(spark, sf_dir, list(_TABLES)))
+
+
+_KEY_VIEWS = ("key_users", "key_links")
+
+
+@query("dup_keys_found", oracle(_KEY_VIEWS, "",
+                                "select 'users' as table_name, 'email' as key_name, email as key_value, count(*) as n from key_users"
+                                " group by email having count(*) > 1 union all"
+                                " select 'users', 'person_code', person_code, count(*) from key_users group by person_code having count(*) > 1"
+                                " union all select 'user_companies', 'user_id,company_id', concat_ws('|', cast(user_id as varchar), cast(company_id as varchar)),"
+                                " count(*) from key_links group by user_id, company_id having count(*) > 1"))
+def q_dup_keys_found(spark, sf_dir):
+    """K1: duplicated keys in tables that hold some."""
+    t = fixture_tables(spark, sf_dir, list(_KEY_VIEWS))
+    return integrity.dup_keys({"users": t["key_users"], "user_companies": t["key_links"]})

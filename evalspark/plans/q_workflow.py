@@ -321,3 +321,59 @@ def q_save_results(spark, sf_dir):
     """Response of each accepted save (assignment id, requested status, its summary)."""
     t = fixture_tables(spark, sf_dir, list(_SAVE_VIEWS) + ["eval_grade_band"])
     return workflow.save_results(t, t["save_log"], AS_OF_TS)
+
+
+# ------------------------------------------------- W5/W6 over odd request bodies
+# Names in another case, names twice, unknown fields, a whole body of null, bodies that are refused, numbers beyond a column.
+# The oracle spells these bodies plainly first; what is refused (rej) it tells by JSON rules and the one field that is wrong.
+_ODD_SRC = """
+odd AS (select seq, ts, user_id, form_id, status, due_date, doc is null or not json_valid(doc) or coalesce(json_type(case when json_valid(doc) then doc end, '$.kpis[0].title') <> 'VARCHAR', false) as rej,
+  doc as raw from odd_save_log),
+odd_src AS (select * exclude (raw), case when not rej then replace(replace(replace(replace(raw, '"Kpis":', '"kpis":'),
+  '"STATUS":', '"status":'), '"Weight":', '"weight":'), '"status":2,"status":', '"status":') end as doc from odd),
+odd_ok AS (select * from odd_src where not rej),"""
+
+
+def _odd(sql: str) -> str:
+    """Oracle parts over the save log, over the odd one instead: refused bodies make no assignment."""
+    return (sql.replace("from save_log", "from odd_src").replace('"weight":"INTEGER"', '"weight":"BIGINT"')
+            .replace("where (coalesce(trim(due_date)", "where seq in (select seq from odd_ok) and (coalesce(trim(due_date)")
+            .replace("coalesce(e.stored_status is not null", "e.seq in (select seq from odd_ok) and coalesce(e.stored_status is not null"))
+
+
+_ODD_VIEWS = ("odd_save_log",) + _STATE_VIEWS[1:]
+_ODD_STATE = _ODD_SRC + _odd(_STATE_SQL).replace("from odd_src),\na1_key", "from odd_ok),\na1_key")
+
+
+def _after_odd_saves(spark, sf_dir):
+    t = fixture_tables(spark, sf_dir, list(_ODD_VIEWS))
+    return workflow.apply_save_log(t, t["odd_save_log"], AS_OF_TS)
+
+
+@query("odd_saves_accepted", oracle(("odd_save_log",) + _SAVE_VIEWS[1:], _ODD_SRC + _odd(SAVE_EVENTS_CTE),
+                                    "select seq, user_id, form_id, status, valid, accepted, creatable from res"))
+def q_odd_saves_accepted(spark, sf_dir):
+    """Validity and acceptance of save requests whose bodies are bound as a JSON decoder binds them."""
+    t = fixture_tables(spark, sf_dir, ["odd_save_log", *_SAVE_VIEWS[1:]])
+    ev = workflow.resolve_save_log(workflow.save_events(t["odd_save_log"], t["eval_assignment"], t["eval_competency"],
+                                                        t["eval_form"], t["users"]))
+    return ev.select("seq", "user_id", "form_id", "status", "valid", "accepted", "creatable")
+
+
+@query("odd_saves_kpis", oracle(_ODD_VIEWS, _ODD_STATE,
+                                f"select id, assignment_id, idx, title, weight from eval_kpi_user where assignment_id not in (select assignment_id from {_LAST})"
+                                " union all select (select coalesce(max(id), 0) from eval_kpi_user) + row_number() over (order by s.seq, s.pos) as id,"
+                                f" l.assignment_id, s.idx, s.title, s.weight from sv_kpis s join {_LAST} on l.last_seq = s.seq"))
+def q_odd_saves_kpis(spark, sf_dir):
+    """The whole KPI table after the odd save log."""
+    return _after_odd_saves(spark, sf_dir)["eval_kpi_user"].select("id", "assignment_id", "idx", "title", "weight")
+
+
+@query("odd_saves_assignments", oracle(_ODD_VIEWS, _ODD_STATE,
+                                       "select a.id, a.form_id, a.user_id, cast(coalesce(l.status, a.status) as int) as status,"
+                                       " strftime(a.due_date, '%Y-%m-%d') as due_date from a1 a"
+                                       " left join lastacc l on l.form_id = a.form_id and l.user_id = a.user_id"))
+def q_odd_saves_assignments(spark, sf_dir):
+    """The whole assignment table after the odd save log (a number over its column still ensures its assignment)."""
+    return _after_odd_saves(spark, sf_dir)["eval_assignment"].select(
+        "id", "form_id", "user_id", "status", F.date_format("due_date", "yyyy-MM-dd").alias("due_date"))
