@@ -148,6 +148,12 @@ def ensure_assignments(assignments: DataFrame, requests: DataFrame, as_of_ts: st
         F.max_by("due", F.when(F.col("due").isNotNull(), F.col("seq"))).alias("last_due"),
         F.min(F.when(F.col("blank") | F.col("due").isNotNull(),
                      F.struct("seq", "ts", "due"))).alias("creator"))
+    return ensured(assignments, per_key, forms, users, id_floor)
+
+
+def ensured(assignments: DataFrame, per_key: DataFrame, forms: DataFrame | None = None, users: DataFrame | None = None,
+            id_floor: int = 0) -> DataFrame:
+    """M4 from what requests come to per pair (form_id, user_id): ``last_due``, and the ``creator`` (seq, ts, due) or NULL."""
     a = assignments.select("id", "form_id", "user_id", "status", "due_date")
     known = per_key.join(a.select("form_id", "user_id", F.lit(True).alias("exists")),
                          ["form_id", "user_id"], "left")

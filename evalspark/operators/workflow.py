@@ -214,11 +214,29 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
     ``forms`` / ``users``) the form or user does not exist.
 
     ``log`` is a save log or one that is bound already (:func:`bind_saves`).  The
-    per-list rules are higher-order functions over the bound arrays
-    (``exists``), so only the comp_id existence check needs an explode and a
-    join; the flagged rows are put at rest for the aggregates and joins below.
+    flagged rows (:func:`flagged_saves`) are at rest for the aggregates and joins below.
+    """
+    ev = flagged_saves(log if "d" in log.columns else bind_saves(log), comps)
+    a = assignments.select("form_id", "user_id", F.col("status").alias("stored_status"))
+    ev = ev.join(a, ["form_id", "user_id"], "left")
+    # a refused body ends the request before its assignment is made
+    can_create = F.col("reject").isNull() & (is_blank("due_date") | try_date("due_date").isNotNull())
+    first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
+    first_ok = changes.with_parents(first_ok, forms, users)
+    ev = ev.join(first_ok, ["form_id", "user_id"], "left")
+    creatable = F.col("reject").isNull() & F.coalesce(
+        F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
+    return ev.select("seq", "ts", "user_id", "form_id", "due_date", "req_status",
+                     normalize_status("req_status").alias("status"), "stored_status",
+                     creatable.alias("creatable"), (creatable & F.col("sound")).alias("valid"))
+
+
+def flagged_saves(p: DataFrame, comps: DataFrame) -> DataFrame:
+    """Bound saves with ``sound``: the tables would take every row of the document.
+
+    The per-list rules are higher-order functions over the bound arrays
+    (``exists``), so only the comp_id existence check needs an explode and a join.
     """
-    p = log if "d" in log.columns else bind_saves(log)
     z = lambda c, d: F.coalesce(c, F.lit(d))  # noqa: E731  Go zero value of an absent field
     kpis = F.coalesce(F.col("d.kpis"), F.array())
     bad_kpi = F.exists(kpis, lambda k: ~changes.fits_int(k["idx"]) | ~changes.kpi_item_valid(
@@ -245,20 +263,9 @@ def save_events(log: DataFrame, assignments: DataFrame, comps: DataFrame,
     unknown = (ev.select("seq", F.explode("__comp_ids").alias("comp_id"))
                .join(known, "comp_id", "left_anti").select("seq").distinct()
                .withColumn("__unknown", F.lit(True)))
-    ev = ev.drop("__comp_ids").join(unknown, "seq", "left")
-    a = assignments.select("form_id", "user_id", F.col("status").alias("stored_status"))
-    ev = ev.join(a, ["form_id", "user_id"], "left")
-    # a refused body ends the request before its assignment is made
-    can_create = F.col("reject").isNull() & (is_blank("due_date") | try_date("due_date").isNotNull())
-    first_ok = ev.where(can_create).groupBy("form_id", "user_id").agg(F.min("seq").alias("__c"))
-    first_ok = changes.with_parents(first_ok, forms, users)
-    ev = ev.join(first_ok, ["form_id", "user_id"], "left")
-    creatable = F.col("reject").isNull() & F.coalesce(
-        F.col("stored_status").isNotNull() | (F.col("seq") >= F.col("__c")), F.lit(False))
-    valid = creatable & ~F.col("__local_bad") & F.col("__unknown").isNull()
-    return ev.select("seq", "ts", "user_id", "form_id", "due_date", "req_status",
-                     normalize_status("req_status").alias("status"), "stored_status",
-                     creatable.alias("creatable"), valid.alias("valid"))
+    return ev.join(unknown, "seq", "left").select(
+        "seq", "ts", "user_id", "form_id", "due_date", "req_status", "reject",
+        (~F.col("__local_bad") & F.col("__unknown").isNull()).alias("sound"))
 
 
 def resolve_save_log(events: DataFrame) -> DataFrame:
@@ -284,7 +291,6 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     advances once (W3).  ``id_floor`` gives per-table id maxima when the
     tables passed are only the part of the state the log touches.
     """
-    floor = id_floor or {}
     bound = bind_saves(log)
     # the resolved events feed several joins and aggregates: put them at rest once
     ev = at_rest(resolve_save_log(save_events(bound, tables["eval_assignment"], tables["eval_competency"],
@@ -292,15 +298,27 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
     # creatable requests already passed the form/user existence check in save_events
     req = ev.where(F.col("creatable")).select("seq", "form_id", "user_id", "due_date", "ts")
     a1 = changes.ensure_assignments(tables["eval_assignment"], req, as_of_ts,
-                                    id_floor=floor.get("eval_assignment", 0))
-    acc = ev.where(F.col("accepted"))
-    last = acc.groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
+                                    id_floor=(id_floor or {}).get("eval_assignment", 0))
+    last = ev.where(F.col("accepted")).groupBy("user_id", "form_id").agg(F.max(F.struct("seq", "status")).alias("m")).select(
         "user_id", "form_id", F.col("m.seq").alias("seq"), F.col("m.status").alias("status"))
+    out = apply_last_saves(tables, a1, last, bound.select("seq", "d"), as_of_ts, id_floor)
+    out["__events"] = ev
+    return out
+
+
+def apply_last_saves(tables: dict[str, DataFrame], a1: DataFrame, last: DataFrame, bound: DataFrame, as_of_ts: str,
+                     id_floor: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """All tables after the last accepted save (user_id, form_id, seq, status) of each pair.
+
+    ``a1`` are the assignments after every request ensured its own; ``bound`` holds at least
+    the last saves' documents (seq, d).
+    """
+    floor = id_floor or {}
     last = at_rest(last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
                              ["form_id", "user_id"]), "last")
     a2 = a1.join(last.select("form_id", "user_id", F.col("status").alias("__s")), ["form_id", "user_id"], "left") \
         .select("id", "form_id", "user_id", F.coalesce("__s", "status").cast("int").alias("status"), "due_date")
-    kept = bound.select("seq", "d").join(last.select("seq", "assignment_id"), "seq")
+    kept = bound.join(last.select("seq", "assignment_id"), "seq")
     # ids per list: the items of all earlier saves, then the position; item rows are never sorted
     lists = {"eval_kpi_user": "kpis", "eval_competency_score": "competency_scores", "eval_dev_plan": "development_plan"}
     sizes = [F.size(F.coalesce(F.col(f"d.{c}"), F.array())).alias(c) for c in lists.values()]
@@ -342,7 +360,6 @@ def apply_save_log(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str,
 
     submitted = last.where(F.col("status") == LOCKED).select("assignment_id")
     out["eval_step"] = advance_steps(tables["eval_step"], submitted, as_of_ts)
-    out["__events"] = ev
     out["__last"] = last
     return out
 

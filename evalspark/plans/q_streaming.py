@@ -30,5 +30,5 @@ def q_stream_save_state(spark, sf_dir):
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stage_log_files(t["save_log"], f"{base}/log")
     tables = {n: t[n] for n in (*STATE_TABLES, "eval_competency", "eval_form", "users")}
-    final = stream_save_log(spark, f"{base}/log", f"{base}/received", f"{base}/checkpoint", AS_OF_TS, tables)
+    final = stream_save_log(spark, f"{base}/log", base, AS_OF_TS, tables)
     return state_by_key(final, t["save_log"])

@@ -1,8 +1,10 @@
 """The micro-batch stream ends in the same state as W6 over the whole log."""
 
 from evalspark.fixtures import fixture_tables
+from evalspark.operators.workflow import apply_save_log, state_by_key
 from evalspark.plans import QUERIES
 from evalspark.plans.q_streaming import stage_log_files
+from evalspark.streaming import save_stream
 from evalspark.streaming.save_stream import receive_save_log
 
 
@@ -21,3 +23,20 @@ def test_stream_resumes_and_receives_each_save_once(spark, sf_dir, tmp_path):
     stage_log_files(late, f"{d}/log", 2)
     got = receive_save_log(spark, f"{d}/log", f"{d}/got", f"{d}/cp")
     assert got.count() == log.count() == got.select("seq").distinct().count()
+
+
+def test_a_batch_costs_what_it_brings(spark, sf_dir, tmp_path):
+    names = ["odd_save_log", "eval_form", "users", "eval_competency", *save_stream.STATE_TABLES]
+    t = fixture_tables(spark, sf_dir, names)
+    log, d, as_of = t["odd_save_log"], str(tmp_path), "2025-02-28 00:00:00"
+    parts = [log.where("seq % 10 < 7"), log.where("seq % 10 = 8"), log.where("seq % 10 in (7, 9)")]  # late saves come last
+    for i, part in enumerate(parts):
+        stage_log_files(part, f"{d}/log", 1)
+        arrived = save_stream.check_arrivals(spark, f"{d}/log", d, t)
+        assert [p["numInputRows"] for p in arrived.recentProgress if p["numInputRows"]] == [part.count()]
+        kept = save_stream.keep_state(spark, d)
+        new = sum(p["numInputRows"] for p in kept.recentProgress)
+        assert new == spark.read.parquet(f"{d}/checked/{i}").count() <= part.count()
+    got = sorted(map(tuple, state_by_key(save_stream.state_after(spark, d, t, as_of), log).collect()), key=repr)
+    want = sorted(map(tuple, state_by_key(apply_save_log(t, log, as_of), log).collect()), key=repr)
+    assert got == want and len(got) > 40
