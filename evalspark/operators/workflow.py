@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import blank_to_null, is_blank, normalize_status, today_utc, try_date
 from ..session import at_rest
 from ..sources import documents as docs
+from ..sources.tables import save_touched
 from . import changes
 from .common import sized_broadcast
 from .grading import assign_grade
@@ -364,6 +365,24 @@ def apply_last_saves(tables: dict[str, DataFrame], a1: DataFrame, last: DataFram
     return out
 
 
+#: Tables that a save log changes, and the key by which they are stored.
+SAVED_BY = {"eval_assignment": "id", **{t: "assignment_id" for t in (
+    "eval_kpi_user", "eval_competency_score", "eval_dev_plan", "eval_ta_score", "eval_additional", "eval_step")}}
+
+
+def write_after_saves(out: dict[str, DataFrame], paths: dict[str, str], parts: int) -> dict[str, int]:
+    """S9 + W6: store the state after a save log, rewriting only the partitions of assignments that it changed.
+
+    ``out`` is the result of :func:`apply_save_log` over tables stored by
+    :func:`save_by_key` at ``paths``.  Returns how many partitions of each table were written.
+    """
+    pairs = out["__events"].where("creatable").select("form_id", "user_id").distinct()
+    named = at_rest(out["eval_assignment"].join(pairs, ["form_id", "user_id"], "left_semi").select("id"), "changed")
+    saved = at_rest(out["__last"].select("assignment_id"), "saved")
+    rows = {t: at_rest(out[t], t) for t in paths}  # before anything that they are computed from changes
+    return {t: save_touched(rows[t], named if t == "eval_assignment" else saved, paths[t], SAVED_BY[t], parts) for t in paths}
+
+
 def _shape(df: DataFrame, like: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns of ``like`` (missing ones NULL, types cast) plus ``keep``."""
     cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
