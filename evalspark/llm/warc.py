@@ -147,40 +147,68 @@ def parse_record(raw: bytes) -> dict | None:
             "url": h.get("warc-target-uri"), "payload_bytes": n, "payload_digest": digest, "payload": payload}
 
 
-def _member(f, at: int, size: int, step: int = 1 << 16):
+class Buffered:
+    """A file read forward in steps: bytes from ``low`` on stay at hand, so that each is read once."""
+
+    def __init__(self, f, size: int, step: int = 1 << 20):
+        self.f, self.size, self.step, self.low = f, size, step, 0
+        self.at, self.data = 0, b""
+
+    def read(self, n: int, pos: int) -> bytes:
+        """Up to ``n`` bytes at ``pos``, fewer at the end of what was read in one step."""
+        end = self.at + len(self.data)
+        if not self.at <= pos <= end:
+            self.at, self.data = pos, b""
+            end = pos
+        if pos == end and end < self.size:
+            cut = min(max(self.low - self.at, 0), len(self.data))
+            more = self.f.read_at(min(self.step, self.size - end), end)
+            self.at, self.data = self.at + cut, self.data[cut:] + more
+        return self.data[pos - self.at:pos - self.at + n]
+
+
+def _member(f: Buffered, at: int, step: int = 1 << 16):
     """(decoded bytes, end) of the gzip member at ``at``, or None; a member that isn't WARC is left after its first bytes."""
-    z, parts, pos = zlib.decompressobj(31), [], at
+    z, parts, pos, seen = zlib.decompressobj(31), [], at, b""
+    f.low = at
     try:
-        while not z.eof and pos < size:
-            data = f.read_at(min(step, size - pos), pos)
+        while not z.eof and pos < f.size:
+            data = f.read(step, pos)
             pos += len(data)
             parts.append(z.decompress(data))
-            if parts and not (b"".join(parts[:2])[:7] + b"WARC/1."[len(b"".join(parts[:2])[:7]):] == b"WARC/1."):
-                return None
+            if len(seen) < 7:
+                seen += parts[-1][:7]
+                if not b"WARC/1.".startswith(seen[:7]):
+                    return None
     except zlib.error:
         return None
     return (b"".join(parts), pos - len(z.unused_data)) if z.eof else None
 
 
 def read_range(f, size: int, start: int, end: int, step: int = 1 << 20):
-    """(offset, record) of each record that starts in [start, end)."""
-    at = start
+    """(offset, record) of each record that starts in [start, end).
+
+    The end of a record is where the next is tried; only where there is none is the magic looked for.
+    """
+    f, at = Buffered(f, size, step), start
     while at < end:
-        window = f.read_at(min(step + 2, size - at), at)
-        i = window.find(MAGIC)
-        if i < 0:
-            at += max(1, len(window) - 2)
-            continue
-        at += i
-        if at >= end:
-            return
-        got = _member(f, at, size)
+        got = _member(f, at) if f.read(1, at) == MAGIC[:1] else None
         record = got and parse_record(got[0])
-        if not record:
-            at += 1
+        if record:
+            yield at, record
+            at = got[1]
             continue
-        yield at, record
-        at = got[1]
+        f.low = at = at + 1
+        while at < end:
+            window = f.read(step, at)
+            if 0 < len(window) < len(MAGIC) and at + len(window) < size:  # the magic may lie across two steps
+                window += f.read(step, at + len(window))
+            i = window.find(MAGIC)
+            if i >= 0:
+                at += i
+                break
+            at += max(1, len(window) - len(MAGIC) + 1)
+            f.low = at
 
 
 def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 64 << 20, payload: bool = True) -> DataFrame:

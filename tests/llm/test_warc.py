@@ -72,3 +72,32 @@ def test_edges(spark):
     assert warc.read_archives(spark, warc.write_archives(none)).count() == 0
     clash = spark.createDataFrame([(1, "u", "h", "d", 3)], "page_id long, url string, html string, digest string, keeper int")
     assert warc.read_archives(spark, warc.write_archives(clash)).first()["record_type"] == "response"
+
+
+def test_every_byte_is_read_once():
+    import io
+    import random
+    rng = random.Random(3)
+    members = [gzip.compress(warc.record_bytes(i, f"http://x/{i}", rng.randbytes(rng.choice([10, 3000, 90_000])), "00" * 20, None)) for i in range(400)]
+    data = b"".join(members)
+
+    class File(io.BytesIO):
+        total = calls = 0
+
+        def read_at(self, n, pos):
+            self.calls += 1
+            got = data[pos:pos + n]
+            self.total += len(got)
+            return got
+
+    f = File()
+    got = [r["page_id"] for _, r in warc.read_range(f, len(data), 0, len(data), step=1 << 18)]
+    assert got == list(range(400)) and f.total <= 1.2 * len(data) and f.calls <= len(data) / (1 << 18) + 2
+    torn = data[5:]  # begins inside a record, which is somebody else's
+    for step in (1 << 18, 1000, 7):
+        class Torn(File):
+            def read_at(self, n, pos):
+                return torn[pos:pos + n]
+        small = 60_000 if step < 1000 else len(torn)
+        found = [r["page_id"] for _, r in warc.read_range(Torn(), len(torn), 0, small, step=step)]
+        assert found == list(range(1, 1 + len(found))) and len(found) > 1
