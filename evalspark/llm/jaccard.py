@@ -15,9 +15,10 @@ compared again: first each listed set is tested against the most typical set
 of its lists that it meets most often (typical: fewest of its listed shingles
 are its own alone; of a group of near copies, the one that they were made
 from); then all pairs of sets that meet in a list but
-lie in different components, unless the lists that they share are too few, or
-the places of a shared shingle in the two orders too far on, for any overlap of
-the rest to suffice.  That loses no link between components.
+lie in different components, unless the place of their shingle is too far on
+in either order for what follows to suffice: similar sets meet at the first
+shingle that they share, where it does.  That loses no link between components.  Before whole sets are
+fetched, sketches (counts of a set's shingles per cell) tell how much two sets can share at most.
 
 Skew: copies collapse into nodes; light subsets and lists of the frequent
 shingles are dealt by node, and their least nodes are found by aggregates that
@@ -25,6 +26,9 @@ combine before the shuffle.  Only the ``HOT`` most frequent shingles and one row
 reach the driver; they order the lists and set the boundary, the result does
 not depend on them.
 
+Words are hashed to 64 bits, those over ``LONG_WORD`` bytes by a hash without known collisions.  A text over
+``BATCH_BYTES`` is hashed in slices, so that a long text takes about 10 bytes a byte at once.
+
 Defined results: a null, empty or blank text has an empty set and is alone; with
 fewer than five words the whole sequence is the one shingle; equal rows are
 copies; a component's id is its smallest non-null doc_id.
@@ -32,6 +36,8 @@ copies; a component's id is its smallest non-null doc_id.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from itertools import combinations
 from math import comb
 
@@ -49,8 +55,10 @@ HOT = 200_000           # frequent shingles whose order is kept; the rest are or
 VERIFY_COST = 8         # of a listed shingle and the tests it leads to, against one light subset
 MAX_BOUNDARY = 12
 BATCH_BYTES = 1 << 20
+LONG_WORD = 64
 FLUSH = 1 << 21         # listed shingles that a task holds at a time
 PER_BUCKET = 1 << 20    # listed shingles in a reducer's bucket, about
+CELLS, FULL = 256, 255  # of a set's sketch
 PLACES = 64             # steps in which a shingle's place is kept; sets of up to 2**25 shingles
 TOKEN, HOT_TOKEN, SUBSET = range(3)
 
@@ -59,6 +67,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = np.random.default_rng(12).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -75,6 +84,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     held, size = [], 0
     for t in texts:
+        if len(t) > BATCH_BYTES:
+            out += _sets(held) if held else []
+            out.append(_shingles(np.concatenate(list(_long_text_words(t)))))
+            held, size = [], 0
+            continue
         held.append(t)
         size += len(t)
         if size >= BATCH_BYTES:
@@ -83,30 +97,57 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out + (_sets(held) if held else [])
 
 
-def _sets(texts: list[bytes]) -> list[np.ndarray]:
+def _long_text_words(text: bytes):
+    """The word hashes of a long text, in slices of about ``BATCH_BYTES`` that end at blanks; a longer word by itself."""
+    at = 0
+    while at < len(text):
+        blank = _BLANKS.search(text, at + BATCH_BYTES)
+        end = blank.start() if blank else len(text)
+        first = at
+        if end - at > 2 * BATCH_BYTES:
+            first = at + 1 + max(text[at:at + BATCH_BYTES].rfind(c) for c in b" \t\n\v\f\r")
+            yield _words([text[at:first]])[0]
+            yield np.array([_long_word(text[first:end].translate(_LOWER.tobytes()))], np.uint64)
+        else:
+            yield _words([text[at:end]])[0]
+        at = end + 1
+
+
+def _long_word(word: bytes) -> int:
+    """A hash without known collisions; a polynomial modulo 2**64 has them for long words."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words in order, and the number of the first word of each text (and of the end)."""
     data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     blank = _BLANK[data]
     edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * _powers(_BASE, len(data)), dtype=np.uint64)])
     word = mix64((prefix[end] - prefix[start]) * _powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        word[i] = _long_word(data[start[i]:end[i]].tobytes())
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(start, begins)  # number of the first word of each text
+    return word, np.searchsorted(start, begins)
+
+
+def _sets(texts: list[bytes]) -> list[np.ndarray]:
+    word, first = _words(texts)
+    return [_shingles(word[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def _shingles(word: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text's words."""
     n = len(word)
-    shingle = np.zeros(max(n - WORDS + 1, 0), np.uint64)
-    for k in range(WORDS):
-        shingle += word[k:n - WORDS + 1 + k] * _PLACE[k] if n >= WORDS else 0
-    shingle = mix64(shingle)
-    out = []
-    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
-        if hi - lo >= WORDS:
-            out.append(np.unique(shingle[lo:hi - WORDS + 1]))
-        elif hi > lo:
-            whole = (word[lo:hi] * _PLACE[:hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
-            out.append(mix64(np.array([whole], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    if not n:
+        return np.zeros(0, np.uint64)
+    if n < WORDS:
+        return mix64(np.array([(word * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
+    shingle = word[:n - WORDS + 1] * _PLACE[0]
+    for k in range(1, WORDS):
+        shingle += word[k:n - WORDS + 1 + k] * _PLACE[k]
+    return np.unique(mix64(shingle))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -117,6 +158,17 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of ``CELLS`` cells, up to ``FULL``."""
+    return np.minimum(np.bincount((shingles >> np.uint64(40)) % np.uint64(CELLS), minlength=CELLS), FULL).astype(np.uint8).tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row of two arrays of sketches the most that the sets can share; without bound where a cell is full in both."""
+    both = np.minimum(a, b)
+    return np.where((both == FULL).any(1), 1 << 60, both.sum(1, dtype=np.int64))
+
+
 def enough(a: int, b: int) -> int:
     """The least overlap of sets of sizes a and b that makes them similar: 175 o >= 75 (a + b)."""
     return -(-3 * (a + b) // 7)
@@ -177,7 +229,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds, at rest: (doc_id, node, n, null) per document; (shingle, null, null, k) for
+    """Rows of two kinds, at rest: (doc_id, node, n, null, sketch) per document; (shingle, null, null, k, null) for
     shingles that occur in k > 2 different sets of one stretch of a task."""
 
     def run(batches):
@@ -188,8 +240,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
             h, k = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64),) * 2
             h, k = h[k > 2], k[k > 2]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none, none, pa.array(k, pa.int64())],
-                                              names=["id", "node", "n", "k"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), none, none, pa.array(k, pa.int64()), pa.nulls(len(h), pa.binary())],
+                                              names=["id", "node", "n", "k", "sketch"])
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part = b.slice(lo, 1000)
@@ -197,7 +249,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
                 nodes = [node_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.nulls(len(sets), pa.int64())], names=["id", "node", "n", "k"])
+                     pa.nulls(len(sets), pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], names=["id", "node", "n", "k", "sketch"])
                 for node, s in zip(nodes, sets):
                     if node not in seen:
                         seen.add(node)
@@ -208,7 +260,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
                     seen, parts, held = set(), [], 0
         yield frequent()
 
-    return staged(_source(docs).mapInArrow(run, "id long, node long, n long, k long"), "numbered")
+    return staged(_source(docs).mapInArrow(run, "id long, node long, n long, k long, sketch binary"), "numbered")
 
 
 def _entries(docs: DataFrame, hot: np.ndarray, hot_rank: np.ndarray, boundary: int, buckets: int) -> DataFrame:
@@ -322,7 +374,16 @@ def _first(shingles: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray) -> np.nd
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes, each pair once) whose whole sets are similar, at rest."""
-    pairs = staged(pairs.select("a", "b"), "pairs")
+    def possible(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), CELLS) for i in (4, 5))
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            ok = pa.array(7 * most_shared(x, y) >= 3 * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    end = lambda node, n, sketch: classes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    pairs = pairs.select("a", "b").join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b")
+    pairs = staged(pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(possible, "a long, b long"), "pairs")
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -372,13 +433,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
 def _components_by_node(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, part): the last two are the row's set and the node that names its component."""
     numbered = _numbered(docs)
-    rows = numbered.where("node is not null").select(F.col("id").alias("doc_id"), "node", "n")
+    known = numbered.where("node is not null").select(F.col("id").alias("doc_id"), "node", "n", "sketch")
+    rows = known.drop("sketch")
     hot_rows = (numbered.where("node is null").groupBy("id").agg(F.sum("k").alias("k"))
                 .orderBy(F.desc("k"), "id").limit(HOT).toPandas())  # at most HOT rows of two numbers
     h = hot_rows["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    hot, rank = h[order], -np.arange(len(h))[order]  # the most frequent has rank 0, the others less
-    classes = staged(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")), "classes")
+    hot, rank = h[order], -np.arange(len(h), dtype=np.int32)[order]  # the most frequent has rank 0, the others less
+    classes = staged(known.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "classes")
     small = {r["n"]: r["k"] for r in classes.where(F.col("n") <= 2 * MAX_BOUNDARY).groupBy("n").agg(F.count("*").alias("k")).collect()}
     boundary = choose_boundary(small)
     total = classes.agg(F.sum(F.expr("n - ceil(n * 3 / 4) + 1")).alias("t")).first()["t"] or 0
@@ -401,15 +463,12 @@ def _components_by_node(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     mixed = staged(placed.join(mixed, "token", "left_semi"), "mixed")
     other = mixed.select("token", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("q").alias("q2"), F.col("part").alias("part2"))
-    rest = "greatest(n - (n - ceil(n * 3 / 4) + 1), m - (m - ceil(m * 3 / 4) + 1))"
-    # the most that sets can share when they share a shingle at these places: before it, itself, after it
+    # similar sets meet at the first shingle that they share, and share no more than what either has from there on;
+    # where that is too little they need not meet here
     low = lambda n, q: f"ceil({q} * ({n} - ceil({n} * 3 / 4) + 1) / {PLACES})"
-    reach = (f"7 * (least({low('n', '(q + 1)')}, {low('m', '(q2 + 1)')}) + least(n - {low('n', 'q')} - 1, m - {low('m', 'q2')} - 1))"
-             " >= 3 * (n + m)")
+    reach = f"7 * least(n - {low('n', 'q')}, m - {low('m', 'q2')}) >= 3 * (n + m)"
     pairs = (mixed.join(other, "token").where("node < node2 and part <> part2").where(fits).where(reach)
-             .groupBy("node", "node2", "n", "m").agg(F.count("*").alias("c"))
-             .where(F.expr(f"7 * (c + {rest}) >= 3 * (n + m)"))
-             .select(F.col("node").alias("a"), F.col("node2").alias("b")))
+             .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
     more = _verified(pairs, docs, classes)
     if not more.isEmpty():
         part = staged(components(links.unionByName(more)), "parts")

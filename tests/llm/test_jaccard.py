@@ -157,3 +157,48 @@ def test_rows_without_id_link_long_texts(spark):
     rows = [(1, text(0, 200)), (None, text(20, 220)), (2, text(40, 240)), (3, text(500, 700))]
     got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 3, None: 1}
+
+
+def test_long_words_do_not_collide():
+    morse = [0]
+    while len(morse) < 2048:
+        morse += [1 - x for x in morse]
+    word, other = ("".join("ab"[x ^ k] for x in morse) for k in range(2))  # one hash by any polynomial modulo 2**64
+    text = f"{word} b c d e {other} b c d e {word}"
+    assert [len(s) for s in jaccard.shingle_sets([text.encode()])] == [len(shingles(text))]
+    assert jaccard.node_of(jaccard.shingle_sets([word.encode()])[0]) != jaccard.node_of(jaccard.shingle_sets([other.encode()])[0])
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["a", "bb", "Ccc", "x" * 90, "y" * 700]) + rng.choice(["", "\n", "\t"]) for _ in range(3000))
+    whole = jaccard.shingle_sets([text.encode()])[0]
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", 150)
+    assert (jaccard.shingle_sets(["a b".encode(), text.encode(), b"c"])[1] == whole).all() and len(whole) == len(shingles(text))
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    import subprocess
+    import sys
+    code = ("import resource, numpy as np; from evalspark.llm import jaccard; t = b'lorem ipsum dolor ' * 1_800_000 + b'z' * 4_000_000;"
+            "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; jaccard.shingle_sets([t]);"
+            "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a)")
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 700_000  # kilobytes, for 36 MB
+
+
+def test_unlike_sets_with_a_common_passage_do_not_meet(spark):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(50)]
+    docs = [(i, " ".join([f"r{rng.randrange(10 ** 9)}" for _ in range(14)] + passage)) for i in range(300)]
+    assert result(spark, docs) == brute(docs)
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for size in (3, 40, 2000, 100_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:size // 2], rng.integers(0, 1 << 63, size, dtype=np.uint64)]))
+        x, y = (np.frombuffer(jaccard.sketch_of(s), np.uint8)[None] for s in (a, b))
+        assert jaccard.most_shared(x, y)[0] >= len(np.intersect1d(a, b))
+        assert size != 40 or jaccard.most_shared(x, y)[0] < 0.8 * size
