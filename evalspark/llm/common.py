@@ -38,11 +38,26 @@ def worker_cache(key, make):
     """
     held = sys.modules.setdefault("_llm_worker_cache", type(sys)("_llm_worker_cache")).__dict__.setdefault("held", {})
     if key not in held:
-        held.clear()
+        if held:
+            held.clear()
+            let_go()
         held[key] = make()
     return held[key]
 
 
+def let_go() -> None:
+    """Give back what a worker no longer needs: Python's, Arrow's and the C library's free memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def file_uri(uri: str) -> str:
     """``file:/a`` and ``/a`` as ``file:///a``; other schemes as they are."""
     if uri.startswith("/"):

@@ -116,8 +116,10 @@ class ChunkTokenizer:
 
     def _chunk(self, chunk: str) -> bytes:
         self.words.turn()
-        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.words.get(p)
-                         for p in self.split.pieces(chunk)])
+        pieces = self.split.pieces(chunk)
+        if len(pieces) == 1 and not isinstance(pieces[0], int):  # remembered as a chunk, not as a word besides
+            return self.words.known.get(pieces[0]) or self._word(pieces[0])
+        return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.words.get(p) for p in pieces])
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.chunks.all(text.replace("\n", " ").split(" ")))
