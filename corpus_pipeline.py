@@ -4,6 +4,10 @@ out of the texts, and the rest packed into sequences.
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all
 its predecessor kept.  ``run`` writes each stage's result as Parquet in the
 folder that the cluster shares and gives it, read again, to the next stage.
+
+Null and empty texts are kept, with the score of an empty text, as sets of their own, without spans and as a
+document of only the end id; repeated rows count as copies; of equal texts the smallest id stays; extra columns
+stay, whatever their names; an empty table gives no rows.  No stage reads a part of a text only.
 """
 
 from __future__ import annotations
@@ -19,10 +23,16 @@ from evalspark.llm.queries import tokenizer_path
 REJECT = 0.5
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    return "_".join([name, *docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``REJECT``, learned from ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < REJECT).drop("_toxicity")
+    score = unused(docs, "toxicity")
+    return toxicity.score(docs, model, score).where(F.col(f"`{score}`") < REJECT).drop(score)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +42,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind; n_chars is the new text's length."""
-    redacted = pii.redact(pii.find_spans(docs, out="_spans"), spans="_spans")
+    spans = unused(docs, "spans")
+    redacted = pii.redact(pii.find_spans(docs, out=spans), spans=spans)
     return redacted.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 

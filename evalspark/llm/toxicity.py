@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, out: str = "toxicity", text: str = "text") -> DataFrame:
-    """``docs`` with the score of each row's whole text in ``out``; no shuffle."""
+    """``docs`` with the score of each row's whole text in ``out`` (a column of that name is replaced); no shuffle."""
+    docs = docs.drop(out)
     key = ("toxicity", hashlib.sha256(model.toxic + model.ordinary).hexdigest())
     at = docs.columns.index(text)
 

@@ -69,3 +69,23 @@ def test_labelled_toxic_documents_go(spark, sf_dir):
     gone = {r["toxic"]: r["n"] for r in labelled.join(clean, "doc_id", "left_anti").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     of = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     assert gone.get(1, 0) >= 0.6 * of[1] and gone.get(0, 0) <= 0.02 * of[0]
+
+
+def test_columns_with_the_stages_own_names_stay(spark, sf_dir):
+    import corpus_pipeline
+    from evalspark.llm import toxicity
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).selectExpr("*", "doc_id AS _toxicity", "text AS _spans", "1 AS toxicity", "2 AS spans")
+    kept = corpus_pipeline.without_toxic(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and kept.where("_toxicity <> doc_id").isEmpty() and kept.count() > 20
+    clean = corpus_pipeline.without_personal_data(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and clean.where("_spans IS NULL AND text IS NOT NULL").isEmpty()
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert dict(toxicity.score(docs, model, "toxicity").dtypes)["toxicity"] == "double"
+
+
+def test_every_operator_is_registered():
+    import re
+
+    import __spark_entry__ as e
+    numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in e.queries()) if m)
+    assert numbers == list(range(1, 14)) and "pipeline" in e.queries()
