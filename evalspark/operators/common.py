@@ -48,6 +48,16 @@ def _estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+#: Up to this size a log is dealt over all tasks before its bodies are parsed; parsing costs far more than moving it.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions if Catalyst's estimate says that it is small (few files, so few tasks); else as it is."""
+    est = _estimated_bytes(df)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if est is not None and est <= SPREAD_BYTES else df
+
+
 def sized_broadcast(df: DataFrame) -> DataFrame:
     """``broadcast(df)`` if Catalyst's estimate is within the byte bound, else ``df`` unchanged; runs no job.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import spread
 from ..session import at_rest
 from .binding import bind
 
@@ -69,7 +70,7 @@ USER_DOC = T.StructType([T.StructField(f, T.StringType()) for f in USER_FIELDS +
 
 def parse_or_reject(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
     """``df`` with its body bound to ``into`` instead of ``col``, and ``reject``, at rest: every body is parsed once."""
-    return at_rest(bind(df, schema, col, into).drop(col), "bodies")
+    return at_rest(bind(spread(df), schema, col, into).drop(col), "bodies")
 
 
 def parse(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
