@@ -22,6 +22,9 @@ from evalspark.llm.queries import tokenizer_path
 #: A document goes when its score says toxic rather than not; op1's lower cut would also take clean ones.
 REJECT = 0.5
 
+#: Workers still hold memory of the stages before, so packing remembers fewer words than by itself.
+REMEMBERED = 75_000
+
 
 def unused(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` doesn't have."""
@@ -49,7 +52,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their places in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", without_toxic), ("near_copies", one_of_near_copies), ("personal_data", without_personal_data),
