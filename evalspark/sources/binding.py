@@ -14,6 +14,10 @@ and each variant is checked by path against the declared type:
 
 One pass of the parser binds a body and checks its types; a second one
 (:func:`one_value`) only skips through the tokens.
+
+Checking a variant at every scalar's place is most of that work.  :func:`bind_at_once` reads a body
+with the declared types themselves if nothing in it is spelt in a way that these would take
+otherwise (:func:`plain`), and leaves the rest, refused bodies among them, to :func:`bind`.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowS
 #: A key with a letter that has another lower case.  Quotes open a key or a value only after one of ``{[,:``
 #: and those inside of text are escaped, so the pattern can't begin within a value.
 _OTHER_CASE = r'[{,]\s*"[^"\\]*[A-Z\x{17F}\x{212A}][^"\\]*"\s*:'
+#: A key with an escape or a capital, from the last of these on.  Without backtracking: a pattern that begins at every key costs
+#: more than parsing the body.
+_ODD_KEY = r'[A-Z\\][^"\\A-Z]*+":'
+#: What keys have if they are not followed by a colon at once, if they hold another letter that has a declared one as its
+#: lower case, and what a minus before 0 may look like (a decimal has none).
+_ODD_PARTS = (" :", "\t:", "\n:", "\r:", "\u017f", "\u212a", ":-0", " -0", "\t-0", "\n-0", "\r-0", "[-0", ",-0")
 
 
 def field_names(schema: T.DataType) -> set[str]:
@@ -123,3 +133,55 @@ def bind(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d")
               .when(wrong(body, schema), "wrong type"))
     return (out.withColumn("reject", reason)
             .withColumn(into, F.when(F.col("reject").isNull(), bound(body, schema))).drop("__p", "__one"))
+
+
+def text_names(schema: T.DataType) -> set[str] | None:
+    """The names of all text fields of a schema, at any depth; None if it has lists of text."""
+    if isinstance(schema, T.ArrayType):
+        return None if isinstance(schema.elementType, T.StringType) else text_names(schema.elementType)
+    if not isinstance(schema, T.StructType):
+        return set()
+    inner = [text_names(f.dataType) for f in schema]
+    if None in inner:
+        return None
+    return {f.name for f in schema if isinstance(f.dataType, T.StringType)}.union(*inner)
+
+
+def plain(body: Column, texts: set[str]) -> Column:
+    """Whether every key is spelt without escapes and letters of another case and every field named as one of ``texts``
+    holds text or null wherever it stands.
+
+    With the declared types a parser takes any value for a text, and that is all it is too lenient in.  Text that looks
+    like such a key or value makes a body not plain too, which costs time only.
+    """
+    odd = reduce(lambda a, b: a | b, [body.contains(p) for p in _ODD_PARTS])
+    if texts:
+        odd = odd | body.rlike(rf'":(?=\s*+[^"n\s])(?<="(?:{"|".join(sorted(texts))})":)')
+    return ~(odd | body.rlike(_ODD_KEY))
+
+
+def infinite(c: Column, dt: T.DataType) -> Column:
+    """Whether a number somewhere in ``c`` (of type ``dt``) is beyond a double."""
+    if isinstance(dt, T.ArrayType):
+        found = F.exists(c, lambda x: infinite(x, dt.elementType))
+    elif isinstance(dt, T.StructType):
+        found = reduce(lambda a, b: a | b, [infinite(c[f.name], f.dataType) for f in dt])
+    else:
+        found = F.abs(c) == float("inf") if isinstance(dt, T.DoubleType) else F.lit(False)
+    return F.coalesce(found, F.lit(False))
+
+
+def bind_at_once(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
+    """:func:`bind`, with plain bodies that fit the declared types read with these."""
+    texts = text_names(schema)
+    if texts is None:
+        return bind(df, schema, col, into)
+    whole = T.StructType([T.StructField("body", schema), T.StructField(_CORRUPT, T.StringType())])
+    body = F.col(col)
+    read = F.when(plain(body, texts) & one_value(body), F.from_json(F.concat(F.lit('{"body":'), body, F.lit("}")), whole, _OPTIONS))
+    taken = F.col("__q").isNotNull() & F.col(f"__q.{_CORRUPT}").isNull() & ~infinite(F.col("__q.body"), schema)
+    rest = df.withColumn("__q", read).withColumn("__taken", taken).withColumn("__rest", F.when(~F.col("__taken"), body))
+    out = bind(rest, schema, "__rest", "__bound")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      F.when(~F.col("__taken"), F.col("reject")).alias("reject"),
+                      F.when(F.col("__taken"), F.col("__q.body")).otherwise(F.col("__bound")).alias(into))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.common import spread
 from ..session import at_rest
-from .binding import bind
+from .binding import bind_at_once
 
 KPI_ITEM = T.StructType([
     T.StructField("idx", T.LongType()), T.StructField("code", T.StringType()),
@@ -70,7 +70,7 @@ USER_DOC = T.StructType([T.StructField(f, T.StringType()) for f in USER_FIELDS +
 
 def parse_or_reject(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
     """``df`` with its body bound to ``into`` instead of ``col``, and ``reject``, at rest: every body is parsed once."""
-    return at_rest(bind(spread(df), schema, col, into).drop(col), "bodies")
+    return at_rest(bind_at_once(spread(df), schema, col, into).drop(col), "bodies")
 
 
 def parse(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
@@ -79,8 +79,13 @@ def parse(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d"
 
 
 def rejects(df: DataFrame, schema: T.StructType, keys: list[str], col: str = "doc") -> DataFrame:
-    """``keys`` and the reason of every row whose body is refused."""
-    return bind(df, schema, col).where(F.col("reject").isNotNull()).select(*keys, "reject")
+    """``keys`` and the reason of every row whose body is refused, at rest.
+
+    All reasons are at rest before any is looked at: a filter on the reason would be moved below the
+    binding and parse a body anew for each of the expression's many uses of it.
+    """
+    reasons = at_rest(bind_at_once(spread(df.select(*keys, col)), schema, col).select(*keys, "reject"), "reasons")
+    return reasons.where(F.col("reject").isNotNull())
 
 
 def explode_items(df: DataFrame, array_col: str, keys: list[str], item: str = "it") -> DataFrame:

@@ -43,6 +43,32 @@ def test_bodies(spark):
         assert got[i] == (reject, bound), body
 
 
+ODD = ['{"status":null,"status":"x"}', '{"kpis":[{"code":5}]}', '{"kpis":[{"code" :5}]}', '{"kpis":[{"code":\\n true}]}', '{"kpis":[{"\\u0063ode":5}]}',
+       '{"kpis":[{"code":"5","title":"\\"code\\":5","note":"A \\": 1"}]}', '{"kpis":[{"title":{"a":1}}]}', '{"kpis":[{"title":["a"]}]}', '{"additional":{"q1": false}}',
+       '{"time_attendance":{"score":-0.0,"full_score":1e3}}', '{"time_attendance":{"score":-1e999}}', '{"time_attendance":{"score": -0}}',
+       '{"kpis":[null,{"max_score":12345678901234567890123456789012345678901234567890}]}', '{"\u212apis":[{"title":"a"}]}', '{"kpis":[{"title":"a\\ud800"}]}',
+       '{"kpis":[{"title":null,"weight":null},{"max_score":"NaN"}]}', '{"x":{"title":5,"Y":[1]},"status":1}', '{"status":1}, "z":{}', '{"status":1}//', 'null}', '5']
+
+
+def test_bodies_bound_at_once_are_bound_as_one_by_one(spark):
+    bodies = [b for b, _, _ in CASES] + ODD
+    df = spark.createDataFrame(list(enumerate(bodies)), "seq int, doc string").repartition(1)
+    for schema in (docs.SAVE_DOC, docs.KPI_BULK_DOC, docs.USER_DOC, docs.STEP_CHAIN_DOC):
+        want, got = (sorted((r["seq"], r["reject"], repr(r["d"])) for r in f(df, schema).collect()) for f in (binding.bind, binding.bind_at_once))
+        assert got == want
+    usual = [b for b in bodies if b in ('{"status":1,"status":2}', '{"additional":{"q1":"x"}}', "null", KPI % "5000000000", KPI % "null")]
+    df = spark.createDataFrame([(b,) for b in usual], "doc string")
+    assert df.where(binding.plain(F.col("doc"), binding.text_names(docs.SAVE_DOC))).count() == len(usual) > 3
+
+
+def test_a_refused_body_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "{"), (2, KPI % '"1"'), (3, KPI % "1"), (4, None)], "seq int, doc string")
+    found = docs.rejects(df, docs.SAVE_DOC, ["seq"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "parse_json" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, "not a JSON object"), (2, "wrong type"), (4, "no body")]
+
+
 def test_a_status_in_another_case_locks(spark):
     out = after(spark, GOOD.replace('"status":1', '"STATUS":2'), GOOD.replace('"new"', '"late"'))
     assert {r["id"]: r["status"] for r in out["eval_assignment"].collect()}[1] == 2
