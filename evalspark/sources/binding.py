@@ -17,7 +17,7 @@ One pass of the parser binds a body and checks its types; a second one
 
 Checking a variant at every scalar's place is most of that work.  :func:`bind_at_once` reads a body
 with the declared types themselves if nothing in it is spelt in a way that these would take
-otherwise (:func:`plain`), and leaves the rest, refused bodies among them, to :func:`bind`.
+otherwise, and leaves the rest, refused bodies among them, to :func:`bind`.
 """
 
 from __future__ import annotations
@@ -37,10 +37,14 @@ _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowS
 _OTHER_CASE = r'[{,]\s*"[^"\\]*[A-Z\x{17F}\x{212A}][^"\\]*"\s*:'
 #: A key with an escape or a capital, from the last of these on.  Without backtracking: a pattern that begins at every key costs
 #: more than parsing the body.
-_ODD_KEY = r'[A-Z\\][^"\\A-Z]*+":'
-#: What keys have if they are not followed by a colon at once, if they hold another letter that has a declared one as its
-#: lower case, and what a minus before 0 may look like (a decimal has none).
-_ODD_PARTS = (" :", "\t:", "\n:", "\r:", "\u017f", "\u212a", ":-0", " -0", "\t-0", "\n-0", "\r-0", "[-0", ",-0")
+_ODD_KEY = r'[A-Z\\][^"\\A-Z]*+"\s*+:'
+#: Letters beside capitals that have a declared one as their lower case.
+_FOLDING = ("\u017f", "\u212a")
+#: Between bound texts, and a text among them that reads like a value that is none.
+_SEP = "\x01"
+_LIKE_VALUE = r"\x01(?:[\[{]|(?:true|false|-?+[0-9]++(?:\.[0-9]++)?+(?:[eE][-+]?+[0-9]++)?+)(?:\x01|$))"
+#: Names that no plain body can hold as a key.
+_BODY, _END = "Body", "End"
 
 
 def field_names(schema: T.DataType) -> set[str]:
@@ -147,41 +151,78 @@ def text_names(schema: T.DataType) -> set[str] | None:
     return {f.name for f in schema if isinstance(f.dataType, T.StringType)}.union(*inner)
 
 
+def plain_keys(body: Column) -> Column:
+    """Whether every key is spelt without escapes and letters of another case.  Text that looks like such a key makes a body
+    not plain too, which costs time only."""
+    return ~reduce(lambda a, b: a | b, [body.contains(p) for p in _FOLDING], body.rlike(_ODD_KEY))
+
+
+def plain_texts(body: Column, texts: set[str]) -> Column:
+    """Whether every field named as one of ``texts`` holds text or null wherever it stands, and no key is set off from its colon."""
+    odd = body.rlike(r'"\s++:')
+    return ~(odd | body.rlike(rf'":(?=\s*+[^"n\s])(?<="(?:{"|".join(sorted(texts))})":)')) if texts else ~odd
+
+
 def plain(body: Column, texts: set[str]) -> Column:
-    """Whether every key is spelt without escapes and letters of another case and every field named as one of ``texts``
-    holds text or null wherever it stands.
+    """:func:`plain_keys` and :func:`plain_texts`."""
+    return plain_keys(body) & plain_texts(body, texts)
+
+
+def texts_of(c: Column, dt: T.DataType) -> list[Column]:
+    """The texts in ``c`` (of type ``dt``), those of a list joined by :data:`_SEP`."""
+    if isinstance(dt, T.ArrayType):
+        inner = lambda x: F.concat_ws(_SEP, *texts_of(x, dt.elementType))
+        return [F.array_join(F.transform(c, inner), _SEP)] if text_names(dt.elementType) else []
+    if isinstance(dt, T.StructType):
+        return [t for f in dt for t in texts_of(c[f.name], f.dataType)]
+    return [c] if isinstance(dt, T.StringType) else []
+
 
-    With the declared types a parser takes any value for a text, and that is all it is too lenient in.  Text that looks
-    like such a key or value makes a body not plain too, which costs time only.
+def other_than_text(body: Column, c: Column, schema: T.StructType, texts: set[str]) -> Column:
+    """Whether a text of ``c`` may have been another value in the body that it was read from.
+
+    With the declared types a parser takes any value for a text.  Only where a text reads like a number, a boolean, a list or an
+    object is the body itself searched (:func:`plain_texts`).
     """
-    odd = reduce(lambda a, b: a | b, [body.contains(p) for p in _ODD_PARTS])
-    if texts:
-        odd = odd | body.rlike(rf'":(?=\s*+[^"n\s])(?<="(?:{"|".join(sorted(texts))})":)')
-    return ~(odd | body.rlike(_ODD_KEY))
+    like = F.concat_ws(_SEP, F.lit(""), *texts_of(c, schema)).rlike(_LIKE_VALUE)
+    return like & ~plain_texts(body, texts)
 
 
-def infinite(c: Column, dt: T.DataType) -> Column:
-    """Whether a number somewhere in ``c`` (of type ``dt``) is beyond a double."""
+def off_double(c: Column, dt: T.DataType) -> Column:
+    """Whether a number somewhere in ``c`` (of type ``dt``) is beyond a double or a negative zero (a decimal has none)."""
     if isinstance(dt, T.ArrayType):
-        found = F.exists(c, lambda x: infinite(x, dt.elementType))
+        found = F.exists(c, lambda x: off_double(x, dt.elementType))
     elif isinstance(dt, T.StructType):
-        found = reduce(lambda a, b: a | b, [infinite(c[f.name], f.dataType) for f in dt])
+        found = reduce(lambda a, b: a | b, [off_double(c[f.name], f.dataType) for f in dt])
+    elif isinstance(dt, T.DoubleType):
+        found = (F.abs(c) == float("inf")) | ((c == 0) & c.cast("string").startswith("-"))
     else:
-        found = F.abs(c) == float("inf") if isinstance(dt, T.DoubleType) else F.lit(False)
+        found = F.lit(False)
     return F.coalesce(found, F.lit(False))
 
 
+def fitted(c: Column, schema: T.StructType) -> Column:
+    """The fields of ``schema`` from a struct that has more; NULL stays NULL."""
+    return F.when(c.isNotNull(), F.struct(*[c[f.name].alias(f.name) for f in schema]))
+
+
 def bind_at_once(df: DataFrame, schema: T.StructType, col: str = "doc", into: str = "d") -> DataFrame:
     """:func:`bind`, with plain bodies that fit the declared types read with these."""
     texts = text_names(schema)
     if texts is None:
         return bind(df, schema, col, into)
-    whole = T.StructType([T.StructField("body", schema), T.StructField(_CORRUPT, T.StringType())])
+    item = T.StructType([*schema.fields, T.StructField(_END, T.LongType())])
+    whole = T.StructType([T.StructField(_BODY, T.ArrayType(item)), T.StructField(_CORRUPT, T.StringType())])
     body = F.col(col)
-    read = F.when(plain(body, texts) & one_value(body), F.from_json(F.concat(F.lit('{"body":'), body, F.lit("}")), whole, _OPTIONS))
-    taken = F.col("__q").isNotNull() & F.col(f"__q.{_CORRUPT}").isNull() & ~infinite(F.col("__q.body"), schema)
+    # a second item of the array is this one only if the body is one value and nothing else, as it holds neither name
+    text = F.concat(F.lit(f'{{"{_BODY}":['), body, F.lit(f',{{"{_END}":1}}]}}'))
+    read = F.when(plain_keys(body), F.from_json(text, whole, _OPTIONS))
+    items = F.col(f"__q.{_BODY}")
+    first = F.get(items, 0)
+    whole_read = F.col(f"__q.{_CORRUPT}").isNull() & (F.size(items) == 2) & (F.get(items, 1)[_END] == 1)
+    taken = F.coalesce(whole_read & ~off_double(first, schema) & ~other_than_text(body, first, schema, texts), F.lit(False))
     rest = df.withColumn("__q", read).withColumn("__taken", taken).withColumn("__rest", F.when(~F.col("__taken"), body))
     out = bind(rest, schema, "__rest", "__bound")
     return out.select(*[F.col(f"`{c}`") for c in df.columns],
                       F.when(~F.col("__taken"), F.col("reject")).alias("reject"),
-                      F.when(F.col("__taken"), F.col("__q.body")).otherwise(F.col("__bound")).alias(into))
+                      F.when(F.col("__taken"), fitted(first, schema)).otherwise(F.col("__bound")).alias(into))

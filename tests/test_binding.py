@@ -61,6 +61,26 @@ def test_bodies_bound_at_once_are_bound_as_one_by_one(spark):
     assert df.where(binding.plain(F.col("doc"), binding.text_names(docs.SAVE_DOC))).count() == len(usual) > 3
 
 
+def test_bodies_beside_the_array_they_are_read_in(spark):
+    """Bodies that go on after their value, and texts that read like other values."""
+    bodies = ['{"status":1}],"x":[{}', '{"status":1}]', '{"status":1}]}', '{"status":1},{"End":1}],"x":[', '{"status":1},{"End":1}', '{"End":1}',
+              '{"Body":[{"status":2}]}', '{"status":1}],"Body":[{"status":2}', '{"status":1}],"\\u0042ody":[{"status":2}', "", " ", "{}", "null", "7", "[{}]",
+              '{"kpis":[{"code":"5","title":"true","note":"[1]","weight":1}]}', '{"kpis":[{"code":5.0e3,"title":"a"}]}', '{"kpis":[{"code" : {"a":1}}]}',
+              '{"kpis":[{"note":"2024-05-01"}],"due_date":"7"}', '{"kpis":[{"title":[1]},{"title":"b"}]}', '{"kpis":[{"code":5,"code":"x"}]}',
+              '{"additional":{"q5":false}}', '{"kpis":[{"score":-0.0},{"score":-0.5}]}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "seq int, doc string").repartition(1)
+    want, got = ([(r["reject"], repr(r["d"])) for r in f(df, docs.SAVE_DOC).orderBy("seq").collect()] for f in (binding.bind, binding.bind_at_once))
+    assert got == want
+
+
+def test_a_plain_body_is_parsed_once(spark):
+    """Numbers in texts and dates do not send a body to be bound value by value."""
+    df = spark.createDataFrame([('{"due_date":"2024-05-01","kpis":[{"code":"12","title":"K 1","score":0.0}]}',)], "doc string")
+    d = F.from_json("doc", docs.SAVE_DOC)
+    assert not df.select(binding.other_than_text(F.col("doc"), d, docs.SAVE_DOC, binding.text_names(docs.SAVE_DOC))).first()[0]
+    assert not df.select(binding.off_double(d, docs.SAVE_DOC)).first()[0]
+
+
 def test_a_refused_body_is_parsed_once(spark):
     df = spark.createDataFrame([(1, "{"), (2, KPI % '"1"'), (3, KPI % "1"), (4, None)], "seq int, doc string")
     found = docs.rejects(df, docs.SAVE_DOC, ["seq"])
