@@ -17,7 +17,9 @@ the equi-join, so that only near pairs come out of it.  Equal signatures
 of different vectors (hashes of 64 bits) only add candidates.
 
 Texts are counted per task before anything is dealt out, by word; signatures are made
-of distinct words only.  A long text is read in slices of ``SLICE`` code
+of distinct words only.  No join sends words or signatures to every task: Catalyst sizes a table by its
+compressed files and doesn't see that a word becomes 45 signatures, so that what it takes for 10 MB
+may be gigabytes on the driver; each join is asked to merge.  A long text is read in slices of ``SLICE`` code
 points that end between runs, and a task flushes its counts beyond ``HELD`` words.  Roots are
 found by doubling along forms, whose counts grow at least ``FACTOR``-fold each step.
 
@@ -172,8 +174,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return df.select("sig", F.col("word").alias(name), F.col("n").alias(f"n_{name}"))
 
     near = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
-    replaced = side(two, "a").join(side(two, "b"), "sig").where((F.col("a") < F.col("b")) & near)
-    inserted = side(short, "a").join(side(longer, "b"), "sig").where(near)
+    replaced = side(two, "a").join(side(two, "b").hint("merge"), "sig").where((F.col("a") < F.col("b")) & near)
+    inserted = side(short, "a").join(side(longer, "b").hint("merge"), "sig").where(near)
     return replaced.unionByName(inserted).drop("sig").distinct()
 
 
@@ -182,7 +184,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = staged(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = staged(step.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went")), "roots")
+        step = staged(step.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went")), "roots")
         if step.where("went").isEmpty():
             return step.drop("went")
         step = step.drop("went")
@@ -199,5 +201,5 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     large = -F.col("m.n") >= FACTOR * F.col("n")
     forms = staged(best.select("word", "n_near", F.when(large, F.col("m.other")).alias("form"), F.when(large, -F.col("m.n")).alias("form_n")), "forms")
     last = roots(forms.where("form is not null"))
-    return words.join(forms, "word", "left").join(last, "word", "left").select(
+    return words.join(forms.hint("merge"), "word", "left").join(last.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -76,6 +76,19 @@ def test_empty_tables_and_long_texts(spark, monkeypatch):
     assert found(spelling.variants(spark.createDataFrame([(1, text)], "doc_id long, text string"))) == brute([(1, text)])
 
 
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """Catalyst takes these tables for far smaller than they are in memory; the driver would hold them whole."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+    staged = spelling.staged
+    monkeypatch.setattr(spelling, "staged", lambda df, name: staged(planned(df), name))
+    planned(spelling.variants(spark.createDataFrame(made(), "doc_id long, text string")))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_slices_end_between_runs(monkeypatch):
     monkeypatch.setattr(spelling, "SLICE", 7)
     text = "ab cdefghijklmnop qr, stuvw xyz éàü 12 É"
