@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank_to_null, is_blank, local_date, try_date
 from ..schemas import TABLES
 from ..session import at_rest
-from .common import latest_per_key, sized_broadcast
+from .common import broadcast_or_merge, latest_per_key, merged, sized_broadcast
 from .unique import refused_requests
 
 
@@ -47,7 +47,7 @@ def assign_ids(df: DataFrame, order: list[str], start: int, id_col: str = "id")
     """Dense ids ``start+1, start+2, ...`` in ``order`` (which must be unique and hold no NULL)."""
     rows = at_rest(df, "rows")
     totals = running_totals(rows.select(*order, F.lit(1).alias("one")), order, ["one"])
-    return rows.join(totals, order).select(*[F.col(c) for c in df.columns], (F.lit(start) + F.col("before_one") + 1).cast("long").alias(id_col))
+    return rows.join(merged(totals), order).select(*[F.col(c) for c in df.columns], (F.lit(start) + F.col("before_one") + 1).cast("long").alias(id_col))
 
 
 # ------------------------------------------------------------ K4-style checks
@@ -113,7 +113,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
     ``parents`` and ``rows`` are separate inputs so a parent whose new list is
     empty still loses its old rows.
     """
-    keep = base.join(sized_broadcast(parents.select(parent_key).distinct()), parent_key, "left_anti")
+    keep = base.join(broadcast_or_merge(parents.select(parent_key).distinct()), parent_key, "left_anti")
     return keep.unionByName(rows.select(*base.columns))
 
 
@@ -121,7 +121,7 @@ def replace_children(base: DataFrame, parents: DataFrame, rows: DataFrame, paren
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order_col: str = "seq") -> DataFrame:
     """M3: one row per key (MERGE): the latest change replaces or inserts."""
     last = latest_per_key(changes, keys, order_col).drop(order_col)
-    keep = base.join(sized_broadcast(last.select(*keys)), keys, "left_anti")
+    keep = base.join(broadcast_or_merge(last.select(*keys)), keys, "left_anti")
     return keep.unionByName(last.select(*base.columns))
 
 
@@ -155,7 +155,7 @@ def ensured(assignments: DataFrame, per_key: DataFrame, forms: DataFrame | None
             id_floor: int = 0) -> DataFrame:
     """M4 from what requests come to per pair (form_id, user_id): ``last_due``, and the ``creator`` (seq, ts, due) or NULL."""
     a = assignments.select("id", "form_id", "user_id", "status", "due_date")
-    known = per_key.join(a.select("form_id", "user_id", F.lit(True).alias("exists")),
+    known = per_key.join(merged(a.select("form_id", "user_id", F.lit(True).alias("exists"))),
                          ["form_id", "user_id"], "left")
     existing_upd = known.where(F.col("exists")).select("form_id", "user_id", "last_due")
     created = known.where(F.col("exists").isNull() & F.col("creator").isNotNull())
@@ -166,7 +166,7 @@ def ensured(assignments: DataFrame, per_key: DataFrame, forms: DataFrame | None
     new_rows = created.select(
         "id", "form_id", "user_id", F.lit(0).alias("status"),
         F.coalesce("last_due", "c_due", local_date(F.col("c_ts"))).alias("due_date"))
-    upd = a.join(existing_upd, ["form_id", "user_id"], "left").select(
+    upd = a.join(merged(existing_upd), ["form_id", "user_id"], "left").select(
         "id", "form_id", "user_id", "status", F.coalesce("last_due", "due_date").alias("due_date"))
     return upd.unionByName(new_rows)
 
@@ -174,9 +174,9 @@ def ensured(assignments: DataFrame, per_key: DataFrame, forms: DataFrame | None
 def with_parents(pairs: DataFrame, forms: DataFrame | None, users: DataFrame | None) -> DataFrame:
     """Keep (form_id, user_id) pairs whose form and user exist (the assignment FKs)."""
     if forms is not None:
-        pairs = pairs.join(sized_broadcast(forms.select(F.col("id").alias("form_id"))), "form_id", "left_semi")
+        pairs = pairs.join(broadcast_or_merge(forms.select(F.col("id").alias("form_id"))), "form_id", "left_semi")
     if users is not None:
-        pairs = pairs.join(sized_broadcast(users.select(F.col("id").alias("user_id"))), "user_id", "left_semi")
+        pairs = pairs.join(broadcast_or_merge(users.select(F.col("id").alias("user_id"))), "user_id", "left_semi")
     return pairs
 
 

@@ -74,14 +74,40 @@ def sized_broadcast(df: DataFrame) -> DataFrame:
 def counted_broadcast(df: DataFrame) -> DataFrame:
     """``broadcast(df)`` if its counted rows are within the bounds; for checkpointed sets.
 
-    Sets that :func:`evalspark.session.at_rest` wrote need no count, Catalyst knows their size.  After a checkpoint Catalyst keeps the estimate of the plan before it, which
-    multiplies through joins; counting the rows at rest costs one small job.
+    After a checkpoint Catalyst keeps the estimate of the plan before it, which multiplies through joins; counting the rows at rest costs one small job.
     """
     width = max(row_width(df.schema), 1)
     limit = min(broadcast_limit(df), _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES) // width)
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: Bytes that a row of a broadcast table takes in the driver's memory besides its values.
+ROW_OVERHEAD = 128
+
+
+def broadcast_or_merge(df: DataFrame) -> DataFrame:
+    """``broadcast(df)`` if its counted rows are within the bounds, a side to merge with (:func:`merged`) if they are not.
+
+    For sides that are cheap to count (a scan, or little more than one).  Nothing is counted where Catalyst's estimate is beyond the byte bound
+    already: the join is then left to AQE.
+    """
+    most = _conf_int(df, "evalspark.broadcast.maxBytes", DEFAULT_BROADCAST_MAX_BYTES)
+    est = _estimated_bytes(df)
+    if est is None or est > most:
+        return df
+    limit = min(broadcast_limit(df), most // (row_width(df.schema) + ROW_OVERHEAD))
+    return F.broadcast(df) if df.count() <= limit else merged(df)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not to be broadcast.
+
+    For sides with a row per pair, assignment or request.  Catalyst sizes a scan by its compressed files and deals the size out by the declared
+    types, so keys beside wide documents, or repeated values, seem a hundredth of what they are in memory; a few such sides fill the driver.
+    """
+    return df.hint("merge")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str = "seq") -> DataFrame:
     """Keep the row with the largest ``order_col`` per key (last change wins).
 

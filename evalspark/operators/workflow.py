@@ -24,7 +24,7 @@ from ..session import at_rest
 from ..sources import documents as docs
 from ..sources.tables import save_touched
 from . import changes
-from .common import sized_broadcast
+from .common import broadcast_or_merge, merged, sized_broadcast
 from .grading import assign_grade
 from .scoring import attendance_percent, competency_percent, kpi_percent
 
@@ -71,9 +71,9 @@ def advance_steps(steps: DataFrame, submitted: DataFrame, as_of_ts: str) -> Data
     """
     s = steps if "eval_date" in steps.columns else steps.withColumn("eval_date", F.lit(None).cast("date"))
     sub = submitted.select("assignment_id").distinct().withColumn("__sub", F.lit(True))
-    first = (s.where(F.col("status") == 1).join(sub.select("assignment_id"), "assignment_id", "left_semi").groupBy("assignment_id")
+    first = (s.where(F.col("status") == 1).join(merged(sub.select("assignment_id")), "assignment_id", "left_semi").groupBy("assignment_id")
              .agg(F.min(F.struct("idx", "id")).alias("__m")))
-    j = s.join(sub, "assignment_id", "left").join(first, "assignment_id", "left")
+    j = s.join(merged(sub), "assignment_id", "left").join(merged(first), "assignment_id", "left")
     is_sub = F.coalesce(F.col("__sub"), F.lit(False))
     close = is_sub & (F.col("id") == F.col("__m.id"))
     open_next = is_sub & (F.col("status") == 0) & F.when(
@@ -260,11 +260,11 @@ def flagged_saves(p: DataFrame, comps: DataFrame) -> DataFrame:
     ev = at_rest(p.select("seq", "ts", "user_id", "form_id", "due_date",
                           z(F.col("d.status"), 0).alias("req_status"),
                           local_bad.alias("__local_bad"), comp_ids.alias("__comp_ids"), "reject"), "events")
-    known = sized_broadcast(comps.select(F.col("id").alias("comp_id")))
+    known = broadcast_or_merge(comps.select(F.col("id").alias("comp_id")))
     unknown = (ev.select("seq", F.explode("__comp_ids").alias("comp_id"))
                .join(known, "comp_id", "left_anti").select("seq").distinct()
                .withColumn("__unknown", F.lit(True)))
-    return ev.join(unknown, "seq", "left").select(
+    return ev.join(merged(unknown), "seq", "left").select(
         "seq", "ts", "user_id", "form_id", "due_date", "req_status", "reject",
         (~F.col("__local_bad") & F.col("__unknown").isNull()).alias("sound"))
 
@@ -315,11 +315,11 @@ def apply_last_saves(tables: dict[str, DataFrame], a1: DataFrame, last: DataFram
     the last saves' documents (seq, d).
     """
     floor = id_floor or {}
-    last = at_rest(last.join(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id"),
+    last = at_rest(last.join(merged(a1.select(F.col("id").alias("assignment_id"), "form_id", "user_id")),
                              ["form_id", "user_id"]), "last")
-    a2 = a1.join(last.select("form_id", "user_id", F.col("status").alias("__s")), ["form_id", "user_id"], "left") \
+    a2 = a1.join(merged(last.select("form_id", "user_id", F.col("status").alias("__s"))), ["form_id", "user_id"], "left") \
         .select("id", "form_id", "user_id", F.coalesce("__s", "status").cast("int").alias("status"), "due_date")
-    kept = bound.join(last.select("seq", "assignment_id"), "seq")
+    kept = bound.join(merged(last.select("seq", "assignment_id")), "seq")
     # ids per list: the items of all earlier saves, then the position; item rows are never sorted
     lists = {"eval_kpi_user": "kpis", "eval_competency_score": "competency_scores", "eval_dev_plan": "development_plan"}
     sizes = [F.size(F.coalesce(F.col(f"d.{c}"), F.array())).alias(c) for c in lists.values()]
@@ -327,7 +327,7 @@ def apply_last_saves(tables: dict[str, DataFrame], a1: DataFrame, last: DataFram
     starts = {t: max(changes.max_id(tables[t]), floor.get(t, 0)) for t in lists}
     numbers = totals.select("seq", *[(F.lit(starts[t]) + F.col(f"before_{c}") + 1).alias(f"first_{c}") for t, c in lists.items()])
     firsts = [f"first_{c}" for c in lists.values()]
-    kept = at_rest(kept.join(numbers, "seq"), "kept")
+    kept = at_rest(kept.join(merged(numbers), "seq"), "kept")
     sh = docs.shred_bound_saves(kept, ["seq", "assignment_id", *firsts])
     parents = last.select("assignment_id")
     out = dict(tables)
@@ -430,8 +430,8 @@ def save_results(tables: dict[str, DataFrame], log: DataFrame, as_of_ts: str) ->
 
 def state_by_key(out: dict[str, DataFrame], log: DataFrame) -> DataFrame:
     """W6 summary per (form_id, user_id) of ``log``: assignment, status, due, child counts, TA, q1, steps."""
-    keys = log.select("form_id", "user_id")
-    a = out["eval_assignment"].join(keys, ["form_id", "user_id"], "left_semi").select(
+    keys = log.select("form_id", "user_id").distinct()
+    a = out["eval_assignment"].join(merged(keys), ["form_id", "user_id"], "left_semi").select(
         "form_id", "user_id", F.col("id").alias("assignment_id"), "status", "due_date")
     k = out["eval_kpi_user"].groupBy("assignment_id").agg(
         F.count(F.lit(1)).alias("kpis"), F.sum("weight").cast("long").alias("kpi_weight"))
@@ -444,7 +444,7 @@ def state_by_key(out: dict[str, DataFrame], log: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == 1).alias("active_steps"), F.count_if(F.col("status") == 2).alias("done_steps"))
     j = a
     for part in (k, c, d, ta, ad, st):
-        j = j.join(part, "assignment_id", "left")
+        j = j.join(merged(part), "assignment_id", "left")
     z = F.lit(0).cast("long")
     return j.select("form_id", "user_id", "assignment_id", "status", F.date_format("due_date", "yyyy-MM-dd")
                     .alias("due_date"), F.coalesce("kpis", z).alias("kpis"),

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import is_blank, normalize_status, try_date
 from ..operators import changes, workflow
+from ..operators.common import merged
 from ..sources.documents import SAVE_DOC
 
 STATE_TABLES = ("eval_assignment", "eval_kpi_user", "eval_competency_score", "eval_ta_score", "eval_dev_plan",
@@ -67,10 +68,10 @@ def checked(batch: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     stored = tables["eval_assignment"].select("form_id", "user_id", F.lit(True).alias("stored"))
     pairs = flags.select("form_id", "user_id").distinct()
     made = changes.with_parents(pairs, tables.get("eval_form"), tables.get("users")).withColumn("parents", F.lit(True))
-    rows = flags.join(stored, ["form_id", "user_id"], "left").join(made, ["form_id", "user_id"], "left").where("stored OR parents")
+    rows = flags.join(merged(stored), ["form_id", "user_id"], "left").join(merged(made), ["form_id", "user_id"], "left").where("stored OR parents")
     due = try_date("due_date")
     creates = is_blank("due_date") | due.isNotNull()
-    return rows.join(bound.select("seq", "d"), "seq").select(
+    return rows.join(merged(bound.select("seq", "d")), "seq").select(
         "seq", "ts", "form_id", "user_id", due.alias("due"), creates.alias("creates"), (F.coalesce("stored", F.lit(False)) | creates).alias("sure"),
         F.col("sound").alias("good"), normalize_status("req_status").cast("int").alias("status"), "d")
 
@@ -117,9 +118,9 @@ def state_after(spark: SparkSession, base: str, tables: dict[str, DataFrame], as
     """``tables`` after all saves that the pairs' state holds."""
     pairs = spark.read.parquet(f"{base}/pairs/*")
     newest = pairs.groupBy("form_id", "user_id").agg(F.max("batch").alias("batch"))
-    pairs = pairs.join(newest, ["form_id", "user_id", "batch"])
+    pairs = pairs.join(merged(newest), ["form_id", "user_id", "batch"])
     stored = tables["eval_assignment"].select("form_id", "user_id", F.col("status").alias("stored_status"))
-    pairs = pairs.join(stored, ["form_id", "user_id"], "left")
+    pairs = pairs.join(merged(stored), ["form_id", "user_id"], "left")
     # saves kept aside count from the request on that made the assignment
     late = F.filter("aside", lambda s: s["seq"] > F.col("creator.seq"))
     earliest = F.array_min(F.transform(F.filter(late, lambda s: s["status"] == workflow.LOCKED), lambda s: s["seq"]))

@@ -25,6 +25,25 @@ def test_stream_resumes_and_receives_each_save_once(spark, sf_dir, tmp_path):
     assert got.count() == log.count() == got.select("seq").distinct().count()
 
 
+def test_no_side_that_grows_is_broadcast(spark, sf_dir, tmp_path):
+    """Sides with a row per save, pair or assignment are merged however small Catalyst takes them for; forms, users and comps beyond the bound too."""
+    names = ["save_log", "eval_form", "users", "eval_competency", *save_stream.STATE_TABLES]
+    t, d = fixture_tables(spark, sf_dir, names), str(tmp_path)
+    spark.conf.set("evalspark.broadcast.maxRows", "1")
+    try:
+        stage_log_files(t["save_log"], f"{d}/log", 1)
+        checked = save_stream.checked(spark.read.schema(save_stream.SAVE_LOG_SCHEMA).parquet(f"{d}/log"), t)
+        save_stream.check_arrivals(spark, f"{d}/log", d, t)
+        save_stream.keep_state(spark, d)
+        after = save_stream.state_after(spark, d, t, "2025-02-28 00:00:00")
+        for df in (checked, state_by_key(after, t["save_log"])):
+            plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            joins = [x for x in plan if "BroadcastHashJoin" in x and "__pid" not in x]  # __pid: one row per partition
+            assert not joins and any("SortMergeJoin" in x for x in plan), joins
+    finally:
+        spark.conf.unset("evalspark.broadcast.maxRows")
+
+
 def test_a_batch_costs_what_it_brings(spark, sf_dir, tmp_path):
     names = ["odd_save_log", "eval_form", "users", "eval_competency", *save_stream.STATE_TABLES]
     t = fixture_tables(spark, sf_dir, names)
